@@ -1,0 +1,28 @@
+"""Place a value among sorted bounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def bounds_passed(bounds: Column, value: Column, most: int) -> Column:
+    """How many of the ascending array ``bounds`` (at most ``most`` long) are ``<= value``.
+
+    Halves the array at each step, so a thousand bounds cost ten comparisons.
+    """
+
+    def halve(window: Column, _step: Column) -> Column:
+        low, high = window["low"], window["high"]
+        middle = F.floor((low + high) / 2).cast("int")
+        passed = F.get(bounds, middle) <= value
+        return F.when(low >= high, window).otherwise(
+            F.struct(
+                F.when(passed, middle + 1).otherwise(low).alias("low"),
+                F.when(passed, high).otherwise(middle).alias("high"),
+            )
+        )
+
+    start = F.struct(F.lit(0).alias("low"), F.size(bounds).alias("high"))
+    steps = F.sequence(F.lit(1), F.lit(max(most, 1).bit_length() + 1))
+    return F.aggregate(steps, start, halve, lambda window: window["low"])

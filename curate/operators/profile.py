@@ -1,0 +1,243 @@
+"""Describing columns."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import parse_number, parse_timestamp
+from .ranks import ROWS_PER_BLOCK, value_ranks
+
+NUMERIC_TYPES = ("byte", "short", "integer", "long", "float", "double", "decimal")
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if f.dataType.typeName() in NUMERIC_TYPES]
+
+
+def _number(name: str) -> Column:
+    """As double, with NaN as null."""
+    value = F.col(f"`{name}`").cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def _long(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Rows ``(group, value)`` of the named columns, nulls left out."""
+    cells = [F.struct(F.lit(name).alias("group"), col.alias("value")) for name, col in columns.items()]
+    return df.select(F.inline(F.array(*cells))).where("value IS NOT NULL")
+
+
+def _per_column(df: DataFrame, aggregates: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """One row per column from a single aggregation of the whole table."""
+    rows = [
+        F.struct(F.lit(name).alias("column"), *[agg.alias(label) for label, agg in aggs.items()])
+        for name, aggs in aggregates.items()
+    ]
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+def _summary(value: Column) -> dict[str, Column]:
+    return {
+        "count": F.count(value),
+        "mean": F.avg(value),
+        "std": F.stddev_samp(value),
+        "min": F.min(value),
+        "max": F.max(value),
+    }
+
+
+DESCRIBED = ("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+def describe(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    approximate: bool = False,
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """Count, mean, sample deviation, least, quartiles and largest of numeric columns.
+
+    Quartiles are exact and interpolated. ``approximate`` takes them from the same
+    single pass as the rest, without a shuffle of the values.
+    """
+    columns = list(columns) if columns else numeric_columns(df)
+    numbers = {name: _number(name) for name in columns}
+    if approximate:
+        per_column = {
+            name: {
+                **_summary(value),
+                **{label: F.percentile_approx(value, q, 10_000) for label, q in QUARTILES.items()},
+            }
+            for name, value in numbers.items()
+        }
+        return _per_column(df, per_column).select(*DESCRIBED)
+    base = _per_column(df, {name: _summary(value) for name, value in numbers.items()})
+    return base.join(quartiles(df, columns, rows_per_block), "column", "left").select(*DESCRIBED)
+
+
+def quartiles(df: DataFrame, columns: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Exact interpolated quartiles as rows ``(column, q25, q50, q75)``."""
+    ranks = value_ranks(_long(df, {name: _number(name) for name in columns}), rows_per_block)
+    picks = []
+    for label, q in QUARTILES.items():
+        place = (F.col("total") - 1) * q
+        for side, index in (("low", F.floor(place)), ("high", F.ceil(place))):
+            holds = (F.col("below") <= index) & (index < F.col("below") + F.col("n"))
+            picks.append(F.max(F.when(holds, F.col("value"))).alias(f"{label}_{side}"))
+        picks.append(F.max(place - F.floor(place)).alias(f"{label}_part"))
+    between = [
+        (F.col(f"{q}_low") + (F.col(f"{q}_high") - F.col(f"{q}_low")) * F.col(f"{q}_part")).alias(q) for q in QUARTILES
+    ]
+    return ranks.groupBy(F.col("group").alias("column")).agg(*picks).select("column", *between)
+
+
+PROFILE = (
+    "column", "kind", "n", "missing", "missing_pct", "distinct", "is_unique", "is_constant",
+    "mean", "std", "min", "max", "zeros", "top", "top_count", "min_length", "max_length",
+)
+
+
+def _kind(df: DataFrame, name: str, given: Mapping[str, str]) -> str:
+    if name in given:
+        kind = given[name]
+        if kind not in ("categorical", "numeric", "datetime"):
+            raise ValueError(f"unknown kind {kind!r} for {name}")
+        return kind
+    now = df.schema[name].dataType.typeName()
+    if now in NUMERIC_TYPES:
+        return "numeric"
+    return "datetime" if now in ("date", "timestamp", "timestamp_ntz") else "categorical"
+
+
+def _as_kind(df: DataFrame, name: str, kind: str) -> Column:
+    col = F.col(f"`{name}`")
+    is_text = df.schema[name].dataType.typeName() == "string"
+    if kind == "numeric":
+        return parse_number(col) if is_text else _number(name)
+    if kind == "datetime":
+        return parse_timestamp(col) if is_text else col.cast("timestamp")
+    return col.cast("string")
+
+
+def profile(df: DataFrame, kinds: Mapping[str, str] | None = None, approximate: bool = False) -> DataFrame:
+    """One row per column: kind, missing, distinct, constants, and what suits the kind.
+
+    ``kinds`` gives ``categorical``, ``numeric`` or ``datetime`` by column; the rest
+    follow from their types. Everything but distinct and top values comes from one
+    pass. Those need the values to be shuffled; ``approximate`` estimates the distinct
+    count in the pass instead, and leaves the top values out.
+    """
+    kinds = {name: _kind(df, name, kinds or {}) for name in df.columns}
+    typed = df.select(*[_as_kind(df, name, kind).alias(name) for name, kind in kinds.items()])
+    no_number, no_count = F.lit(None).cast("double"), F.lit(None).cast("long")
+
+    def facts(name: str) -> dict[str, Column]:
+        value, kind = F.col(f"`{name}`"), kinds[name]
+        is_number, is_text = kind == "numeric", kind == "categorical"
+        all_facts = {
+            "kind": F.lit(kind),
+            "n": F.count(F.lit(1)),
+            "filled": F.count(value),
+            "mean": F.avg(value) if is_number else no_number,
+            "std": F.stddev_samp(value) if is_number else no_number,
+            "min": F.min(value) if is_number else no_number,
+            "max": F.max(value) if is_number else no_number,
+            "zeros": F.count_if(value == 0) if is_number else no_count,
+            "min_length": F.min(F.length(value)).cast("long") if is_text else no_count,
+            "max_length": F.max(F.length(value)).cast("long") if is_text else no_count,
+        }
+        if approximate:
+            all_facts["distinct"] = F.approx_count_distinct(value)
+        return all_facts
+
+    base = _per_column(typed, {name: facts(name) for name in df.columns})
+    if approximate:
+        rows = base.withColumns({"top": F.lit(None).cast("string"), "top_count": no_count, "_one": no_count})
+    else:
+        rows = base.join(_distinct_and_top(typed, kinds), "column", "left")
+    distinct = F.coalesce("distinct", F.lit(0))
+    is_text = F.col("kind") == "categorical"
+    derived = {
+        "missing": F.col("n") - F.col("filled"),
+        "missing_pct": F.try_divide((F.col("n") - F.col("filled")) * 100.0, F.col("n")),
+        "distinct": distinct,
+        "is_unique": (F.col("filled") > 0) & (distinct == F.col("filled")),
+        "is_constant": distinct == 1,
+        "top": F.when(is_text, F.col("top")),
+        "top_count": F.when(is_text, F.col("top_count")),
+    }
+    return rows.withColumns(derived).select(*PROFILE)
+
+
+def _distinct_and_top(typed: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """Exact distinct counts and most frequent values of all columns in one shuffle."""
+    texts = {name: F.col(f"`{name}`").cast("string") for name in kinds}
+    counts = _long(typed, texts).groupBy(F.col("group").alias("column"), "value").agg(F.count(F.lit(1)).alias("times"))
+    per_column = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.max("times").alias("top_count"))
+    # per_column has one row per column of the table. Ties go to the smallest value.
+    named = [name for name, kind in kinds.items() if kind == "categorical"]
+    top = (
+        counts.where(F.col("column").isin(*named))
+        .join(F.broadcast(per_column), "column")
+        .where("times = top_count")
+        .groupBy("column")
+        .agg(F.min("value").alias("top"))
+    )
+    return per_column.join(top, "column", "left")
+
+
+def profile_subset(df: DataFrame, where: Column, kinds: Mapping[str, str] | None = None) -> DataFrame:
+    """Profile only the rows that satisfy ``where``, e.g. those without a key."""
+    return profile(df.where(where), kinds)
+
+
+def correlations(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    method: str = "pearson",
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """Rows ``(a, b, method, corr)`` for each pair of columns, over rows that have both."""
+    columns = list(columns) if columns else numeric_columns(df)
+    pairs = list(combinations(columns, 2))
+    if not pairs:
+        raise ValueError("correlation needs at least two columns")
+    if method == "pearson":
+        return _corr_rows(df, [(a, b, _number(a), _number(b)) for a, b in pairs], method)
+    if method == "spearman":
+        return _spearman(df, pairs, rows_per_block)
+    raise ValueError(f"unknown method {method!r}; use 'pearson' or 'spearman'")
+
+
+def _corr_rows(df: DataFrame, pairs: Sequence[tuple[str, str, Column, Column]], method: str) -> DataFrame:
+    rows = [
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(method).alias("method"), F.corr(x, y).alias("corr"))
+        for a, b, x, y in pairs
+    ]
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows_per_block: int) -> DataFrame:
+    """Correlate average ranks. Each pair ranks only the rows that have both values."""
+    sides, out = {}, []
+    for i, (a, b) in enumerate(pairs):
+        both = _number(a).isNotNull() & _number(b).isNotNull()
+        sides[f"{i}a"] = F.when(both, _number(a))
+        sides[f"{i}b"] = F.when(both, _number(b))
+    ranks = value_ranks(_long(df, sides), rows_per_block)
+    rank = F.col("below") + (F.col("n") + 1) / 2
+    for i, (a, b) in enumerate(pairs):
+        # Ranks are unique by value, so Spark can split a frequent value's rows over tasks.
+        values = df.select(_number(a).alias("x"), _number(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+        for side, value in (("a", "x"), ("b", "y")):
+            of_side = ranks.where(F.col("group") == f"{i}{side}").select(F.col("value").alias(value), rank.alias(side))
+            values = values.join(of_side, value)
+        out.append(_corr_rows(values, [(a, b, F.col("a"), F.col("b"))], "spearman"))
+    first, *rest = out
+    for more in rest:
+        first = first.unionAll(more)
+    return first
