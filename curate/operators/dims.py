@@ -46,11 +46,14 @@ HISTORY = ("valid_from", "valid_to", "is_current")
 
 
 def scd2_open(snapshot: DataFrame, as_of: Column) -> DataFrame:
-    """A first history: every row current from ``as_of``."""
-    return snapshot.select(
-        "*", as_of.alias("valid_from"), as_of.cast("void").cast("timestamp").alias("valid_to"),
-        F.lit(True).alias("is_current"),
-    )
+    """A first history: every row current from the timestamp ``as_of``."""
+    return snapshot.withColumns(
+        {
+            "valid_from": as_of,
+            "valid_to": F.lit(None).cast("timestamp"),
+            "is_current": F.lit(True),
+        }
+    )
 
 
 def scd2_merge(

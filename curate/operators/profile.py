@@ -213,9 +213,18 @@ def correlations(
     raise ValueError(f"unknown method {method!r}; use 'pearson' or 'spearman'")
 
 
+def _corr(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows that have both; null where one of them is constant.
+
+    ``F.corr`` fails on a constant column while ANSI mode is on.
+    """
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _corr_rows(df: DataFrame, pairs: Sequence[tuple[str, str, Column, Column]], method: str) -> DataFrame:
     rows = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(method).alias("method"), F.corr(x, y).alias("corr"))
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(method).alias("method"), _corr(x, y).alias("corr"))
         for a, b, x, y in pairs
     ]
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))

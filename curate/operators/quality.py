@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rows import where_in
@@ -50,22 +50,23 @@ def functional_dependency(df: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
 
-    def most(side: str) -> DataFrame:
-        per_value = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
-        return per_value.agg(
-            F.count(F.lit(1)).alias(f"n_{side}"), F.coalesce(F.max("n"), F.lit(0)).alias(f"most_per_{side}")
-        )
+    def per_value(side: str) -> DataFrame:
+        counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
+        return counts.agg(F.lit(side).alias("side"), F.count(F.lit(1)).alias("values"), F.max("n").alias("most"))
+
+    def of(side: str, what: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("side") == side, F.col(what))), F.lit(0))
 
     return (
-        most("a")
-        .crossJoin(most("b"))  # one row each
-        .select(
+        per_value("a")
+        .unionAll(per_value("b"))
+        .agg(
             F.lit(a).alias("a"),
             F.lit(b).alias("b"),
-            "n_a",
-            "n_b",
-            (F.col("most_per_a") <= 1).alias("a_determines_b"),
-            (F.col("most_per_b") <= 1).alias("b_determines_a"),
+            of("a", "values").alias("n_a"),
+            of("b", "values").alias("n_b"),
+            (of("a", "most") <= 1).alias("a_determines_b"),
+            (of("b", "most") <= 1).alias("b_determines_a"),
         )
     )
 

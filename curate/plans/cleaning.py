@@ -15,6 +15,7 @@ from ..operators import (
     coerce_types,
     combine_audits,
     deduplicate,
+    distinct_headers,
     impute_constant,
     impute_group,
     replace_with_audit,
@@ -98,8 +99,6 @@ def clean_table(
 
 def _headers_around(df: DataFrame, hidden: Sequence[str]) -> DataFrame:
     """Standardised headers on all columns but the last ones, which are ``hidden``."""
-    from ..operators import distinct_headers
-
     shown = df.columns[: len(df.columns) - len(hidden)]
     if df.columns[len(shown) :] != list(hidden):
         raise ValueError("hidden columns must come last")
@@ -150,7 +149,7 @@ def run_pipeline(
             log.error("%s was not cleaned: %s", spec.name, error)
             status.append((spec.name, "failed", str(error).splitlines()[0]))
     combined = combine_audits([spark.createDataFrame([], AUDIT), *audits])
-    path = write_table(combined.coalesce(1), base, "AUDITS", "combined_audit", fmt)
+    path = write_table(combined, base, "AUDITS", "combined_audit", fmt)
     reader = spark.read.schema(AUDIT)
     written = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
     return written, spark.createDataFrame(status, STATUS)
