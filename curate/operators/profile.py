@@ -156,38 +156,46 @@ def profile(df: DataFrame, kinds: Mapping[str, str] | None = None, approximate:
 
     base = _per_column(typed, {name: facts(name) for name in df.columns})
     if approximate:
-        rows = base.withColumns({"top": F.lit(None).cast("string"), "top_count": no_count, "_one": no_count})
+        rows = base.withColumns({"top": F.lit(None).cast("string"), "top_count": no_count})
     else:
         rows = base.join(_distinct_and_top(typed, kinds), "column", "left")
+        if "top" not in rows.columns:
+            rows = rows.withColumns({"top": F.lit(None).cast("string"), "top_count": no_count})
     distinct = F.coalesce("distinct", F.lit(0))
-    is_text = F.col("kind") == "categorical"
     derived = {
         "missing": F.col("n") - F.col("filled"),
         "missing_pct": F.try_divide((F.col("n") - F.col("filled")) * 100.0, F.col("n")),
         "distinct": distinct,
         "is_unique": (F.col("filled") > 0) & (distinct == F.col("filled")),
         "is_constant": distinct == 1,
-        "top": F.when(is_text, F.col("top")),
-        "top_count": F.when(is_text, F.col("top_count")),
     }
     return rows.withColumns(derived).select(*PROFILE)
 
 
 def _distinct_and_top(typed: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
-    """Exact distinct counts and most frequent values of all columns in one shuffle."""
-    texts = {name: F.col(f"`{name}`").cast("string") for name in kinds}
-    counts = _long(typed, texts).groupBy(F.col("group").alias("column"), "value").agg(F.count(F.lit(1)).alias("times"))
-    per_column = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.max("times").alias("top_count"))
-    # per_column has one row per column of the table. Ties go to the smallest value.
-    named = [name for name, kind in kinds.items() if kind == "categorical"]
-    top = (
-        counts.where(F.col("column").isin(*named))
-        .join(F.broadcast(per_column), "column")
-        .where("times = top_count")
-        .groupBy("column")
-        .agg(F.min("value").alias("top"))
-    )
-    return per_column.join(top, "column", "left")
+    """Exact distinct counts of all columns, and the most frequent values of the categorical ones."""
+
+    def counted(names: Sequence[str]) -> DataFrame:
+        texts = {name: F.col(f"`{name}`").cast("string") for name in names}
+        long = _long(typed, texts).withColumnRenamed("group", "column")
+        return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("times"))
+
+    categorical = [name for name, kind in kinds.items() if kind == "categorical"]
+    others = [name for name in kinds if name not in categorical]
+    parts = []
+    if categorical:
+        counts = counted(categorical)
+        sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.max("times").alias("top_count"))
+        # One row per column of the table. Ties go to the smallest value.
+        most = counts.join(F.broadcast(sizes), "column").where("times = top_count")
+        parts.append(sizes.join(most.groupBy("column").agg(F.min("value").alias("top")), "column"))
+    if others:
+        sizes = counted(others).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+        parts.append(sizes)
+    first, *rest = parts
+    for part in rest:
+        first = first.unionByName(part, allowMissingColumns=True)
+    return first
 
 
 def profile_subset(df: DataFrame, where: Column, kinds: Mapping[str, str] | None = None) -> DataFrame:

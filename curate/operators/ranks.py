@@ -21,23 +21,12 @@ def value_ranks(long: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFr
     data, so their bounds fit the driver; they are fixed when this is called, and
     inexact bounds only make blocks uneven.
     """
-    spark = long.sparkSession
-    cuts = [i / MOST_BLOCKS for i in range(1, MOST_BLOCKS)]
-    found = long.groupBy("group").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", cuts, 10_000).alias("cuts")
-    )
-    bounds = []
-    for row in found.collect():
-        blocks = min(MOST_BLOCKS, -(-row["n"] // rows_per_block))
-        kept = {row["cuts"][i * MOST_BLOCKS // blocks - 1] for i in range(1, blocks)}
-        bounds.append((row["group"], sorted(kept)))
-    bound_table = spark.createDataFrame(bounds, "group string, bounds array<double>")
-
+    bounds = _bounds(long, rows_per_block)
     counts = long.groupBy("group", "value").agg(F.count(F.lit(1)).alias("n"))
-    if any(kept for _, kept in bounds):
+    if bounds is not None:
         blocked = (
-            counts.join(F.broadcast(bound_table), "group")
-            .withColumn("block", bounds_passed(F.col("bounds"), F.col("value"), MOST_BLOCKS))
+            counts.join(F.broadcast(bounds), "group", "left")
+            .withColumn("block", F.coalesce(bounds_passed(F.col("bounds"), F.col("value"), MOST_BLOCKS), F.lit(0)))
             .drop("bounds")
         )
     else:
@@ -55,3 +44,19 @@ def value_ranks(long: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFr
     return blocked.withColumn("inside", F.sum("n").over(inside) - F.col("n")).join(
         F.broadcast(starts), ["group", "block"]
     ).select("group", "value", "n", (F.col("start") + F.col("inside")).alias("below"), "total")
+
+
+def _bounds(long: DataFrame, rows_per_block: int) -> DataFrame | None:
+    """``(group, bounds)`` of the groups that take more than one block, or None."""
+    rows = long.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_block).collect()
+    if not rows:
+        return None
+    blocks = {row["group"]: min(MOST_BLOCKS, -(-row["n"] // rows_per_block)) for row in rows}
+    most = max(blocks.values())
+    cuts = [i / most for i in range(1, most)]
+    found = (
+        long.where(F.col("group").isin(*blocks))
+        .groupBy("group")
+        .agg(F.array_distinct(F.percentile_approx("value", cuts, 10_000)).alias("bounds"))
+    )
+    return long.sparkSession.createDataFrame(found.collect(), "group string, bounds array<double>")
