@@ -74,7 +74,8 @@ def token_ratio(a: str, b: str) -> float:
     head = " ".join(sorted(shared))
     with_a = " ".join(filter(None, (head, " ".join(sorted(only_a)))))
     with_b = " ".join(filter(None, (head, " ".join(sorted(only_b)))))
-    best = max(best, ratio(with_a, with_b))
+    if (with_a, with_b) != (sorted_a, sorted_b):
+        best = max(best, ratio(with_a, with_b))
     if head:
         best = max(best, *(200.0 * len(head) / (len(head) + len(text)) for text in (with_a, with_b)))
     return best

@@ -1,17 +1,19 @@
 """Pairs of similar values in a column.
 
-The search is exact without comparing all values with all others. Suppose two texts
+The search is exact without scoring all values against all others. Suppose two texts
 score at least ``min_score``. Then so few edits part them that, of enough separate
-pieces of one text, at least one piece survives and stands somewhere in the other. So
-
-* each text is cut into separate pieces of ``q`` characters within its words, ``q``
-  being the longest size that gives one piece more than edits are allowed;
-* of these, the pieces that fewest other texts contain are kept, one more than edits;
-* each text also lists every stretch of ``q`` characters it contains;
-* an equi-join of kept pieces with stretches gives candidates, which are scored.
-
-A stretch found in very many texts is salted: the texts that contain it are split at
-random over several tasks, and the kept pieces are copied to each of these.
+pieces of one text, some survive and stand somewhere in the other. So
+
+* each text is cut into separate pieces of one size, none across words, and the rarest
+  of them are kept, one more than edits can spoil; of the sizes that give that many
+  pieces, the one whose kept pieces stand in the fewest other texts is taken;
+* each text also lists every stretch of characters it contains;
+* an equi-join of kept pieces with stretches gives pairs. A pair goes on from its first
+  shared piece only, and only if enough of all pieces stand in the other text;
+* what is left is scored.
+
+A stretch found in very many texts is salted on both sides, so that no task sees more
+than a small block of texts against another such block.
 """
 
 from __future__ import annotations
@@ -25,47 +27,38 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from .quality import value_counts
 
-PIECE_SIZES = (4, 3, 2, 1)
-# Texts per task for one stretch; more are salted.
-TEXTS_PER_SALT = 5_000
+PIECE_SIZES = (1, 2, 3, 4)
+# Texts on each side of a block of a salted key.
+TEXTS_PER_SALT = 2_000
 # Below this, two similar texts need not have a surviving piece (see _edits_allowed).
 LEAST_SCORE = 77.0
 
 METRICS = ("wratio", "indel", "levenshtein")
 
 
-def _words(text: Column) -> Column:
-    """Distinct words. \\s in the JVM knows fewer characters, so they are named in full."""
-    return F.array_distinct(F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda word: word != ""))
-
-
-def _pieces(words: Column, size: int) -> Column:
-    """Separate pieces of ``size`` characters, none across words."""
+# \s in the JVM leaves out some characters.
+_SPACES = r"(?U)[\s\x1c-\x1f]+"
 
-    def cut(word: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.floor(F.length(word) / size) - 1),
-            lambda i: F.substr(word, (i * size + 1).cast("int"), F.lit(size)),
-        )
 
-    long_enough = F.filter(words, lambda word: F.length(word) >= size)
-    return F.flatten(F.transform(long_enough, cut))
+def _words(text: Column) -> Column:
+    """Distinct words."""
+    return F.array_distinct(F.filter(F.split(text, _SPACES), lambda word: word != ""))
 
 
-def _stretches(words: Column, size: int) -> Column:
-    """Every stretch of ``size`` characters within words."""
+# Higher-order functions over the column ``words``, as SQL to keep them readable.
+_CHARACTERS = "array_distinct(filter(split(text, ''), c -> c <> ''))"
 
-    def slide(word: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.length(word) - (size - 1)), lambda i: F.substr(word, i.cast("int"), F.lit(size))
-        )
 
-    long_enough = F.filter(words, lambda word: F.length(word) >= size)
-    return F.flatten(F.transform(long_enough, slide))
+def _pieces(size: int) -> str:
+    """Separate pieces of ``size`` characters within words."""
+    return f"""flatten(transform(filter(words, w -> length(w) >= {size}), w -> transform(
+        sequence(0, cast(length(w) div {size} as int) - 1), i -> substr(w, i * {size} + 1, {size}))))"""
 
 
-def _characters(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(text, ""), lambda char: char != ""))
+def _stretches(size: int) -> str:
+    """Every stretch of ``size`` characters within words."""
+    return f"""flatten(transform(filter(words, w -> length(w) >= {size}), w -> transform(
+        sequence(1, length(w) - {size - 1}), i -> substr(w, i, {size}))))"""
 
 
 def _edits_allowed(length: Column, min_score: float, metric: str) -> Column:
@@ -84,6 +77,12 @@ def _edits_allowed(length: Column, min_score: float, metric: str) -> Column:
     return F.floor(length * share + 1e-6).cast("int")
 
 
+def _edits_between(length: Column, other: Column, min_score: float, metric: str) -> Column:
+    """Most edits between two similar texts of these lengths, by the plain score."""
+    whole = F.greatest(length, other) if metric == "levenshtein" else length + other
+    return F.floor(whole * ((100 - min_score) / 100) + 1e-6).cast("int")
+
+
 def _may_match(a: Column, b: Column, min_score: float, metric: str) -> Column:
     """Whether the lengths alone leave a score of ``min_score`` possible."""
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
@@ -104,65 +103,153 @@ def _texts(df: DataFrame, column: str) -> DataFrame:
 
 def _listed(texts: DataFrame) -> DataFrame:
     """``(text, key)`` for every stretch, of every piece size, that a text contains."""
-    words = _words(F.col("text"))
-    stretches = [_stretches(F.col("words"), size) for size in PIECE_SIZES if size > 1]
-    return texts.withColumn("words", words).select(
-        "text", F.explode(F.array_distinct(F.concat(*stretches, _characters(F.col("text"))))).alias("key")
-    )
+    stretches = ", ".join([_CHARACTERS, *[_stretches(size) for size in PIECE_SIZES if size > 1]])
+    keys = F.explode(F.expr(f"array_distinct(concat({stretches}))"))
+    return texts.withColumn("words", _words(F.col("text"))).select("text", keys.alias("key"))
 
 
 def _kept_pieces(texts: DataFrame, frequency: DataFrame, min_score: float, metric: str) -> DataFrame:
-    """``(text, key, texts)`` for the rarest pieces of each text, one more than edits allowed."""
-    allowed = _edits_allowed(F.length("text"), min_score, metric)
-    cut = texts.withColumn("words", _words(F.col("text"))).withColumn("need", allowed + 1)
-    choice = F.lit(None)
-    for size in reversed(PIECE_SIZES):
-        enough = F.aggregate(
-            "words", F.lit(0), lambda total, word: total + F.floor(F.length(word) / size).cast("int")
-        ) >= F.col("need")
-        choice = F.when(enough, _pieces(F.col("words"), size)).otherwise(choice)
-    # A text without enough pieces, being mostly white space, keeps all its characters.
-    few = _characters(F.col("text"))
-    pieces = cut.select(
-        "text", "need", F.explode(F.coalesce(choice, few)).alias("key"), choice.isNull().alias("all")
+    """``(text, key, at, pieces, spoiled)``: kept piece ``at`` of all ``pieces``, rarest
+    first, of which ``spoiled`` at most can be missing from a similar text.
+
+    A text without enough pieces, being mostly white space, keeps all its characters,
+    and ``spoiled`` is null.
+    """
+    spoiled = _edits_allowed(F.length("text"), min_score, metric)
+    cut = texts.withColumn("words", _words(F.col("text"))).withColumn("spoiled", spoiled)
+    sized = ", ".join(
+        f"""if(aggregate(words, 0, (n, w) -> n + cast(length(w) div {size} as int)) > spoiled,
+            transform({_pieces(size)}, p -> named_struct('size', {size}, 'key', p)), array())"""
+        for size in PIECE_SIZES
+    )
+    few = f"transform({_CHARACTERS}, c -> named_struct('size', 0, 'key', c))"
+    found = (
+        cut.withColumn("found", F.expr(f"concat({sized})"))
+        .select("text", "spoiled", F.explode(F.expr(f"if(size(found) > 0, found, {few})")).alias("piece"))
+        .select("text", "spoiled", "piece.size", "piece.key")
+        .join(frequency, "key")
+        .groupBy("text", "spoiled")
+        .agg(F.array_sort(F.collect_list(F.struct("size", "texts", "key"))).alias("found"))
     )
-    ranked = pieces.join(frequency, "key").groupBy("text", "need", "all").agg(
-        F.array_sort(F.collect_list(F.struct("texts", "key"))).alias("ranked")
+    costs = ", ".join(
+        f"""if(exists(found, f -> f.size = {size}), named_struct('cost', aggregate(
+            slice(filter(found, f -> f.size = {size}), 1, spoiled + 1), 0L, (n, f) -> n + f.texts), 'size', {size}), null)"""
+        for size in (0, *PIECE_SIZES)
     )
-    best = F.when(F.col("all"), F.col("ranked")).otherwise(F.slice("ranked", F.lit(1), F.col("need")))
-    return ranked.select("text", F.inline(F.array_distinct(best))).select("text", "key", "texts")
+    chosen = found.withColumn("size", F.expr(f"array_min(array({costs})).size")).select(
+        "text",
+        F.expr("transform(filter(found, f -> f.size = size), f -> f.key)").alias("pieces"),
+        F.expr("if(size = 0, null, spoiled)").alias("spoiled"),
+    )
+    kept = F.expr("slice(pieces, 1, coalesce(spoiled + 1, size(pieces)))")
+    return chosen.select("text", F.posexplode(kept).alias("at", "key"), "pieces", "spoiled")
+
 
+def _join_on_keys(probes: DataFrame, listed: DataFrame) -> DataFrame:
+    """Join ``(text, key, ...)`` with ``(text as other, key)``.
 
-def _join_on_keys(kept: DataFrame, listed: DataFrame, frequency: DataFrame) -> DataFrame:
-    """Pairs ``(text, other)`` that share a key, frequent keys split over tasks."""
-    salts = F.ceil(F.col("texts") / TEXTS_PER_SALT).cast("int")
-    probe = kept.select("text", "key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    salted = listed.join(frequency, "key").select(
-        F.col("text").alias("other"), "key", F.pmod(F.xxhash64("text"), salts).cast("int").alias("salt")
+    Both sides of a frequent key are dealt out in salts, and each salt of one side meets
+    each of the other. The number of partitions is set, since few bytes can mean many pairs.
+    """
+    spark = probes.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
+    sizes = probes.groupBy("key").agg(F.count(F.lit(1)).alias("probes")).join(texts, "key").select(
+        "key",
+        F.ceil(F.col("probes") / TEXTS_PER_SALT).cast("int").alias("left_salts"),
+        F.ceil(F.col("texts") / TEXTS_PER_SALT).cast("int").alias("right_salts"),
     )
-    return probe.join(salted, ["key", "salt"]).select("text", "other")
+
+    def salt(text: str, salts: str) -> Column:
+        return F.pmod(F.xxhash64(text), F.col(salts)).cast("int")
+
+    def every(salts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(salts) - 1))
+
+    on = ["key", "left", "right"]
+    left = (
+        probes.join(sizes, "key")
+        .select(*probes.columns, salt("text", "left_salts").alias("left"), every("right_salts").alias("right"))
+        .repartition(partitions, *on)
+    )
+    right = (
+        listed.join(sizes, "key")
+        .select(F.col("text").alias("other"), "key", every("left_salts").alias("left"), salt("text", "right_salts").alias("right"))
+        .repartition(partitions, *on)
+    )
+    return left.join(right, on)
 
 
 def _candidates(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
     listed = _listed(texts)
     frequency = listed.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
     kept = _kept_pieces(texts, frequency, min_score, metric)
-    pairs = _join_on_keys(kept, listed, frequency)
-    if metric == "wratio" and min_score <= 100 * scores.TOKEN_WEIGHT * scores.PARTIAL_WEIGHT:
+    length, other = F.length("text"), F.length("other")
+
+    first_shared = F.expr("not exists(slice(pieces, 1, at), p -> contains(other, p))")
+    standing = F.expr("size(filter(pieces, p -> contains(other, p)))")
+    by_words = metric == "wratio" and min_score <= 100 * scores.TOKEN_WEIGHT
+    if by_words:
+        # A text may be similar by its words while only its own pieces show it, so both sides probe.
+        one_way, spoiled = F.col("text") != F.col("other"), F.col("spoiled")
+    else:
+        one_way = F.struct(length, F.col("text")) < F.struct(other, F.col("other"))
+        spoiled = F.when(F.col("spoiled").isNotNull(), _edits_between(length, other, min_score, metric))
+    enough = F.coalesce(standing >= F.size("pieces") - spoiled, F.lit(True))
+    lengths = _may_match(F.col("text"), F.col("other"), min_score, metric)
+    pairs = _join_on_keys(kept, listed).where(lengths & one_way & first_shared & enough)
+    if not by_words:
+        pairs = pairs.select(F.least("text", "other").alias("a"), F.greatest("text", "other").alias("b"))
+        if metric != "levenshtein":
+            # Replacing a character counts once here and twice in the ratio, so this only sifts.
+            most = _edits_between(F.length("a"), F.length("b"), min_score, metric)
+            pairs = pairs.where(F.call_function("levenshtein", F.col("a"), F.col("b"), most) >= 0)
+        return pairs
+    pairs = pairs.select("text", "other")
+    if min_score <= 100 * scores.TOKEN_WEIGHT * scores.PARTIAL_WEIGHT:
         # Here a single shared word lifts texts of unlike length over the bar: such pairs are results.
         by_word = texts.select("text", F.explode(_words(F.col("text"))).alias("key"))
-        words = by_word.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
-        shared = _join_on_keys(by_word.join(words, "key"), by_word, words)
-        unlike = F.greatest(F.length("text"), F.length("other")) >= scores.PARTIAL_FROM * F.least(
-            F.length("text"), F.length("other")
-        )
-        pairs = pairs.unionAll(shared.where(unlike))
-    return (
-        pairs.where(F.col("text") != F.col("other"))
-        .where(_may_match(F.col("text"), F.col("other"), min_score, metric))
-        .select(F.least("text", "other").alias("a"), F.greatest("text", "other").alias("b"))
-        .distinct()
+        unlike = F.greatest(length, other) >= scores.PARTIAL_FROM * F.least(length, other)
+        shared = _join_on_keys(by_word, by_word).where(lengths & unlike & (F.col("text") < F.col("other")))
+        pairs = pairs.unionAll(shared.select("text", "other"))
+    pairs = pairs.select(F.least("text", "other").alias("a"), F.greatest("text", "other").alias("b")).distinct()
+    return _sift_by_words(pairs, min_score)
+
+
+def _sift_by_words(pairs: DataFrame, min_score: float) -> DataFrame:
+    """Drop pairs that neither the plain, the word nor the partial scores can lift to ``min_score``.
+
+    Edit distances tell, being at most the number of characters that come or go.
+    """
+    a, b = F.col("a"), F.col("b")
+
+    def within(x: Column, y: Column, score: float) -> Column:
+        most = _edits_between(F.length(x), F.length(y), score, "indel")
+        return F.call_function("levenshtein", x, y, most) >= 0
+
+    def in_order(text: Column) -> Column:
+        return F.array_join(F.array_sort(F.filter(F.split(text, _SPACES), lambda word: word != "")), " ")
+
+    def distinct_in_order(words: Column) -> Column:
+        return F.array_join(F.array_sort(words), " ")
+
+    word_score = min(min_score / scores.TOKEN_WEIGHT, 100.0)
+    words_a, words_b = _words(a), _words(b)
+    by_words = (
+        F.arrays_overlap(words_a, words_b)
+        | within(in_order(a), in_order(b), word_score)
+        | within(distinct_in_order(words_a), distinct_in_order(words_b), word_score)
     )
+    # Of two single words, the word scores say no more than the plain one.
+    several = a.rlike(_SPACES) | b.rlike(_SPACES)
+    alike = F.when(within(a, b, min_score), True).when(several, by_words).otherwise(False)
+    if min_score > 100 * scores.PARTIAL_WEIGHT:
+        return pairs.where(alike)
+    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    unlike_lengths = long >= short * scores.PARTIAL_FROM
+    if min_score == 100 * scores.PARTIAL_WEIGHT:
+        return pairs.where(F.when(unlike_lengths, a.contains(b) | b.contains(a)).otherwise(alike))
+    return pairs.where(unlike_lengths | alike)
 
 
 def _score(candidates: DataFrame, min_score: float, metric: str) -> DataFrame:
@@ -235,9 +322,8 @@ def _banded(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
     keyed = texts.withColumn("grams", grams).select(
         "text", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key")
     )
-    frequency = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     return (
-        _join_on_keys(keyed.join(frequency, "key"), keyed, frequency)
+        _join_on_keys(keyed, keyed)
         .where((F.col("text") < F.col("other")) & _may_match(F.col("text"), F.col("other"), min_score, metric))
         .select(F.col("text").alias("a"), F.col("other").alias("b"))
         .distinct()
