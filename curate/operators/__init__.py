@@ -13,7 +13,7 @@ from .headers import (
     standardize_headers,
 )
 from .impute import impute_constant, impute_group, impute_lookup
-from .profile import correlations, describe, profile, profile_subset, quartiles
+from .profiling import correlations, describe, profile, profile_subset, quartiles
 from .quality import (
     cardinality,
     count_exceeds,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse_number, parse_timestamp
@@ -52,17 +52,19 @@ def _summary(value: Column) -> dict[str, Column]:
 
 DESCRIBED = ("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
+# Rank error of an approximate percentile, as a share of the rows.
+ACCURACY = 10_000
+# Below this many rows an approximate percentile narrows nothing.
+FEW_ROWS = 20_000
+# Rows around a quartile that are few enough to be put in order.
+MOST_IN_BRACKET = 2_000_000
 
-def describe(
-    df: DataFrame,
-    columns: Sequence[str] | None = None,
-    approximate: bool = False,
-    rows_per_block: int = ROWS_PER_BLOCK,
-) -> DataFrame:
+
+def describe(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """Count, mean, sample deviation, least, quartiles and largest of numeric columns.
 
-    Quartiles are exact and interpolated. ``approximate`` takes them from the same
-    single pass as the rest, without a shuffle of the values.
+    Quartiles are exact and interpolated; see :func:`quartiles`. ``approximate`` takes
+    them from the same single pass as the rest.
     """
     columns = list(columns) if columns else numeric_columns(df)
     numbers = {name: _number(name) for name in columns}
@@ -70,29 +72,112 @@ def describe(
         per_column = {
             name: {
                 **_summary(value),
-                **{label: F.percentile_approx(value, q, 10_000) for label, q in QUARTILES.items()},
+                **{label: F.percentile_approx(value, q, ACCURACY) for label, q in QUARTILES.items()},
             }
             for name, value in numbers.items()
         }
         return _per_column(df, per_column).select(*DESCRIBED)
     base = _per_column(df, {name: _summary(value) for name, value in numbers.items()})
-    return base.join(quartiles(df, columns, rows_per_block), "column", "left").select(*DESCRIBED)
-
-
-def quartiles(df: DataFrame, columns: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Exact interpolated quartiles as rows ``(column, q25, q50, q75)``."""
-    ranks = value_ranks(_long(df, {name: _number(name) for name in columns}), rows_per_block)
-    picks = []
-    for label, q in QUARTILES.items():
-        place = (F.col("total") - 1) * q
-        for side, index in (("low", F.floor(place)), ("high", F.ceil(place))):
-            holds = (F.col("below") <= index) & (index < F.col("below") + F.col("n"))
-            picks.append(F.max(F.when(holds, F.col("value"))).alias(f"{label}_{side}"))
-        picks.append(F.max(place - F.floor(place)).alias(f"{label}_part"))
-    between = [
-        (F.col(f"{q}_low") + (F.col(f"{q}_high") - F.col(f"{q}_low")) * F.col(f"{q}_part")).alias(q) for q in QUARTILES
-    ]
-    return ranks.groupBy(F.col("group").alias("column")).agg(*picks).select("column", *between)
+    return base.join(quartiles(df, columns), "column", "left").select(*DESCRIBED)
+
+
+def quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Exact interpolated quartiles as rows ``(column, q25, q50, q75)``.
+
+    Values are neither shuffled nor sorted as a whole. When this is called, approximate
+    percentiles a little to both sides of each quartile are taken in one pass. The true
+    quartile lies between them, so only that narrow bracket is counted by value, and
+    put in order, with the number of rows below it. Brackets that still hold very many
+    rows are narrowed again in further passes.
+    """
+    targets = _brackets(df, columns)
+    brackets = {f"{name}/{label}": (low, high) for name, label, low, high in targets}
+    inside, below = {}, []
+    for key, (low, high) in brackets.items():
+        value = _number(key.rsplit("/", 1)[0])
+        inside[key] = F.when(_between(value, low, high), value)
+        below.append(
+            F.struct(
+                F.lit(key).alias("group"),
+                F.count(value).alias("total"),
+                (F.count_if(value < low) if low is not None else F.lit(0)).cast("long").alias("start"),
+            )
+        )
+    starts = df.agg(F.array(*below).alias("rows")).select(F.inline("rows"))
+    counts = _long(df, inside).groupBy("group", "value").agg(F.count(F.lit(1)).alias("n"))
+    running = Window.partitionBy("group").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One row per column and quartile.
+    placed = counts.withColumn("inside", F.sum("n").over(running)).join(F.broadcast(starts), "group")
+    column, label = F.regexp_extract("group", "^(.*)/", 1), F.regexp_extract("group", "/([^/]*)$", 1)
+    place = (F.col("total") - 1) * F.element_at(F.create_map(*[F.lit(x) for kv in QUARTILES.items() for x in kv]), label)
+    upto = F.col("start") + F.col("inside")
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((upto - F.col("n") <= index) & (index < upto), F.col("value")))
+
+    picked = placed.withColumns({"column": column, "label": label, "place": place}).groupBy("column", "label").agg(
+        at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"), F.max(F.col("place") - F.floor("place")).alias("part")
+    )
+    between = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    wide = [F.max(F.when(F.col("label") == q, between)).alias(q) for q in QUARTILES]
+    return picked.groupBy("column").agg(*wide)
+
+
+def _between(value: Column, low: float | None, high: float | None) -> Column:
+    inside = value.isNotNull()
+    if low is not None:
+        inside = inside & (value >= low)
+    return inside & (value <= high) if high is not None else inside
+
+
+Bracket = tuple[str, str, float | None, float | None]
+
+
+def _brackets(df: DataFrame, columns: Sequence[str]) -> list[Bracket]:
+    """``(column, quartile, low, high)``, both ends included, None for no end."""
+    margin = 2 / ACCURACY
+    open_targets: list[Bracket] = [(name, label, None, None) for name in columns for label in QUARTILES]
+    settled: list[Bracket] = []
+    shares = {(name, label): q for name in columns for label, q in QUARTILES.items()}
+    while open_targets:
+        # Quartiles that share a bracket, as all of a column do at first, share the work.
+        shared: dict[tuple[str, float | None, float | None], list[str]] = {}
+        for name, label, low, high in open_targets:
+            shared.setdefault((name, low, high), []).append(label)
+        asked = []
+        for (name, low, high), labels in shared.items():
+            inside = F.when(_between(_number(name), low, high), _number(name))
+            ends = [min(max(shares[name, label] + side, 0.0), 1.0) for label in labels for side in (-margin, margin)]
+            asked += [F.count(inside), F.percentile_approx(inside, ends, ACCURACY)]
+        facts = iter(df.agg(*asked).first())
+        still_open = []
+        for (name, low, high), labels in shared.items():
+            n, ends = next(facts), next(facts)
+            for i, label in enumerate(labels):
+                if n <= FEW_ROWS or [low, high] == ends[2 * i : 2 * i + 2]:
+                    settled.append((name, label, low, high))
+                    continue
+                narrow = (name, label, ends[2 * i], ends[2 * i + 1])
+                # A value repeated more often than this leaves a single row when counted.
+                (settled if n * 2 * margin <= MOST_IN_BRACKET else still_open).append(narrow)
+        if still_open:
+            shares.update(_shares(df, still_open))
+        open_targets = still_open
+    return settled
+
+
+def _shares(df: DataFrame, targets: Sequence[Bracket]) -> dict[tuple[str, str], float]:
+    """Where in its bracket each quartile lies, as a share of the bracket's rows."""
+    asked = []
+    for name, label, low, high in targets:
+        value = _number(name)
+        asked += [F.count(value), F.count_if(value < low), F.count_if(_between(value, low, high))]
+    facts = iter(df.agg(*asked).first())
+    found = {}
+    for name, label, _, _ in targets:
+        total, below, inside = next(facts), next(facts), next(facts)
+        found[name, label] = min(max(((total - 1) * QUARTILES[label] - below) / inside, 0.0), 1.0)
+    return found
 
 
 PROFILE = (

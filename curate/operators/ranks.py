@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bounds_passed
 
-ROWS_PER_BLOCK = 2_000_000
+ROWS_PER_BLOCK = 250_000
 MOST_BLOCKS = 4_000
 
 
@@ -39,7 +39,7 @@ def value_ranks(long: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFr
         (F.sum("rows").over(by_block) - F.col("rows")).alias("start"),
         F.sum("rows").over(Window.partitionBy("group")).alias("total"),
     )
-    inside = Window.partitionBy("group", "block").orderBy("value")
+    inside = Window.partitionBy("group", "block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     # At most MOST_BLOCKS rows per group.
     return blocked.withColumn("inside", F.sum("n").over(inside) - F.col("n")).join(
         F.broadcast(starts), ["group", "block"]

@@ -25,10 +25,14 @@ def block(request):
     return request.param
 
 
-def test_describe(spark, block):
+@pytest.mark.parametrize("few, most", [(20_000, 2_000_000), (300, 2_000_000), (50, 100)])
+def test_describe(spark, few, most, monkeypatch):
+    monkeypatch.setattr("curate.operators.profiling.FEW_ROWS", few)
+    monkeypatch.setattr("curate.operators.profiling.MOST_IN_BRACKET", most)
+    monkeypatch.setattr("curate.operators.profiling.ACCURACY", 50 if few < 1000 else 10_000)
     data = _numbers(3)
     df = spark.createDataFrame(data, "i long, a double, b double").repartition(5)
-    found = op.describe(df, ["a", "b"], rows_per_block=block).toPandas().set_index("column")
+    found = op.describe(df, ["a", "b"]).toPandas().set_index("column")
     expected = pd.DataFrame(data, columns=["i", "a", "b"])[["a", "b"]].astype(float).describe().T
     expected.columns = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
     for name in expected.columns:
