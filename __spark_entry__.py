@@ -841,6 +841,36 @@ def dim_activity(spark, folder):
     return star.dim_activity(_register(spark, folder))
 
 
+@query("""
+    SELECT o_orderkey, c_name AS postcode, md5(c_name) AS postcodeid, c_mktsegment AS postcode_area,
+           CAST(c_nationkey AS VARCHAR) AS postcode_district, n_name AS constituency,
+           CASE WHEN n_regionkey <> 1 THEN n_nationkey END AS constituencyid
+    FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND o_orderstatus <> 'P' AND c_acctbal > 0
+    LEFT JOIN nation ON n_nationkey = c_nationkey
+""")
+def place_premises(spark, folder):
+    customer = table(spark, folder, "customer")
+    named = customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("postcode"), "c_acctbal")
+    known = (F.col("o_orderstatus") != "P") & (F.col("c_acctbal") > 0)
+    premises = (
+        table(spark, folder, "orders")
+        .join(named, "o_custkey")
+        .select("o_orderkey", F.when(known, F.col("postcode")).alias("postcode"))
+    )
+    nation = table(spark, folder, "nation")
+    postcodes = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_name").alias("postcode"),
+        fn.md5_key(F.col("c_name")).alias("postcodeid"),
+        F.col("c_mktsegment").alias("postcode_area"),
+        F.col("c_nationkey").cast("string").alias("postcode_district"),
+        F.col("n_name").alias("constituency"),
+    )
+    classes = nation.where("n_regionkey <> 1").select(
+        F.col("n_nationkey").alias("constituencyid"), F.col("n_name").alias("constituencyname")
+    )
+    return star.place_premises(premises, postcodes, classes)
+
+
 _AS_POSTCODES = {
     "postcode": "p_name || ' ' || p_partkey",
     "postcode_area": "p_brand",
@@ -976,6 +1006,23 @@ def flatten_responses(spark, folder):
     return op.flatten_responses(_responses(spark, folder), "response", as_of)
 
 
+@query("""
+    SELECT sha1(c_name) AS premisesid, c_name AS full_address, 'place ' || c_custkey AS g_place_id,
+           CASE WHEN c_mktsegment <> 'FURNITURE' THEN c_name ELSE 'Missing' END AS g_formatted_address,
+           CASE WHEN c_acctbal > 0 THEN 'OPERATIONAL' ELSE 'Missing' END AS g_business_status,
+           CASE WHEN c_acctbal > 5000 THEN TIMESTAMP '2025-02-01' ELSE TIMESTAMP '2025-01-01' END AS api_call_date
+    FROM customer WHERE c_mktsegment IN ('FURNITURE', 'AUTOMOBILE')
+""")
+def dim_business_status(spark, folder):
+    def asked(day: str, where: Column) -> DataFrame:
+        customers = table(spark, folder, "customer").where(where).select(F.col("c_name").alias("full_address"))
+        again = _responses(spark, folder).join(customers, "full_address", "left_semi")
+        return op.flatten_responses(again, "response", F.lit(day).cast("timestamp_ntz"))
+
+    first, second = asked("2025-01-01", F.lit(True)), asked("2025-02-01", F.col("c_acctbal") > 5000)
+    return star.dim_business_status(first.unionAll(second))
+
+
 @query("""
     SELECT count(*) FILTER (c_mktsegment IN ('FURNITURE', 'AUTOMOBILE')) AS found,
            count(*) FILTER (c_mktsegment IN ('HOUSEHOLD', 'BUILDING')) AS empty,

@@ -13,6 +13,7 @@ from .headers import (
     standardize_headers,
 )
 from .impute import impute_constant, impute_group, impute_lookup
+from .joins import left_lookup
 from .profiling import correlations, describe, profile, profile_subset, quartiles
 from .quality import (
     cardinality,
@@ -55,6 +56,7 @@ __all__ = [
     "impute_lookup",
     "keep_one",
     "least_per_group",
+    "left_lookup",
     "null_counts",
     "pending_enrichment",
     "pivot_headers",

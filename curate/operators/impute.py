@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bounds_passed
+from .joins import NULL_SPREAD, left_lookup
 
 DEFAULT_FILL = "Missing"
 
@@ -18,8 +19,6 @@ ROWS_PER_BLOCK = 2_000_000
 MOST_CUT_GROUPS = 1_000
 MOST_BLOCKS = 2_000
 SAMPLES_PER_BLOCK = 50
-# Rows without a group are spread over this many window partitions.
-NULL_SPREAD = 1_000
 
 
 def impute_constant(df: DataFrame, columns: Mapping[str, str] | Sequence[str]) -> DataFrame:
@@ -37,17 +36,13 @@ def impute_constant(df: DataFrame, columns: Mapping[str, str] | Sequence[str]) -
 
 
 def impute_lookup(df: DataFrame, target: str, key: str, lookup: DataFrame) -> DataFrame:
-    """Where ``target`` is null, take the value that ``lookup(key, value)`` holds for ``key``.
-
-    Spark broadcasts the lookup by its own size check, or splits a hot key of ``df``
-    in a shuffled join.
-    """
-    table = lookup.select(F.col("key").alias("_key"), F.col("value").alias("_value"))
-    # Rows that need nothing get no key, and so cost the join nothing.
+    """Where ``target`` is null, take the value that ``lookup(key, value)`` holds for ``key``."""
+    table = lookup.select(F.col("key").alias("_lookup_key"), F.col("value").alias("_value"))
+    # Rows that need nothing ask for nothing.
     needed = F.when(F.col(f"`{target}`").isNull(), F.col(f"`{key}`"))
     filled = F.coalesce(F.col(f"`{target}`"), F.col("_value")).alias(target)
     rest = [filled if name == target else F.col(f"`{name}`") for name in df.columns]
-    return df.join(table, needed == F.col("_key"), "left").select(*rest)
+    return left_lookup(df, table, needed, "_lookup_key").select(*rest)
 
 
 def impute_group(

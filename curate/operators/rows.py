@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,13 +53,14 @@ def dedup_report(df: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(df: DataFrame, key: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """One row per ``key``: the first by ``order_by``, nulls last.
+def keep_one(df: DataFrame, key: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
+    """One row per ``key``: the first by ``order_by``, nulls last unless given as a sort expression.
 
     Spark drops all but one row per key within each task before the shuffle, so a key
     that holds a large part of the table does not end up in one task.
     """
     if not order_by:
         raise ValueError("name the columns that decide which row is kept")
-    ranked = Window.partitionBy(*key).orderBy(*[F.asc_nulls_last(c) for c in order_by])
+    order = [F.asc_nulls_last(c) if isinstance(c, str) else c for c in order_by]
+    ranked = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(ranked)).where("_rank = 1").drop("_rank")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import conditional_concat, sha1_key
-from ..operators import bridge, dim_distinct, dim_md5, dim_one_per_key, dim_sha1, pivot_wide, project
+from ..operators import bridge, dim_distinct, dim_md5, dim_one_per_key, dim_sha1, keep_one, left_lookup, pivot_wide, project
 
 # The columns of the star schema.
 ADDRESS = ("address_line_1", "address_line_2", "city", "postcode")
@@ -61,6 +61,34 @@ def dim_premises(register: DataFrame, one_per_key: bool = True) -> DataFrame:
     return dim.withColumn("full_address", full_address(*[F.col(c) for c in ADDRESS]))
 
 
+def place_premises(premises: DataFrame, postcodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Premises with the postcode's key, area, district and constituency, and the
+    constituency's key. Premises whose postcode or constituency is unknown stay.
+
+    ``postcodes`` is a :func:`dim_postcodes` and ``classes`` a :func:`dim_classes`.
+    """
+    areas = postcodes.select("postcode", "postcodeid", "postcode_area", "postcode_district", "constituency")
+    seats = classes.select("constituencyid", F.col("constituencyname").alias("constituency"))
+    placed = left_lookup(premises, dim_one_per_key(areas, "postcode"), F.col("postcode"), "postcode")
+    return left_lookup(placed, dim_one_per_key(seats, "constituency"), F.col("constituency"), "constituency")
+
+
+def dim_business_status(results: DataFrame) -> DataFrame:
+    """The latest search result of each premises."""
+    latest = keep_one(results, ["premisesid"], [F.desc("api_call_date"), "g_place_id"])
+    return project(
+        latest,
+        {
+            "premisesid": "premisesid",
+            "full_address": "full_address",
+            "g_place_id": "g_place_id",
+            "g_formatted_address_1": "g_formatted_address",
+            "g_business_status_1": "g_business_status",
+            "api_call_date": "api_call_date",
+        },
+    )
+
+
 def dim_activity(register: DataFrame) -> DataFrame:
     """Distinct licences: one row per premises and activity."""
     rows = register.select(premises_key().alias("premisesid"), F.col("premises_activity").alias("activity"))
@@ -99,12 +127,11 @@ def dim_deprivation(clean: DataFrame) -> DataFrame:
 def star_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """All rows of ``fact``, with each of ``dims = [(dimension, key), ...]`` joined on its key.
 
-    The key must be unique in its dimension. Spark broadcasts a dimension that is small
-    by its own measure, and else splits the rows of a hot key over several tasks.
+    The key must be unique in its dimension; see :func:`left_lookup`.
     """
     for dim, key in dims:
         clash = (set(dim.columns) - {key}) & set(fact.columns)
         if clash:
             raise ValueError(f"columns on both sides of the join on {key}: {', '.join(sorted(clash))}")
-        fact = fact.join(dim, key, "left")
+        fact = left_lookup(fact, dim, F.col(f"`{key}`"), key)
     return fact

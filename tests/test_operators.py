@@ -287,3 +287,16 @@ def test_responses(spark, rows):
     assert rows(op.response_counts(df, "r")) == [(2, 2, 2)]
     asked = spark.createDataFrame([("0",), ("1",), ("1",), ("7",)], "premisesid string")
     assert rows(op.pending_enrichment(asked, out, ["premisesid"])) == [("1",), ("7",)]
+
+
+def test_left_lookup_spreads_rows_without_a_key(spark, rows):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "z")], "id int, k string")
+    table = spark.createDataFrame([("a", 7), (None, 8)], "k string, v int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = op.left_lookup(df, table, F.col("k"), "k")
+        assert "hashpartitioning(_key" in out._jdf.queryExecution().executedPlan().toString()
+        assert "_spread" in out._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(_key")[1][:30]
+        assert rows(out) == [(1, None, None), (2, None, None), (3, "a", 7), (4, "z", None)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
