@@ -3,11 +3,9 @@
 from .keys import md5_key, sha1_key
 from .names import standardize_header, standardize_name
 from .parsing import parse_date, parse_number, parse_timestamp
-from .search import bounds_passed
 from .text import conditional_concat, normalise_text, strip
 
 __all__ = [
-    "bounds_passed",
     "conditional_concat",
     "md5_key",
     "normalise_text",

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bounds_passed
+from .blocks import with_bounds_passed
 from .joins import NULL_SPREAD, left_lookup
 
 DEFAULT_FILL = "Missing"
@@ -78,14 +78,12 @@ def impute_group(
     if bounds is None:
         placed = df.withColumn("_block", F.coalesce(spread, F.lit(0)))
     else:
-        cut = F.when(
-            F.col("_bounds").isNotNull(), bounds_passed(F.col("_bounds"), F.struct(*order_by), MOST_BLOCKS)
-        )
+        table, most = bounds
+        bounded = df.join(F.broadcast(table), ref == F.col("_ref"), "left")
         placed = (
-            df.join(F.broadcast(bounds), ref == F.col("_ref"), "left")
-            .withColumn("_block", F.coalesce(spread, cut, F.lit(0)))
-            .withColumn("_cut", F.col("_bounds").isNotNull())
-            .drop("_ref", "_bounds")
+            with_bounds_passed(bounded, F.col("_bounds"), F.struct(*order_by), most, "_passed")
+            .withColumns({"_block": F.coalesce(spread, F.col("_passed")), "_cut": F.col("_bounds").isNotNull()})
+            .drop("_ref", "_bounds", "_passed")
         )
 
     group = Window.partitionBy(ref, "_block").orderBy(*order_by)
@@ -118,8 +116,10 @@ def impute_group(
     return filled.select(*[out(name) for name in df.columns])
 
 
-def _block_bounds(df: DataFrame, reference: str, order_by: Sequence[str], rows_per_block: int) -> DataFrame | None:
-    """``(_ref, _bounds)`` for groups that must be cut, or None when there are none."""
+def _block_bounds(
+    df: DataFrame, reference: str, order_by: Sequence[str], rows_per_block: int
+) -> tuple[DataFrame, int] | None:
+    """``(_ref, _bounds)`` for groups that must be cut and the most bounds of one, or None."""
     spark = df.sparkSession
     ref = F.col(f"`{reference}`")
     sizes = df.where(ref.isNotNull()).groupBy(ref.alias("_ref")).agg(F.count(F.lit(1)).alias("_rows"))
@@ -147,7 +147,7 @@ def _block_bounds(df: DataFrame, reference: str, order_by: Sequence[str], rows_p
     bounds = sorted_sample.select("_ref", F.array_distinct(picked).alias("_bounds"))
     # Fixed on the driver, so that every use of the bounds sees the same ones.
     rows = bounds.collect()
-    return spark.createDataFrame(rows, bounds.schema) if rows else None
+    return (spark.createDataFrame(rows, bounds.schema), max(len(r["_bounds"]) for r in rows)) if rows else None
 
 
 def _carried(placed: DataFrame, ref: Column, targets: Sequence[str], order_by: Sequence[str]) -> DataFrame:

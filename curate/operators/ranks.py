@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bounds_passed
+from .blocks import with_bounds_passed
 
 ROWS_PER_BLOCK = 250_000
 MOST_BLOCKS = 4_000
@@ -24,11 +24,10 @@ def value_ranks(long: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFr
     bounds = _bounds(long, rows_per_block)
     counts = long.groupBy("group", "value").agg(F.count(F.lit(1)).alias("n"))
     if bounds is not None:
-        blocked = (
-            counts.join(F.broadcast(bounds), "group", "left")
-            .withColumn("block", F.coalesce(bounds_passed(F.col("bounds"), F.col("value"), MOST_BLOCKS), F.lit(0)))
-            .drop("bounds")
-        )
+        table = long.sparkSession.createDataFrame(list(bounds.items()), "group string, bounds array<double>")
+        most = max(map(len, bounds.values()))
+        bounded = counts.join(F.broadcast(table), "group", "left")
+        blocked = with_bounds_passed(bounded, F.col("bounds"), F.col("value"), most, "block").drop("bounds")
     else:
         blocked = counts.withColumn("block", F.lit(0))
     by_block = Window.partitionBy("group").orderBy("block")
@@ -46,8 +45,8 @@ def value_ranks(long: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFr
     ).select("group", "value", "n", (F.col("start") + F.col("inside")).alias("below"), "total")
 
 
-def _bounds(long: DataFrame, rows_per_block: int) -> DataFrame | None:
-    """``(group, bounds)`` of the groups that take more than one block, or None."""
+def _bounds(long: DataFrame, rows_per_block: int) -> dict[str, list[float]] | None:
+    """Bounds of the groups that take more than one block, or None."""
     rows = long.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_block).collect()
     if not rows:
         return None
@@ -59,4 +58,4 @@ def _bounds(long: DataFrame, rows_per_block: int) -> DataFrame | None:
         .groupBy("group")
         .agg(F.array_distinct(F.percentile_approx("value", cuts, 10_000)).alias("bounds"))
     )
-    return long.sparkSession.createDataFrame(found.collect(), "group string, bounds array<double>")
+    return {row["group"]: row["bounds"] for row in found.collect()}

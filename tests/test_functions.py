@@ -78,11 +78,3 @@ def test_keys(spark):
     assert first == "86f7e437faa5a7fce15d1ddcb9eaeaea377667b8"
     assert found[1:3] == ("9dd4e461268c8034f5c8564e155c67a6", None)
     assert found[3] != found[4]
-
-
-@pytest.mark.parametrize("size", [0, 1, 2, 3, 7, 64])
-def test_bounds_passed(spark, size):
-    bounds = [float(i // 2) for i in range(size)]
-    df = spark.range(-2, 40).select((F.col("id") / 2).alias("v"), F.array(*map(F.lit, bounds)).cast("array<double>").alias("b"))
-    for row in df.select("v", fn.bounds_passed(F.col("b"), F.col("v"), max(size, 1)).alias("k")).collect():
-        assert row.k == sum(b <= row.v for b in bounds)

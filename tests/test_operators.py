@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curate import operators as op
+from curate.operators.blocks import with_bounds_passed
 
 
 def test_headers(spark):
@@ -66,6 +67,16 @@ def test_keep_one(spark, rows):
     assert "WindowGroupLimit" in op.keep_one(df, ["k"], ["v"])._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 7, 64])
+def test_bounds_passed(spark, size):
+    bounds = [float(i // 2) for i in range(size)]
+    df = spark.range(-2, 40).select((F.col("id") / 2).alias("v"), F.array(*map(F.lit, bounds)).cast("array<double>").alias("b"))
+    for row in with_bounds_passed(df, F.col("b"), F.col("v"), size, "k").collect():
+        assert row.k == sum(b <= row.v for b in bounds)
+    unbounded = df.withColumn("b", F.lit(None).cast("array<double>"))
+    assert with_bounds_passed(unbounded, F.col("b"), F.col("v"), 5, "k").where("k <> 0").count() == 0
+
+
 GAPS = [(1, "a", None), (2, None, 5), (3, "a", 2), (4, "b", None), (5, "b", 3)]
 
 
