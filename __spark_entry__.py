@@ -7,9 +7,7 @@ missing, the same way on both sides.
 from __future__ import annotations
 
 import os
-import shutil
 import sys
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +22,7 @@ from curate import operators as op  # noqa: E402
 from curate import sources as src  # noqa: E402
 from curate.plans import cleaning, mart, star  # noqa: E402
 from curate.plans.rules import parse_rules  # noqa: E402
+from curate.sources.ship import ship_package  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,12 +46,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send the package to the executors, for queries whose tasks run Python."""
-    folder = tempfile.mkdtemp(prefix="curate-")
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/curate", "zip", ROOT, "curate"))
-
-
 def null_where(condition: Column, value: Column) -> Column:
     return F.when(~condition, value)
 
@@ -1187,9 +1180,25 @@ def entry(spark: SparkSession) -> DataFrame:
     return mart_by_area(spark, "/root/testdata/sf0.001")
 
 
+def _language_model_part() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of ``curate.llm`` and the corpus pipeline, if they are there."""
+    try:
+        import corpus_pipeline
+        from curate.llm import queries as llm
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "curate.llm"):
+            raise
+        return {}, {}
+    found = llm.queries() | {"pipeline": corpus_pipeline.run}
+    sql = llm.oracle_sql()
+    if corpus_pipeline.ORACLE_SQL:
+        sql = sql | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return found, sql
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | _language_model_part()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | _language_model_part()[1]
