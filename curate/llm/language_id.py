@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import BYTE_VALUES, stored, utf8
+from .common import BYTE_VALUES, slices, stored, utf8
 
 CELLS = 1 << 15
 #: Trigrams in a row speak together: evidence grows with their number to this power.
@@ -55,7 +55,7 @@ def learn(df: DataFrame, text: str, declared: str) -> tuple[list[str], np.ndarra
 
     def count(batches):
         total = np.zeros(len(names) * CELLS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             data, bounds = utf8(batch.column(0))
             if len(data) < 3:
                 continue
@@ -81,8 +81,8 @@ def weigh(df: DataFrame, names: list[str], table: np.ndarray, text: str, power:
     schema = df.select(*keep).schema.add("evidence", ArrayType(DoubleType()))
 
     def run(batches):
-        for batch in batches:
-            data, bounds = utf8(batch.column(batch.schema.get_field_index(text)))
+        for batch in slices(batches):
+            data, bounds = utf8(batch.column(0))
             size = np.maximum(np.diff(bounds) - 2, 0)
             out = np.zeros((len(names), batch.num_rows))
             if len(data) >= 3:

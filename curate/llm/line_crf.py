@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RunHashes, mix, utf8, word_hashes, word_spans
+from .common import RunHashes, mix, slices, utf8, word_hashes, word_spans
 
 MOST_ROWS = 4_000
 EDGES = np.array([0.0, 0.01, 0.03, 0.08, 0.15, 0.3, 0.5, 0.8], np.float32)
@@ -187,7 +187,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     chosen = labels.where("key IS NOT NULL AND label IS NOT NULL").dropDuplicates(["key"]).orderBy(F.xxhash64("key"), "key").limit(most_rows)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             values, size, first = line_values(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -213,10 +213,8 @@ def score(df: DataFrame, field: Field | None, text: str = "text", key: str = "do
     """(key, score, lines, bad_lines) of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             n = batch.num_rows
-            if not n:
-                continue
             values, size, first = line_values(batch.column(1))
             if field is None:
                 good, p = np.full(len(size), 0.5), np.full(n, 0.5)

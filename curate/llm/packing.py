@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import stored
+from .common import slices, stored
 
 LENGTH = 2048
 END = 0
@@ -48,7 +48,7 @@ def pieces(
     schema = _PIECES + (", ids binary" if with_ids else "")
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             out: dict[str, list] = defaultdict(list)
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(bpe.encode(ranks, content or ""), np.uint32(end)).astype("<u4")
