@@ -67,6 +67,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+#: Arrays over bytes and words are several times a text's size; tasks work on so much text at once.
+SLICE_BYTES = 1 << 21
+
+
+def slices(batches, column: int = 0, most: int = SLICE_BYTES):
+    """Batches cut by rows so that a text column holds about ``most`` bytes; a longer text stands alone."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bounds = utf8(batch.column(column))[1]
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + most, "right")) - 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 

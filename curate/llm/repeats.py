@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, RunHashes, mix, shuffle_parts, stored, utf8, word_hashes, word_spans
+from .common import BYTE_VALUES, RunHashes, mix, shuffle_parts, slices, stored, utf8, word_hashes, word_spans
 
 CHUNK = 1 << 18
 GROUP_ROWS = 1_000
@@ -46,7 +46,7 @@ class Kind:
     def units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, bounds = utf8(column)
         if not self.by_words:
-            return BYTE_VALUES[data], bounds
+            return data, bounds
         starts, ends, first = word_spans(data, bounds)
         return word_hashes(data, starts, ends), first
 
@@ -68,7 +68,6 @@ def _chunks(bounds: np.ndarray, overlap: int) -> Iterator[tuple[int, int]]:
 
 def segments(units: np.ndarray, bounds: np.ndarray, window: int, gram: int):
     """Of every segment: first window, number of windows, anchor's hash, segment's hash, anchor's distance."""
-    ends = np.repeat(bounds[1:], np.diff(bounds))
     w = window - gram + 1
     level = gram.bit_length() - 1
     found = []
@@ -76,7 +75,7 @@ def segments(units: np.ndarray, bounds: np.ndarray, window: int, gram: int):
         n = hi - lo
         if n < window:
             continue
-        runs = RunHashes(units[lo:hi], window)
+        runs = RunHashes(BYTE_VALUES[units[lo:hi]] if units.dtype == np.uint8 else units[lo:hi], window)
         grams = mix(runs.levels[level])
         least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
         width = 1
@@ -85,7 +84,9 @@ def segments(units: np.ndarray, bounds: np.ndarray, window: int, gram: int):
             width *= 2
         if width < w:
             least = np.minimum(least[: n - window + 1], least[w - width : w - width + n - window + 1])
-        starts = np.flatnonzero(np.arange(lo + window, hi + 1) <= ends[lo : hi - window + 1])
+        rows = np.arange(np.searchsorted(bounds, lo, "right") - 1, np.searchsorted(bounds, hi, "left"))
+        begins = np.maximum(bounds[rows], lo) - lo
+        starts = ranges(begins, np.maximum(np.minimum(bounds[rows + 1], hi) - lo - begins - window + 1, 0))
         if not len(starts):
             continue
         anchor = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -183,7 +184,7 @@ def sift(texts: DataFrame, kind: Kind, groups: int) -> DataFrame:
     buckets = BUCKETS_A_PART * shuffle_parts(texts.sparkSession)
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches, 2):
             units, bounds = kind.units(batch.column(2))
             first, count, h, s, off = segments(units, bounds, kind.window, kind.gram)
             if not len(first):
