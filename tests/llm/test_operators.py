@@ -1,0 +1,354 @@
+"""The ten operators against brute force, on small rows with nulls, ties, repeats and odd columns."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from curate.llm import brown_lm, chat, decontamination, language_id, line_crf, packing, quality_rules, simhash, suffix_array, suffix_tree
+from curate.llm.bpe import encode
+from curate.llm.components import components
+from curate.llm.repeats import group_column, group_of
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key string"
+
+
+def made_rows(seed=5):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join(word() for _ in range(rng.randint(1, 120))) for _ in range(30)]
+    texts += [f"{' '.join(word() for _ in range(9))} {passage} {word()}" for _ in range(4)]
+    texts += [texts[0]] * 3 + [passage[7:], "ab " * 300, "a" * 350, "x" * 99, "x" * 100, "", None, "\n\n", "One two\nOne two\nthree"]
+    rows = [(i, t, "en" if i % 2 else "fr", f"h{i % 3}.example.org" if i % 7 else None, None, 1.0, "k") for i, t in enumerate(texts)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(made_rows(), SCHEMA).repartition(3)
+
+
+def texts_of(rows):
+    return sorted((r[0], (r[1] or "").encode()) for r in rows)
+
+
+def brute_bytes(rows, width=100):
+    seen, out = set(), {}
+    for key, raw in texts_of(rows):
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - width + 1):
+            if raw[i : i + width] in seen:
+                gone[i : i + width] = b"\1" * width
+            seen.add(raw[i : i + width])
+        out[key] = bytes(b for b, g in zip(raw, gone) if not g)
+    return out
+
+
+def test_suffix_array_removes_what_stands_earlier(spark, docs):
+    out = {r["key"]: r for r in suffix_array.remove_repeats(docs).collect()}
+    want = brute_bytes(made_rows())
+    assert {k: bytes(r["kept"]) for k, r in out.items()} == want
+    for key, raw in texts_of(made_rows()):
+        kept, at = b"", 0
+        for span in out[key]["spans"]:
+            kept, at = kept + raw[at : span["start"]], span["end"]
+        assert kept + raw[at:] == want[key]
+    again = suffix_array.remove_repeats(docs, as_text=True, carry=("lang", "key")).collect()
+    assert all(r["carried_1"] == "k" for r in again) and len(again) == len(want)
+
+
+@pytest.mark.parametrize("letters", [1, 2, 4, 250])
+def test_suffixes_are_in_order(letters):
+    rng = np.random.default_rng(letters)
+    base = rng.integers(0, letters, 400).astype(np.uint8)
+    data = np.concatenate([base, base[50:300], base[:200], np.zeros(5 * suffix_array.V, np.uint8)])
+    places = rng.permutation(750)
+    raw = data.tobytes()
+    found = [raw[places[i] : places[i] + 124] for i in suffix_array.sort_suffixes(data, places)]
+    assert found == sorted(found)
+
+
+def test_suffix_trees_remove_all_copies(spark, docs):
+    count = collections.Counter()
+    for _, raw in texts_of(made_rows()):
+        found = raw.split()
+        count.update(tuple(found[i : i + 35]) for i in range(len(found) - 34))
+    out = {r["key"]: r for r in suffix_tree.remove_repeats(docs).collect()}
+    for key, raw in texts_of(made_rows()):
+        found = raw.split()
+        gone = [False] * len(found)
+        for i in range(len(found) - 34):
+            if count[tuple(found[i : i + 35])] > 1:
+                gone[i : i + 35] = [True] * 35
+        kept = b" ".join(w for w, g in zip(found, gone) if not g).decode()
+        assert (out[key]["kept"], out[key]["n_words"], out[key]["n_removed"]) == (kept, len(found), sum(gone))
+
+
+def test_partitions_take_longer_prefixes_until_small():
+    words = np.array([1, 1, 1, 2] * 40 + [3] * 40, np.uint64)
+    levels = suffix_tree.prefix_ranks(np.concatenate([words, np.zeros(35, np.uint64)]), 35)
+    places = np.arange(150)
+    groups = list(suffix_tree.partitions(levels, places, members=20))
+    assert sorted(np.concatenate(groups).tolist()) == list(range(150))
+    whole = levels[-1][1]
+    owner = {int(whole[p]): i for i, g in enumerate(groups) for p in places[g]}
+    assert all(owner[int(whole[p])] == i for i, g in enumerate(groups) for p in places[g])
+
+
+def test_groups_agree_with_spark(spark):
+    ids = [0, 1, -5, 2**62, -(2**63)]
+    df = spark.createDataFrame([(i,) for i in ids], "i long").select("i", group_column(F.col("i"), 97).alias("g"))
+    assert {r["i"]: r["g"] for r in df.collect()} == dict(zip(ids, group_of(np.array(ids), 97).tolist()))
+
+
+def test_equal_and_null_ids(spark):
+    long = "abc def ghi " * 12
+    rows = [(None, long, "en", None, 1, 0.0, "")] * 2 + [(3, long, "en", None, 1, 0.0, ""), (3, "other", "en", None, 1, 0.0, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = suffix_array.remove_repeats(df).collect()
+    assert len(out) == 4 and {r["key"] for r in out} == {None, 3}
+    # The null id comes first, so the copy under 3 goes; equal rows are one document.
+    assert [len(r["kept"]) for r in out if r["key"] == 3 and r["n_bytes"] > 5] == [0]
+    kept = [bytes(r["kept"]) for r in out if r["key"] is None]
+    assert kept[0] == kept[1] != b""
+    assert len(simhash.near_duplicates(df).collect()) == 4
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    found = (text or "").encode().lower().split()
+    grams = [b" ".join(found[i : i + 3]) for i in range(len(found) - 2)] or ([b" ".join(found)] if found else [])
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_components(spark):
+    rows = made_rows()
+    rows += [(100 + i, f"{rows[0][1]} {'w' * i}", "en", None, 1, 0.0, "") for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = {r["key"]: r for r in simhash.near_duplicates(df).collect()}
+    fps = {r[0]: brute_fingerprint(r[1]) for r in rows}
+    assert {k: r["fp"] % 2**64 for k, r in out.items()} == fps
+    label = {k: k for k in fps}
+    changed = True
+    while changed:
+        changed = False
+        for a in fps:
+            for b in fps:
+                if (fps[a] ^ fps[b]).bit_count() <= 2 and label[b] < label[a]:
+                    label[a], changed = label[b], True
+    assert {k: r["component"] for k, r in out.items()} == label
+    assert df.select(F.xxhash64(F.lit("a b c"))).first()[0] % 2**64 == __import__("xxhash").xxh64_intdigest(b"a b c", 42)
+
+
+def test_links_find_every_close_pair(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = {b ^ sum(1 << p for p in rng.sample(range(64), k)) for b in base for k in (0, 1, 2, 2, 3, 4)}
+    signed = [(x - 2**64 if x >= 2**63 else x,) for x in fps]
+    out = simhash.links(spark.createDataFrame(signed, "fp long")).collect()
+    found = [tuple(sorted((r["a"] % 2**64, r["b"] % 2**64))) for r in out]
+    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)]
+    out = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert out == {i: 0 for i in range(21)} | {i: 100 for i in range(100, 140)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_packing_holds_every_id_once(spark, docs):
+    big = [(500, "word and " * 1500, None, None, None, None, None)]
+    df = docs.unionByName(spark.createDataFrame(big, SCHEMA))
+    cut = packing.pieces(df, with_ids=True)
+    out = packing.pack(cut).collect()
+    ranks = packing.bpe.default_ranks()
+    by_doc = collections.defaultdict(list)
+    for r in out:
+        by_doc[r["key"]].append(r)
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+    for key, text in [(r[0], r[1]) for r in made_rows() + big]:
+        parts = sorted(by_doc[key], key=lambda r: r["piece"])
+        ids = np.concatenate([np.frombuffer(bytes(r["ids"]), "<u4") for r in parts])
+        assert ids.tolist() == [*encode(ranks, text or "").tolist(), 0]
+        assert all(r["length"] == 2048 for r in parts[1:]) and [r["start"] for r in parts] == np.cumsum([0] + [r["length"] for r in parts[:-1]]).tolist()
+    sequences = collections.defaultdict(list)
+    for r in out:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in sequences.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_packing_is_nearly_full():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(20, 1900, 3000)
+    sequence, _ = packing.pack_lengths(sizes)
+    assert np.bincount(sequence, sizes).max() <= 2048
+    assert sequence.max() + 1 <= math.ceil(sizes.sum() / 2048) * 1.02 + 3
+
+
+def test_ids_are_those_of_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    json = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ranks = packing.bpe.default_ranks()
+    for text in ["", "a  b\n\n c\t", "<|x|>  naïve—‘quoted’ 12345 !!!", *(r[1] or "" for r in made_rows())]:
+        assert encode(ranks, text).tolist() == json.encode(text, add_special_tokens=False).ids
+
+
+def test_leaks_by_brute_force(spark, docs):
+    rows = made_rows()
+    rng = random.Random(9)
+    items = [(0, rows[3][1]), (1, "a short item"), (2, None), (3, " ".join(f"q{i}" for i in range(70))), (4, "only two")]
+    changed = [f"q{i}" for i in range(70)]
+    changed[35] = "zz"
+    more = [(200, "intro words here " + " ".join(changed) + " and an end", 0), (201, "x y " + items[1][1].upper() + " z", 0), (202, "q1 q2 q3 q4 q5 q6", 0)]
+    more += [(203, " ".join(rng.choice(["q1", "q2", "zz"]) for _ in range(90)), 0)]
+    df = spark.createDataFrame([(r[0], r[1]) for r in rows] + [(m[0], m[1]) for m in more], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["key"], r["item"]): round(r["similarity"], 9) for r in decontamination.leaks(df, bench).collect()}
+    want = {}
+    for item, text in items:
+        goal = (text or "").lower().split()
+        if not goal:
+            continue
+        width = min(5, len(goal))
+        grams = collections.Counter(tuple(goal[i : i + width]) for i in range(len(goal) - width + 1))
+        for key, doc in [(r[0], r[1]) for r in rows] + [(m[0], m[1]) for m in more]:
+            w = (doc or "").lower().split()
+            for s in range(max(1, len(w) - len(goal) + 1)):
+                part = w[s : s + len(goal)]
+                own = collections.Counter(tuple(part[i : i + width]) for i in range(len(part) - width + 1))
+                shared = sum((own & grams).values())
+                if shared and shared / sum((own | grams).values()) >= 0.8:
+                    want[key, item] = max(want.get((key, item), 0), round(shared / sum((own | grams).values()), 9))
+    assert found == want and (200, 3) in want
+
+
+def test_rules_and_hosts(spark):
+    good = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, good, "good.org") for i in range(30)] + [(100 + i, "no " * 50, "bad.org") for i in range(30)] + [(200, good, "bad.org"), (201, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_words", F.lit("clash"))
+    out = {r["key"]: r for r in quality_rules.apply_rules(df).collect()}
+    assert out[0]["kept"] and not out[100]["kept"] and not out[200]["kept"] and not out[200]["base_failed"]
+    assert out[100]["n_repeat_words"] == 50 and out[201]["base_failed"] and out[201]["n_words"] == 0
+    assert quality_rules.apply_rules(df.limit(0)).count() == 0
+
+
+def test_chat_round_trip(spark):
+    hard = ["\\### Assistant: </turn> ok", "ends with \\", "</role>\\\\", "### User:", "", None, "plain", "\\\\</turn>\\"]
+    rows = [(c, t, role, text, 1) for c in (1, None) for t, (role, text) in enumerate(zip(["user", "assistant", "odd</role>\\", None] * 2, hard))]
+    rows += [(5, 0, "assistant", "one", 0), (5, 0, "assistant", "one", 0)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ids int")
+    out = {r["conv_id"]: r for r in chat.read_back(chat.assemble(df)).collect()}
+    for conv in (1, None, 5):
+        own = sorted((r[1], r[2] or "", r[3] or "") for r in rows if r[0] == conv)
+        every = "".join(f"{role}\n{text}\n" for _, role, text in own)
+        loss = "".join(text for _, role, text in own if role == "assistant")
+        r = out[conv]
+        assert r["turns_sha256"] == hashlib.sha256(every.encode()).hexdigest() and r["n_turns"] == len(own)
+        assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and r["loss_chars"] == len(loss)
+    assert chat.assemble(df.limit(0)).count() == 0
+
+
+def test_class_model_beats_its_base_and_sums_to_one(spark):
+    rng = random.Random(2)
+    sets = [[f"{p}{i}" for i in range(60)] for p in "abc"]
+    rows = [(i, " ".join(rng.choice(sets[i % 3]) for _ in range(80))) for i in range(200)] + [(900, ""), (901, None), (902, "NEW words A1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0
+    out = {r["key"]: r for r in brown_lm.score_texts(df, held, frequent=64, classes=4).collect()}
+    train = [(t or "").lower().split() for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    count = collections.Counter(w for t in train for w in t)
+    count["\n"] = len(train)
+    total = sum(count.values())
+    for i, text in rows:
+        tokens = [*(text or "").lower().split(), "\n"]
+        r = out[i]
+        base = sum(math.log10((count[t] + 0.1) / (total + 0.1 * (len(count) + 1))) for t in tokens)
+        assert (r["n_tokens"], r["train_tokens"], r["n_known"]) == (len(tokens), total, sum(count[t] > 0 for t in tokens))
+        assert r["base_score"] == pytest.approx(base)
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0)
+    tested = [r for r in out.values() if r["held_out"]]
+    assert sum(r["score"] for r in tested) > sum(r["base_score"] for r in tested)
+    counts = np.random.default_rng(0).integers(0, 50, (5, 5, 2)).astype(float)
+    moves, _ = brown_lm.log_tables(counts, np.array([3.0, 2, 1, 0, 0]), np.array([30.0, 20, 10, 5, 0]))
+    assert (10**moves).sum(1) == pytest.approx(np.ones(5))
+
+
+def test_exchange_separates_alternating_words():
+    rng = np.random.default_rng(1)
+    pairs = np.zeros((13, 13), int)
+    for i in range(6):
+        for j in range(6, 12):
+            pairs[i, j], pairs[j, i] = rng.integers(1, 40, 2)
+
+    def likelihood(of):
+        table = np.zeros((3, 3))
+        np.add.at(table, (of[:, None], of[None, :]), pairs)
+        x, rows, columns = table[table > 0], table.sum(1), table.sum(0)
+        return (x * np.log(x)).sum() - sum((t[t > 0] * np.log(t[t > 0])).sum() for t in (rows, columns))
+
+    of = brown_lm.exchange(pairs, 2)
+    assert len(set(of[:6])) == 1 and len(set(of[6:12])) == 1 and of[0] != of[6] and of[12] == 2
+    for w in range(12):
+        other = of.copy()
+        other[w] = 1 - of[w]
+        assert likelihood(other) <= likelihood(of) + 1e-9
+
+
+def test_languages_by_fused_evidence(spark):
+    rng = random.Random(4)
+    pools = {"en": ["the", "and", "with", "thing"], "fr": ["les", "une", "avec", "chose"]}
+    rows = [(i, " ".join(rng.choice(pools[l]) for _ in range(30)), l, f"{l}.example.org", "fr" if l == "fr" else "com") for i, l in enumerate(["en", "fr"] * 60)]
+    rows += [(500, None, "fr", None, None), (501, "", None, "fr.example.org", None), (502, "avec une chose les", None, None, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, suffix string").withColumn("n0", F.lit(1))
+    out = {r["key"]: r for r in language_id.identify(df, suffix="suffix").collect()}
+    assert all(out[r[0]]["language"] == r[2] and out[r[0]]["accepted"] for r in rows[:120])
+    assert out[500]["language"] == out[501]["language"] == out[502]["language"] == "fr"
+    assert language_id.identify(df.limit(0)).count() == 0
+    unknown = df.withColumn("lang", F.lit(None).cast("string"))
+    assert not any(r["accepted"] for r in language_id.identify(unknown).collect())
+
+
+def test_line_field(spark):
+    rng = random.Random(6)
+    line = lambda bad: " ".join(("***" if bad else "") + "".join(rng.choice("abcdef") for _ in range(5)) for _ in range(9))
+    rows = [(i, "\n".join(line(i % 3 == 0) for _ in range(rng.randint(1, 6))), int(i % 3 != 0)) for i in range(240)]
+    df = spark.createDataFrame([(r[0], r[1]) for r in rows] + [(900, None), (901, "")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] % 4], "key long, label int")
+    out = {r["key"]: r for r in line_crf.score(df, line_crf.train(df, labels)).collect()}
+    held = [r for r in rows if r[0] % 4 == 0]
+    assert sum((out[r[0]]["score"] >= 0.7) == bool(r[2]) for r in held) >= 0.95 * len(held)
+    assert len(out) == 242 and all(0 <= r["score"] <= 1 for r in out.values())
+    assert line_crf.train(df, labels.limit(0)) is None
+    assert {r["score"] for r in line_crf.score(df, None).collect()} == {0.5}
+
+
+def test_forward_backward_by_enumeration():
+    rng = np.random.default_rng(0)
+    state, moves = rng.normal(size=7), rng.normal(size=4)
+    first = np.array([0, 4, 7])
+    good, _, _ = line_crf.forward_backward(state, moves, first)
+    for a, b in ((0, 4), (4, 7)):
+        weight, marginal = 0.0, np.zeros(b - a)
+        for code in range(2 ** (b - a)):
+            y = [code >> i & 1 for i in range(b - a)]
+            w = math.exp(sum(state[a + i] * y[i] for i in range(b - a)) + sum(moves[2 * y[i] + y[i + 1]] for i in range(b - a - 1)))
+            weight += w
+            marginal += w * np.array(y)
+        assert good[a:b] == pytest.approx(marginal / weight)
