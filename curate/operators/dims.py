@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +65,8 @@ def scd2_merge(
     as_of: Column,
     close_missing: bool = False,
 ) -> DataFrame:
-    """Carry a type-2 history on to ``snapshot``, which has one row per ``key``.
+    """Carry a type-2 history on to ``snapshot``, which has one row per ``key``;
+    a repeated key is an error, and nulls in a key equal each other.
 
     A current row whose tracked values changed is closed at ``as_of`` and the new row
     opened; new keys are opened; the rest stays. Keys that the snapshot lacks stay
@@ -74,10 +76,15 @@ def scd2_merge(
     current = history.where("is_current")
     past = history.where("NOT is_current").select(*data, *HISTORY)
 
-    old, new = F.struct(*data, "valid_from").alias("old"), F.struct(*data).alias("new")
-    on = [F.col(k).alias(f"_key_{i}") for i, k in enumerate(key)]
-    names = [f"_key_{i}" for i in range(len(key))]
-    both = current.select(*on, old).join(snapshot.select(*on, new), names, "full")
+    old, new = F.struct(*data, "valid_from").alias("old"), F.struct(*data)
+    at = [F.col(f"`{k}`").alias(f"_at_{i}") for i, k in enumerate(key)]
+    # A key that comes twice would multiply the history, so it is an error; null is a key.
+    twice = F.raise_error(F.lit(f"more than one row of {', '.join(key)} in the snapshot"))
+    once = F.when(F.count(F.lit(1)) > 1, twice.cast(snapshot.select(new.alias("n")).schema[0].dataType)).otherwise(F.first(new))
+    fresh_rows = snapshot.groupBy(*at).agg(once.alias("new"))
+    held = current.select(*[F.col(f"`{k}`").alias(f"_key_{i}") for i, k in enumerate(key)], old)
+    same = reduce(lambda a, b: a & b, [F.col(f"_key_{i}").eqNullSafe(F.col(f"_at_{i}")) for i in range(len(key))])
+    both = held.join(fresh_rows, same, "full")
 
     changed = F.lit(False)
     for name in tracked:

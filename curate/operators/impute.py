@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_dir
 from .blocks import with_bounds_passed
 from .joins import NULL_SPREAD, left_lookup
 
@@ -14,10 +15,6 @@ DEFAULT_FILL = "Missing"
 
 # A group above this many rows is cut into blocks of about this size.
 ROWS_PER_BLOCK = 2_000_000
-# Never more groups cut, and never more blocks over all of them: the table of block
-# bounds stays this small however large the data is.
-MOST_CUT_GROUPS = 1_000
-MOST_BLOCKS = 2_000
 SAMPLES_PER_BLOCK = 50
 
 
@@ -72,6 +69,11 @@ def impute_group(
     if reference in targets:
         raise ValueError(f"{reference} cannot be filled from itself")
 
+    # Columns go by number meanwhile, so no name of theirs can meet one of those below.
+    names = df.columns
+    number = {name: f"column_{i}" for i, name in enumerate(names)}
+    df = df.toDF(*number.values())
+    targets, reference, order_by = [number[t] for t in targets], number[reference], [number[c] for c in order_by]
     bounds = _block_bounds(df, reference, order_by, rows_per_block)
     ref = F.col(f"`{reference}`")
     spread = F.when(ref.isNull(), F.pmod(F.xxhash64(*order_by), F.lit(NULL_SPREAD)).cast("int"))
@@ -79,7 +81,7 @@ def impute_group(
         placed = df.withColumn("_block", F.coalesce(spread, F.lit(0)))
     else:
         table, most = bounds
-        bounded = df.join(F.broadcast(table), ref == F.col("_ref"), "left")
+        bounded = df.join(table, ref == F.col("_ref"), "left")
         placed = (
             with_bounds_passed(bounded, F.col("_bounds"), F.struct(*order_by), most, "_passed")
             .withColumns({"_block": F.coalesce(spread, F.col("_passed")), "_cut": F.col("_bounds").isNotNull()})
@@ -99,7 +101,7 @@ def impute_group(
     if bounds is not None:
         carried = _carried(placed, ref, targets, order_by)
         filled = filled.join(
-            F.broadcast(carried), (ref == F.col("_ref")) & (F.col("_block") == F.col("_at")) & F.col("_cut"), "left"
+            carried, (ref == F.col("_ref")) & (F.col("_block") == F.col("_at")) & F.col("_cut"), "left"
         )
 
     def out(name: str) -> Column:
@@ -113,30 +115,27 @@ def impute_group(
         outside = value(name) if null_reference == "keep" else F.lit(None)
         return F.when(ref.isNotNull(), inside).otherwise(outside).alias(name)
 
-    return filled.select(*[out(name) for name in df.columns])
+    return filled.select(*[out(name) for name in df.columns]).toDF(*names)
 
 
 def _block_bounds(
     df: DataFrame, reference: str, order_by: Sequence[str], rows_per_block: int
 ) -> tuple[DataFrame, int] | None:
-    """``(_ref, _bounds)`` for groups that must be cut and the most bounds of one, or None."""
-    spark = df.sparkSession
+    """``(_ref, _bounds)`` for groups that must be cut and the most bounds of one, or None.
+
+    Every group over ``rows_per_block`` is cut. What grows with the data stays in tables in
+    the scratch folder; only whether there are any, and the longest list, come here.
+    """
     ref = F.col(f"`{reference}`")
     sizes = df.where(ref.isNotNull()).groupBy(ref.alias("_ref")).agg(F.count(F.lit(1)).alias("_rows"))
-    large = sizes.where(F.col("_rows") > rows_per_block).orderBy(F.desc("_rows")).limit(MOST_CUT_GROUPS)
-    large_rows = large.collect()
-    if not large_rows:
+    blocks = F.ceil(F.col("_rows") / F.lit(rows_per_block)).cast("int")
+    cut = _stored(sizes.where(F.col("_rows") > rows_per_block).select("_ref", blocks.alias("_blocks")), "cut")
+    if cut.isEmpty():
         return None
-    total = sum(row["_rows"] for row in large_rows)
-    block = max(rows_per_block, -(-total // MOST_BLOCKS))
-    blocks = [(row["_ref"], -(-row["_rows"] // block)) for row in large_rows]
-    schema = f"_ref {df.select(reference).schema[0].dataType.simpleString()}, _blocks int"
-    cut = spark.createDataFrame(blocks, schema).where("_blocks > 1")
-    fraction = min(1.0, SAMPLES_PER_BLOCK / block)
-    # The sample holds SAMPLES_PER_BLOCK * MOST_BLOCKS rows or so at any data size.
+    fraction = min(1.0, SAMPLES_PER_BLOCK / rows_per_block)
     sample = df.sample(fraction, seed=17).select(ref.alias("_ref"), F.struct(*order_by).alias("_at"))
     sorted_sample = (
-        sample.join(F.broadcast(cut), "_ref")
+        sample.join(cut, "_ref")
         .groupBy("_ref", "_blocks")
         .agg(F.array_sort(F.collect_list("_at")).alias("_sample"))
     )
@@ -145,9 +144,16 @@ def _block_bounds(
         lambda i: F.get("_sample", F.floor(i * F.size("_sample") / F.col("_blocks")).cast("int")),
     )
     bounds = sorted_sample.select("_ref", F.array_distinct(picked).alias("_bounds"))
-    # Fixed on the driver, so that every use of the bounds sees the same ones.
-    rows = bounds.collect()
-    return (spark.createDataFrame(rows, bounds.schema), max(len(r["_bounds"]) for r in rows)) if rows else None
+    # Stored, so that every use of the bounds sees the same ones.
+    bounds = _stored(bounds, "bounds")
+    most = bounds.agg(F.max(F.size("_bounds"))).first()[0]
+    return (bounds, most) if most else None
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _carried(placed: DataFrame, ref: Column, targets: Sequence[str], order_by: Sequence[str]) -> DataFrame:

@@ -30,4 +30,7 @@ def pivot_wide(
     elif on_duplicate != "first":
         raise ValueError("on_duplicate must be 'error' or 'first'")
     names = list(attributes) if attributes is not None else None
-    return pivot_headers(df.groupBy(*index).pivot(columns, names).agg(cell))
+    wide = pivot_headers(df.groupBy(*index).pivot(columns, names).agg(cell))
+    if len({name.lower() for name in wide.columns}) < len(wide.columns):
+        raise ValueError(f"attributes in {columns} share a column name once standardised: {', '.join(wide.columns)}")
+    return wide

@@ -7,23 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .own_columns import unused
 
 def where_null(df: DataFrame, column: str) -> DataFrame:
     """Rows without a value in ``column``."""
     return df.where(F.col(column).isNull())
 
 
-LONGEST_LITERAL_LIST = 1000
-
-
 def where_in(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    """Rows whose ``column`` is one of ``values``. Long lists become a semi join."""
-    values = list(values)
-    if len(values) <= LONGEST_LITERAL_LIST:
-        return df.where(F.col(column).isin(values))
-    field = df.select(column).schema[0]
-    listed = df.sparkSession.createDataFrame([(v,) for v in values], f"`{column}` {field.dataType.simpleString()}")
-    return df.join(listed, column, "left_semi")
+    """Rows whose ``column`` is one of ``values``, however many; nulls are in no list.
+
+    The list is a table of known size, which Spark broadcasts if small, and values meet the
+    column's type by Spark's rules for comparison.
+    """
+    values = [v for v in values if v is not None]
+    if not values:
+        return df.where(F.lit(False))
+    if any(isinstance(v, float) for v in values):
+        values = [float(v) if isinstance(v, int) else v for v in values]
+    name = unused("_listed", df)
+    listed = df.sparkSession.createDataFrame([(v,) for v in values], [name])
+    return df.join(listed, F.col(f"`{column}`") == F.col(name), "left_semi")
 
 
 def top_n(df: DataFrame, by: str, n: int, tie_break: Sequence[str]) -> DataFrame:
@@ -40,8 +44,9 @@ def deduplicate(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
     if not order_by:
         return df.distinct()
     data = [f"`{name}`" for name in df.columns if name not in order_by]
-    first = df.groupBy(*data).agg(F.min(F.struct(*order_by)).alias("_first"))
-    return first.select(*data, "_first.*").select(*[f"`{name}`" for name in df.columns])
+    name = unused("_first", df)
+    first = df.groupBy(*data).agg(F.min(F.struct(*order_by)).alias(name))
+    return first.select(*data, f"{name}.*").select(*[f"`{name}`" for name in df.columns])
 
 
 def dedup_report(df: DataFrame) -> DataFrame:
@@ -63,4 +68,5 @@ def keep_one(df: DataFrame, key: Sequence[str], order_by: Sequence[str | Column]
         raise ValueError("name the columns that decide which row is kept")
     order = [F.asc_nulls_last(c) if isinstance(c, str) else c for c in order_by]
     ranked = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(ranked)).where("_rank = 1").drop("_rank")
+    rank = unused("_rank", df)
+    return df.withColumn(rank, F.row_number().over(ranked)).where(F.col(rank) == 1).drop(rank)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalise_text, standardize_header
+from .own_columns import unused
 
 log = logging.getLogger(__name__)
 
@@ -61,6 +62,7 @@ def _trace(rules: list[Rule]) -> tuple[dict[str, str], list[list[str]]]:
 
 def _replace_exact(df: DataFrame, rules: dict[str, list[Rule]]) -> DataFrame:
     spark = df.sparkSession
+    names = df.columns
     chosen: dict[str, Column] = {}
     for i, (name, pairs) in enumerate(rules.items()):
         final, _ = _trace(pairs)
@@ -72,10 +74,10 @@ def _replace_exact(df: DataFrame, rules: dict[str, list[Rule]]) -> DataFrame:
             chosen[name] = F.coalesce(F.create_map(*entries)[text], text)
         else:
             # No hint: Spark knows the size of this table and broadcasts it if small.
-            table = spark.createDataFrame(list(final.items()), f"_old_{i} string, _new_{i} string")
-            df = df.join(table, text == F.col(f"_old_{i}"), "left")
-            chosen[name] = F.coalesce(F.col(f"_new_{i}"), text)
-    names = [name for name in df.columns if not name.startswith(("_old_", "_new_"))]
+            old, new = unused(f"_old_{i}", df), unused(f"_new_{i}", df)
+            table = spark.createDataFrame(list(final.items()), f"`{old}` string, `{new}` string")
+            df = df.join(table, text == F.col(old), "left")
+            chosen[name] = F.coalesce(F.col(new), text)
     return df.select(*[chosen[n].alias(n) if n in chosen else F.col(f"`{n}`") for n in names])
 
 

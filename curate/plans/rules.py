@@ -43,7 +43,7 @@ def _column_rule(raw_name: str, rule: Mapping[str, Any]) -> ColumnRule:
         type=rule.get("type"),
         method=rule.get("method"),
         reference=standardize_header(reference) if reference else None,
-        fill_value=rule.get("fill_value") or DEFAULT_FILL,
+        fill_value=DEFAULT_FILL if rule.get("fill_value") is None else rule["fill_value"],
     )
 
 

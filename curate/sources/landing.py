@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,11 @@ def _datasets(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     for status in files.listStatus(jvm_path):
         name = status.getPath().getName()
         if not name.startswith((".", "_")):
-            found.append((name.rsplit(".", 1)[0], status.getPath().toString()))
-    return sorted(found)
+            found.append((name, status.getPath().toString()))
+    # Datasets that differ only in their suffix keep it, so that each has a target.
+    stems = Counter(name.rsplit(".", 1)[0] for name, _ in found)
+    named = [(name.rsplit(".", 1)[0], name, path) for name, path in found]
+    return sorted((stem if stems[stem] == 1 else name.replace(".", "_"), path) for stem, name, path in named)
 
 
 def land_datasets(spark: SparkSession, source: str, base: str, zone: str = "RAW", workers: int = 8) -> DataFrame:
