@@ -188,10 +188,8 @@ _TEXTS_SQL = """
     FROM texts
 """)
 def apply_schema(spark, folder):
-    typed = op.apply_schema(
-        _texts(spark, folder), {"user_id": "string", "number": "float"}, ["time", "day", "not_there"]
-    )
-    return typed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("time", "day")})
+    types = {"user_id": "string", "number": "float"}
+    return op.apply_schema(_texts(spark, folder), types, ["time", "day", "not_there"])
 
 
 @query(_TEXTS_SQL + """
@@ -201,8 +199,7 @@ def apply_schema(spark, folder):
 """)
 def coerce_types(spark, folder):
     kinds = {"user_id": "categorical", "number": "numeric", "time": "datetime", "day": "date"}
-    typed = op.coerce_types(_texts(spark, folder), kinds)
-    return typed.withColumn("time", F.col("time").cast("timestamp_ntz"))
+    return op.coerce_types(_texts(spark, folder), kinds)
 
 
 # --- filters, duplicates -----------------------------------------------------------
@@ -488,7 +485,7 @@ def describe_numeric(spark, folder):
 
 
 def _profile_sql(column: str, kind: str, source: str = "gaps") -> str:
-    number = kind == "numeric"
+    number, text = kind == "numeric", kind == "categorical"
 
     def only(condition: bool, expression: str, type_name: str, name: str) -> str:
         return f"CAST({expression if condition else 'NULL'} AS {type_name}) AS {name}"
@@ -508,10 +505,12 @@ def _profile_sql(column: str, kind: str, source: str = "gaps") -> str:
         only(number, f"min({column})", "DOUBLE", "min"),
         only(number, f"max({column})", "DOUBLE", "max"),
         only(number, f"count(*) FILTER ({column} = 0)", "BIGINT", "zeros"),
-        only(not number, top.format("v"), "VARCHAR", "top"),
-        only(not number, top.format("c"), "BIGINT", "top_count"),
-        only(not number, f"min(length({column}))", "BIGINT", "min_length"),
-        only(not number, f"max(length({column}))", "BIGINT", "max_length"),
+        only(kind == "datetime", f"min({column})", "TIMESTAMP", "earliest"),
+        only(kind == "datetime", f"max({column})", "TIMESTAMP", "latest"),
+        only(text, top.format("v"), "VARCHAR", "top"),
+        only(text, top.format("c"), "BIGINT", "top_count"),
+        only(text, f"min(length({column}))", "BIGINT", "min_length"),
+        only(text, f"max(length({column}))", "BIGINT", "max_length"),
     ]
     return f"SELECT {', '.join(facts)} FROM {source}"
 
@@ -537,6 +536,34 @@ def profile_subset(spark, folder):
     return _rounded(op.profile_subset(gaps, F.col("nation").isNull(), _GAP_KINDS), 4)
 
 
+_DATED_KINDS = {"o_orderkey": "numeric", "day": "datetime", "price": "numeric", "o_orderstatus": "categorical"}
+
+
+@query("""
+    WITH dated AS (
+        SELECT o_orderkey, CASE WHEN o_totalprice >= 2000 THEN CAST(o_orderdate AS TIMESTAMP) END AS day,
+               CASE WHEN o_totalprice <= 300000 THEN CAST(o_totalprice AS DOUBLE) END AS price, o_orderstatus
+        FROM orders)
+""" + " UNION ALL ".join(_profile_sql(c, k, "dated") for c, k in _DATED_KINDS.items()))
+def profile_dates(spark, folder):
+    price = F.col("o_totalprice").cast("double")
+    dated = table(spark, folder, "orders").select(
+        "o_orderkey",
+        null_where(F.col("o_totalprice") < 2000, F.col("o_orderdate")).alias("day"),
+        F.when(price > 300000, float("nan")).otherwise(price).alias("price"),
+        "o_orderstatus",
+    )
+    return _rounded(op.profile(dated), 4)
+
+
+def _rank_corr_sql(a: str, b: str) -> str:
+    def rank(c: str) -> str:
+        return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+
+    return f"""SELECT '{a}' AS a, '{b}' AS b, 'spearman' AS method, round(corr(ra, rb), 6) AS corr
+        FROM (SELECT {rank(a)} AS ra, {rank(b)} AS rb FROM seen WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+
+
 _PAIRS = [(a, b) for i, a in enumerate(_MEASURES) for b in _MEASURES[i + 1 :]]
 
 
@@ -562,6 +589,15 @@ def correlation_spearman(spark, folder):
     return _rounded(op.correlations(lines, ["l_quantity", "l_extendedprice"], "spearman"))
 
 
+@query("""
+    WITH seen AS (SELECT l_quantity, l_extendedprice, l_discount,
+                         CASE WHEN l_linenumber > 1 THEN l_tax END AS l_tax FROM lineitem)
+""" + " UNION ALL ".join(_rank_corr_sql(a, b) for a, b in _PAIRS))
+def correlation_spearman_wide(spark, folder):
+    lines = table(spark, folder, "lineitem").withColumn("l_tax", null_where(F.col("l_linenumber") <= 1, F.col("l_tax")))
+    return _rounded(op.correlations(lines, _MEASURES, "spearman"))
+
+
 def _dependency_sql(a: str, b: str, source: str) -> str:
     return f"""SELECT '{a}' AS a, '{b}' AS b, (SELECT count(DISTINCT {a}) FROM {source}) AS n_a,
         (SELECT count(DISTINCT {b}) FROM {source}) AS n_b,
@@ -633,7 +669,6 @@ def fk_orphans(spark, folder):
     WHERE similarity_score >= 77 AND similarity_score < 100
 """)
 def similar_values_levenshtein(spark, folder):
-    ship_package(spark)
     return _rounded(op.similar_values(table(spark, folder, "part"), "p_name", 77, "levenshtein"))
 
 
@@ -663,10 +698,17 @@ def similar_values_indel(spark, folder):
     return _rounded(op.similar_values(table(spark, folder, "part"), "p_name", 80, "indel"))
 
 
-@query()
+@query(f"""
+    WITH names AS (SELECT DISTINCT url AS v FROM pages WHERE url <> ''),
+    pairs AS (SELECT a.v AS x, b.v AS y FROM names a JOIN names b ON a.v < b.v),
+    {_COMMON_SQL}
+    scored AS (SELECT x, y, round(200.0 * common / (length(x) + length(y)), 6) AS score FROM lcs)
+    SELECT x AS url, y AS matched_url, score::DOUBLE AS similarity_score FROM scored
+    WHERE score >= 90 AND score < 100
+""")
 def similar_values_lsh(spark, folder):
     ship_package(spark)
-    return op.similar_values(table(spark, folder, "pages"), "url", 90, "indel", method="lsh")
+    return _rounded(op.similar_values(table(spark, folder, "pages"), "url", 90, "indel", method="lsh"))
 
 
 # At 90 a partial score counts only where the shorter text stands in the longer one.
@@ -718,7 +760,6 @@ def similar_values_wratio(spark, folder):
     FROM scored WHERE score >= 80 AND score < 100
 """)
 def suggest_replacements(spark, folder):
-    ship_package(spark)
     return _rounded(op.suggest_replacements(table(spark, folder, "part"), "p_name", 80, "levenshtein"))
 
 
@@ -825,6 +866,38 @@ def dim_premises(spark, folder):
     return star.dim_premises(_register(spark, folder))
 
 
+@query(_REGISTER_SQL + f"""
+    SELECT DISTINCT {_PREMISES_ID} AS premisesid, account_number AS accountid, account_name FROM register
+""")
+def dim_account_premises(spark, folder):
+    return star.dim_account_premises(_register(spark, folder))
+
+
+_AS_DEPRIVATION = {
+    "imd_rank_2019": "n_nationkey",
+    "income": "count(c_custkey)",
+    "employment": "min(c_acctbal)",
+    "education_skills_and_training": "max(c_acctbal)",
+    "health_deprivation_and_disability": "count(DISTINCT c_mktsegment)",
+    "crime": "min(c_custkey)",
+    "barriers_to_housing_and_services": "max(c_custkey)",
+    "living_environment": "max(c_name)",
+}
+
+
+@query(
+    "SELECT n_regionkey AS constituencyid, n_name AS constituencyname, "
+    + ", ".join(f"{sql} AS {name}" for name, sql in _AS_DEPRIVATION.items())
+    + " FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_regionkey, n_name"
+)
+def dim_deprivation(spark, folder):
+    joined = table(spark, folder, "customer").join(table(spark, folder, "nation"), F.expr("c_nationkey = n_nationkey"))
+    measures = [F.expr(sql).alias(name) for name, sql in _AS_DEPRIVATION.items() if name != "imd_rank_2019"]
+    areas = joined.groupBy("n_nationkey", "n_regionkey", "n_name").agg(*measures)
+    named = {"n_regionkey": "onsconstid", "n_name": "constituencyname", "n_nationkey": "imd_rank_2019"}
+    return star.dim_deprivation(op.rename(areas, named))
+
+
 @query(_REGISTER_SQL + f"""
     SELECT DISTINCT sha1(concat_ws(chr(31), {_PREMISES_ID}, premises_activity)) AS premises_licenceid,
            {_PREMISES_ID} AS premisesid, premises_activity AS activity
@@ -952,15 +1025,14 @@ def scd2_merge(spark, folder):
     snapshot = customer.where(balance < 9000).withColumn("c_mktsegment", segment).unionAll(new)
 
     def day(text: str) -> Column:
-        return F.lit(text).cast("timestamp")
+        return F.lit(text).cast("timestamp_ntz")
 
     past = customer.where(balance > 5000).select(
         "c_custkey", F.lit("OLD").alias("c_mktsegment"), "c_acctbal", day("2023-01-01").alias("valid_from"),
         day("2024-01-01").alias("valid_to"), F.lit(False).alias("is_current"),
     )
     history = op.scd2_open(customer, day("2024-01-01")).unionByName(past)
-    merged = op.scd2_merge(history, snapshot, ["c_custkey"], ["c_mktsegment"], day("2024-06-01"))
-    return merged.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("valid_from", "valid_to")})
+    return op.scd2_merge(history, snapshot, ["c_custkey"], ["c_mktsegment"], day("2024-06-01"))
 
 
 # --- enrichment --------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,3 +33,16 @@ def standardize_header(name: str) -> str:
     """The same normalisation for one header on the driver."""
     kept = re.sub(_INVALID, "", str(name).strip().lower().replace(" ", "_"))[:MAX_NAME_LENGTH]
     return re.sub(_NO_LEAD, LEAD, re.sub(_RESERVED, RESERVED_BECOMES, kept))
+
+
+def distinct_headers(names: Iterable[str]) -> list[str]:
+    """Normalise header names; a name that is taken gets the first free ``_1``, ``_2``, …"""
+    taken: dict[str, None] = {}
+    for raw in names:
+        base = name = standardize_header(raw)
+        suffix = 0
+        while name in taken:
+            suffix += 1
+            name = f"{base}_{suffix}"
+        taken[name] = None
+    return list(taken)

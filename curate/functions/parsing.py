@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -20,11 +21,21 @@ def parse_number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
+def _naive(text: Column, fmt: str) -> Column:
+    """Text to a timestamp without zone, as written, whatever the session's zone skips or repeats."""
+    if set("VzOXxZ") & set(re.sub("'[^']*'", "", fmt)):
+        return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+    # Read as if in UTC, then counted on from the epoch: neither step asks the session's zone.
+    read = F.try_to_timestamp(F.concat(text, F.lit(" Z")), F.lit(f"{fmt} X"))
+    seconds = (F.unix_micros(read).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
 def parse_timestamp(text: Column, formats: Sequence[str] = (TIMESTAMP_FORMAT,)) -> Column:
-    """Text to timestamp by the first of ``formats`` that fits."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    """Text to timestamp without time zone, by the first of ``formats`` that fits."""
+    return F.coalesce(*[_naive(text, f) for f in formats])
 
 
 def parse_date(text: Column, formats: Sequence[str] = (DATE_FORMAT,)) -> Column:
     """Text to date by the first of ``formats`` that fits."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats])
+    return F.coalesce(*[F.try_to_date(text, f) for f in formats])

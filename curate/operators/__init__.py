@@ -1,11 +1,11 @@
 """Operators: DataFrame in, DataFrame out, for use with ``df.transform``."""
 
+from ..functions import distinct_headers
 from .dims import bridge, dim_distinct, dim_md5, dim_one_per_key, dim_sha1, scd2_merge, scd2_open
 from .enrich import flatten_responses, pending_enrichment, response_counts
 from .headers import (
     apply_schema,
     coerce_types,
-    distinct_headers,
     pivot_headers,
     project,
     rename,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import md5_key, sha1_key
 from .headers import project
-from .rows import keep_one
+from .own_columns import unused
 
 
 def dim_distinct(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -19,18 +19,36 @@ def dim_distinct(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 
 def dim_sha1(
-    df: DataFrame, key: str, key_columns: Sequence[str], attributes: Sequence[str] = (), sep: str = ""
+    df: DataFrame,
+    key: str,
+    key_columns: Sequence[str],
+    attributes: Sequence[str] = (),
+    sep: str = "",
+    distinct: bool = True,
 ) -> DataFrame:
     """Distinct rows under a sha1 key made of ``key_columns``. Keys repeat where
-    attributes differ; :func:`dim_one_per_key` settles that."""
+    attributes differ; :func:`dim_one_per_key` settles that, and for it ``distinct=False``
+    saves a shuffle."""
     columns = [*key_columns, *attributes]
-    rows = df.select(*[F.col(f"`{c}`") for c in columns]).distinct()
+    rows = df.select(*[F.col(f"`{c}`") for c in columns])
+    rows = rows.distinct() if distinct else rows
     return rows.select(sha1_key(*[F.col(f"`{c}`") for c in key_columns], sep=sep).alias(key), *columns)
 
 
 def dim_one_per_key(dim: DataFrame, key: str) -> DataFrame:
-    """One row per key, the least by all its other columns."""
-    return keep_one(dim, [key], [c for c in dim.columns if c != key])
+    """One row per key, the least by all its other columns, nulls last.
+
+    One aggregate, which keeps one row per key in each task before its only shuffle.
+    """
+    rest = [c for c in dim.columns if c != key]
+    if not rest:
+        return dim.distinct()
+    # Every column after the flag that it is null, so that nulls come last.
+    order = [part for i, c in enumerate(rest) for part in (F.col(f"`{c}`").isNull().alias(f"f{i}"), F.col(f"`{c}`").alias(f"c{i}"))]
+    least = unused("_least", dim)
+    kept = dim.groupBy(F.col(f"`{key}`")).agg(F.min(F.struct(*order)).alias(least))
+    back = {c: F.col(f"{least}.c{i}").alias(c) for i, c in enumerate(rest)} | {key: F.col(f"`{key}`")}
+    return kept.select(*[back[c] for c in dim.columns])
 
 
 def dim_md5(df: DataFrame, key: str, key_column: str, attributes: Sequence[str]) -> DataFrame:
@@ -51,7 +69,7 @@ def scd2_open(snapshot: DataFrame, as_of: Column) -> DataFrame:
     return snapshot.withColumns(
         {
             "valid_from": as_of,
-            "valid_to": F.lit(None).cast("timestamp"),
+            "valid_to": F.when(F.lit(False), as_of),
             "is_current": F.lit(True),
         }
     )

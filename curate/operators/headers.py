@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import parse_date, parse_number, parse_timestamp, standardize_header
-
-
-def distinct_headers(names: Iterable[str]) -> list[str]:
-    """Normalise header names; a name that is taken gets the first free ``_1``, ``_2``, …"""
-    taken: dict[str, None] = {}
-    for raw in names:
-        base = name = standardize_header(raw)
-        suffix = 0
-        while name in taken:
-            suffix += 1
-            name = f"{base}_{suffix}"
-        taken[name] = None
-    return list(taken)
+from ..functions import distinct_headers, parse_date, parse_number, parse_timestamp
 
 
 def standardize_headers(df: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import stored
 from .blocks import with_bounds_passed
 from .joins import NULL_SPREAD, left_lookup
+from .own_columns import known
 
 DEFAULT_FILL = "Missing"
 
@@ -36,8 +37,8 @@ def impute_lookup(df: DataFrame, target: str, key: str, lookup: DataFrame) -> Da
     """Where ``target`` is null, take the value that ``lookup(key, value)`` holds for ``key``."""
     table = lookup.select(F.col("key").alias("_lookup_key"), F.col("value").alias("_value"))
     # Rows that need nothing ask for nothing.
-    needed = F.when(F.col(f"`{target}`").isNull(), F.col(f"`{key}`"))
-    filled = F.coalesce(F.col(f"`{target}`"), F.col("_value")).alias(target)
+    needed = F.when(known(df, target).isNull(), F.col(f"`{key}`"))
+    filled = F.coalesce(known(df, target), F.col("_value")).alias(target)
     rest = [filled if name == target else F.col(f"`{name}`") for name in df.columns]
     return left_lookup(df, table, needed, "_lookup_key").select(*rest)
 
@@ -72,7 +73,7 @@ def impute_group(
     # Columns go by number meanwhile, so no name of theirs can meet one of those below.
     names = df.columns
     number = {name: f"column_{i}" for i, name in enumerate(names)}
-    df = df.toDF(*number.values())
+    df = df.select(*[(known(df, c) if c in targets else F.col(f"`{c}`")).alias(number[c]) for c in names])
     targets, reference, order_by = [number[t] for t in targets], number[reference], [number[c] for c in order_by]
     bounds = _block_bounds(df, reference, order_by, rows_per_block)
     ref = F.col(f"`{reference}`")
@@ -128,10 +129,10 @@ def _block_bounds(
     """
     ref = F.col(f"`{reference}`")
     sizes = df.where(ref.isNotNull()).groupBy(ref.alias("_ref")).agg(F.count(F.lit(1)).alias("_rows"))
-    blocks = F.ceil(F.col("_rows") / F.lit(rows_per_block)).cast("int")
-    cut = _stored(sizes.where(F.col("_rows") > rows_per_block).select("_ref", blocks.alias("_blocks")), "cut")
-    if cut.isEmpty():
+    if (sizes.agg(F.max("_rows")).first()[0] or 0) <= rows_per_block:
         return None
+    blocks = F.ceil(F.col("_rows") / F.lit(rows_per_block)).cast("int")
+    cut = stored(sizes.where(F.col("_rows") > rows_per_block).select("_ref", blocks.alias("_blocks")), "cut")
     fraction = min(1.0, SAMPLES_PER_BLOCK / rows_per_block)
     sample = df.sample(fraction, seed=17).select(ref.alias("_ref"), F.struct(*order_by).alias("_at"))
     sorted_sample = (
@@ -145,28 +146,22 @@ def _block_bounds(
     )
     bounds = sorted_sample.select("_ref", F.array_distinct(picked).alias("_bounds"))
     # Stored, so that every use of the bounds sees the same ones.
-    bounds = _stored(bounds, "bounds")
+    bounds = stored(bounds, "bounds")
     most = bounds.agg(F.max(F.size("_bounds"))).first()[0]
     return (bounds, most) if most else None
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _carried(placed: DataFrame, ref: Column, targets: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """Per block of a cut group: the last value of earlier blocks and the group's first."""
     at = F.struct(*order_by)
 
-    def known(name: str) -> Column:
+    def place(name: str) -> Column:
         return F.when(F.col(f"`{name}`").isNotNull(), at)
 
     ends = []
     for i, name in enumerate(targets):
-        ends.append(F.max_by(f"`{name}`", known(name)).alias(f"_last_{i}"))
-        ends.append(F.min_by(f"`{name}`", known(name)).alias(f"_head_{i}"))
+        ends.append(F.max_by(f"`{name}`", place(name)).alias(f"_last_{i}"))
+        ends.append(F.min_by(f"`{name}`", place(name)).alias(f"_head_{i}"))
     blocks = placed.where("_cut").groupBy(ref.alias("_ref"), F.col("_block").alias("_at")).agg(*ends)
     earlier = Window.partitionBy("_ref").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     all_blocks = Window.partitionBy("_ref").orderBy("_at").rowsBetween(

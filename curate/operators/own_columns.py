@@ -1,8 +1,9 @@
-"""Names for columns that an operator needs while it works."""
+"""Names for columns that an operator needs while it works, and what counts as missing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def unused(name: str, *frames: DataFrame) -> str:
@@ -11,3 +12,11 @@ def unused(name: str, *frames: DataFrame) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def known(df: DataFrame, name: str) -> Column:
+    """The column's value, with NaN as null: every operator takes both as missing."""
+    value = F.col(f"`{name}`")
+    if df.schema[name].dataType.typeName() in ("float", "double"):
+        return F.when(~F.isnan(value), value)
+    return value

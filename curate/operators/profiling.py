@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import combinations
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse_number, parse_timestamp
+from .joins import left_lookup
+from .own_columns import known
 from .ranks import ROWS_PER_BLOCK, value_ranks
 
 NUMERIC_TYPES = ("byte", "short", "integer", "long", "float", "double", "decimal")
+EXACT_TYPES = ("byte", "short", "integer", "long", "decimal")
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
@@ -77,8 +81,12 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, approximate: b
             for name, value in numbers.items()
         }
         return _per_column(df, per_column).select(*DESCRIBED)
-    base = _per_column(df, {name: _summary(value) for name, value in numbers.items()})
-    return base.join(quartiles(df, columns), "column", "left").select(*DESCRIBED)
+    summaries = [F.struct(*[a.alias(label) for label, a in _summary(value).items()]) for value in numbers.values()]
+    targets, facts = _settled(df, columns, summaries)
+    # One row per column, from the pass that also checks the brackets.
+    schema = "column string, count long, mean double, std double, min double, max double"
+    base = df.sparkSession.createDataFrame([(name, *row) for name, row in zip(columns, facts)], schema)
+    return base.join(_quartiles(df, targets), "column", "left").select(*DESCRIBED)
 
 
 def quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -88,34 +96,28 @@ def quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     percentiles a little to both sides of each quartile are taken in one pass. The true
     quartile lies between them, so only that narrow bracket is counted by value, and
     put in order, with the number of rows below it. Brackets that still hold very many
-    rows are narrowed again in further passes.
+    rows are narrowed again in further passes, and one that misses its quartile is opened.
     """
-    targets = _brackets(df, columns)
-    brackets = {f"{name}/{label}": (low, high) for name, label, low, high in targets}
-    inside, below = {}, []
-    for key, (low, high) in brackets.items():
-        value = _number(key.rsplit("/", 1)[0])
-        inside[key] = F.when(_between(value, low, high), value)
-        below.append(
-            F.struct(
-                F.lit(key).alias("group"),
-                F.count(value).alias("total"),
-                (F.count_if(value < low) if low is not None else F.lit(0)).cast("long").alias("start"),
-            )
-        )
-    starts = df.agg(F.array(*below).alias("rows")).select(F.inline("rows"))
+    return _quartiles(df, _settled(df, columns)[0])
+
+
+def _quartiles(df: DataFrame, targets: Sequence[Placed]) -> DataFrame:
+    inside = {}
+    for name, label, low, high, _, _ in targets:
+        value = _number(name)
+        inside[f"{name}/{label}"] = F.when(_between(value, low, high), value)
+    # One row per column and quartile.
+    placed = [(f"{name}/{label}", name, label, start, QUARTILES[label] * (total - 1)) for name, label, _, _, start, total in targets]
+    starts = df.sparkSession.createDataFrame(placed, "group string, column string, label string, start long, place double")
     counts = _long(df, inside).groupBy("group", "value").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("group").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # One row per column and quartile.
-    placed = counts.withColumn("inside", F.sum("n").over(running)).join(F.broadcast(starts), "group")
-    column, label = F.regexp_extract("group", "^(.*)/", 1), F.regexp_extract("group", "/([^/]*)$", 1)
-    place = (F.col("total") - 1) * F.element_at(F.create_map(*[F.lit(x) for kv in QUARTILES.items() for x in kv]), label)
+    ordered = counts.withColumn("inside", F.sum("n").over(running)).join(starts, "group")
     upto = F.col("start") + F.col("inside")
 
     def at(index: Column) -> Column:
         return F.max(F.when((upto - F.col("n") <= index) & (index < upto), F.col("value")))
 
-    picked = placed.withColumns({"column": column, "label": label, "place": place}).groupBy("column", "label").agg(
+    picked = ordered.groupBy("column", "label").agg(
         at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"), F.max(F.col("place") - F.floor("place")).alias("part")
     )
     between = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
@@ -131,6 +133,33 @@ def _between(value: Column, low: float | None, high: float | None) -> Column:
 
 
 Bracket = tuple[str, str, float | None, float | None]
+#: A bracket with the number of rows below it and in its column.
+Placed = tuple[str, str, float | None, float | None, int, int]
+
+
+def _positions(df: DataFrame, targets: Sequence[Bracket], more: Sequence[Column] = ()) -> tuple[list[tuple[int, int, int]], list]:
+    """``(total, below, inside)`` of each bracket and what ``more`` asks for, in one pass."""
+    asked = []
+    for name, _, low, high in targets:
+        value = _number(name)
+        below = F.count_if(value < low) if low is not None else F.sum(F.lit(0))
+        asked += [F.count(value), below, F.count_if(_between(value, low, high))]
+    facts = list(df.agg(*asked, *more).first())
+    found = [tuple(fact or 0 for fact in facts[3 * i : 3 * i + 3]) for i in range(len(targets))]
+    return found, facts[len(asked) :]
+
+
+def _settled(df: DataFrame, columns: Sequence[str], more: Sequence[Column] = ()) -> tuple[list[Placed], list]:
+    """Brackets that hold their quartiles, and what ``more`` asks for."""
+    targets = _brackets(df, columns)
+    positions, facts = _positions(df, targets, more)
+    placed = []
+    for (name, label, low, high), (total, below, inside) in zip(targets, positions):
+        place = QUARTILES[label] * max(total - 1, 0)
+        if total and not (below <= floor(place) and ceil(place) < below + inside):
+            low, high, below = None, None, 0
+        placed.append((name, label, low, high, below, total))
+    return placed, facts
 
 
 def _brackets(df: DataFrame, columns: Sequence[str]) -> list[Bracket]:
@@ -168,21 +197,16 @@ def _brackets(df: DataFrame, columns: Sequence[str]) -> list[Bracket]:
 
 def _shares(df: DataFrame, targets: Sequence[Bracket]) -> dict[tuple[str, str], float]:
     """Where in its bracket each quartile lies, as a share of the bracket's rows."""
-    asked = []
-    for name, label, low, high in targets:
-        value = _number(name)
-        asked += [F.count(value), F.count_if(value < low), F.count_if(_between(value, low, high))]
-    facts = iter(df.agg(*asked).first())
-    found = {}
-    for name, label, _, _ in targets:
-        total, below, inside = next(facts), next(facts), next(facts)
-        found[name, label] = min(max(((total - 1) * QUARTILES[label] - below) / inside, 0.0), 1.0)
-    return found
+    positions, _ = _positions(df, targets)
+    return {
+        (name, label): min(max(((total - 1) * QUARTILES[label] - below) / inside, 0.0), 1.0)
+        for (name, label, _, _), (total, below, inside) in zip(targets, positions)
+    }
 
 
 PROFILE = (
     "column", "kind", "n", "missing", "missing_pct", "distinct", "is_unique", "is_constant",
-    "mean", "std", "min", "max", "zeros", "top", "top_count", "min_length", "max_length",
+    "mean", "std", "min", "max", "zeros", "earliest", "latest", "top", "top_count", "min_length", "max_length",
 )
 
 
@@ -204,8 +228,8 @@ def _as_kind(df: DataFrame, name: str, kind: str) -> Column:
     if kind == "numeric":
         return parse_number(col) if is_text else _number(name)
     if kind == "datetime":
-        return parse_timestamp(col) if is_text else col.cast("timestamp")
-    return col.cast("string")
+        return parse_timestamp(col) if is_text else col.cast("timestamp_ntz")
+    return known(df, name).cast("string")
 
 
 def profile(df: DataFrame, kinds: Mapping[str, str] | None = None, approximate: bool = False) -> DataFrame:
@@ -219,10 +243,11 @@ def profile(df: DataFrame, kinds: Mapping[str, str] | None = None, approximate:
     kinds = {name: _kind(df, name, kinds or {}) for name in df.columns}
     typed = df.select(*[_as_kind(df, name, kind).alias(name) for name, kind in kinds.items()])
     no_number, no_count = F.lit(None).cast("double"), F.lit(None).cast("long")
+    no_time = F.lit(None).cast("timestamp_ntz")
 
     def facts(name: str) -> dict[str, Column]:
         value, kind = F.col(f"`{name}`"), kinds[name]
-        is_number, is_text = kind == "numeric", kind == "categorical"
+        is_number, is_text, is_time = kind == "numeric", kind == "categorical", kind == "datetime"
         all_facts = {
             "kind": F.lit(kind),
             "n": F.count(F.lit(1)),
@@ -232,6 +257,8 @@ def profile(df: DataFrame, kinds: Mapping[str, str] | None = None, approximate:
             "min": F.min(value) if is_number else no_number,
             "max": F.max(value) if is_number else no_number,
             "zeros": F.count_if(value == 0) if is_number else no_count,
+            "earliest": F.min(value) if is_time else no_time,
+            "latest": F.max(value) if is_time else no_time,
             "min_length": F.min(F.length(value)).cast("long") if is_text else no_count,
             "max_length": F.max(F.length(value)).cast("long") if is_text else no_count,
         }
@@ -243,9 +270,7 @@ def profile(df: DataFrame, kinds: Mapping[str, str] | None = None, approximate:
     if approximate:
         rows = base.withColumns({"top": F.lit(None).cast("string"), "top_count": no_count})
     else:
-        rows = base.join(_distinct_and_top(typed, kinds), "column", "left")
-        if "top" not in rows.columns:
-            rows = rows.withColumns({"top": F.lit(None).cast("string"), "top_count": no_count})
+        rows = base.join(_distinct_and_top(df, kinds), "column", "left")
     distinct = F.coalesce("distinct", F.lit(0))
     derived = {
         "missing": F.col("n") - F.col("filled"),
@@ -257,30 +282,31 @@ def profile(df: DataFrame, kinds: Mapping[str, str] | None = None, approximate:
     return rows.withColumns(derived).select(*PROFILE)
 
 
-def _distinct_and_top(typed: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
-    """Exact distinct counts of all columns, and the most frequent values of the categorical ones."""
+def _distinct_and_top(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """Exact distinct counts of all columns, and the most frequent values of the categorical ones.
+
+    Values are counted as what they are: whole numbers and decimals by their digits, other
+    numbers as numbers, dates as timestamps. Ties go to the smallest text.
+    """
 
-    def counted(names: Sequence[str]) -> DataFrame:
-        texts = {name: F.col(f"`{name}`").cast("string") for name in names}
-        long = _long(typed, texts).withColumnRenamed("group", "column")
-        return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("times"))
+    def cell(name: str, kind: str) -> Column:
+        value = _as_kind(df, name, kind)
+        exact = kind == "numeric" and df.schema[name].dataType.typeName() in EXACT_TYPES
+        text = F.col(f"`{name}`").cast("string") if exact else value if kind == "categorical" else F.lit(None)
+        return F.struct(
+            F.lit(name).alias("column"),
+            text.cast("string").alias("text"),
+            (value if kind == "numeric" and not exact else F.lit(None)).cast("double").alias("number"),
+            (value if kind == "datetime" else F.lit(None)).cast("timestamp_ntz").alias("time"),
+        )
 
+    cells = df.select(F.inline(F.array(*[cell(name, kind) for name, kind in kinds.items()])))
+    filled = cells.where("text IS NOT NULL OR number IS NOT NULL OR time IS NOT NULL")
+    counts = filled.groupBy("column", "text", "number", "time").agg(F.count(F.lit(1)).alias("times"))
     categorical = [name for name, kind in kinds.items() if kind == "categorical"]
-    others = [name for name in kinds if name not in categorical]
-    parts = []
-    if categorical:
-        counts = counted(categorical)
-        sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.max("times").alias("top_count"))
-        # One row per column of the table. Ties go to the smallest value.
-        most = counts.join(F.broadcast(sizes), "column").where("times = top_count")
-        parts.append(sizes.join(most.groupBy("column").agg(F.min("value").alias("top")), "column"))
-    if others:
-        sizes = counted(others).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
-        parts.append(sizes)
-    first, *rest = parts
-    for part in rest:
-        first = first.unionByName(part, allowMissingColumns=True)
-    return first
+    ordered = F.when(F.col("column").isin(categorical), F.struct((-F.col("times")).alias("less"), "text"))
+    found = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.min(ordered).alias("most"))
+    return found.select("column", "distinct", F.col("most.text").alias("top"), (-F.col("most.less")).alias("top_count"))
 
 
 def profile_subset(df: DataFrame, where: Column, kinds: Mapping[str, str] | None = None) -> DataFrame:
@@ -324,21 +350,42 @@ def _corr_rows(df: DataFrame, pairs: Sequence[tuple[str, str, Column, Column]],
 
 
 def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows_per_block: int) -> DataFrame:
-    """Correlate average ranks. Each pair ranks only the rows that have both values."""
-    sides, out = {}, []
-    for i, (a, b) in enumerate(pairs):
+    """Correlate average ranks, over the rows that have both values of a pair.
+
+    Where two columns have their gaps in the same rows, the ranks of each serve all such
+    pairs; only other pairs rank the rows they share on their own. All rankings come from
+    one reading of the table, and all pairs of the first kind from one more.
+    """
+    unlike = [F.count_if(_number(a).isNull() != _number(b).isNull()) for a, b in pairs]
+    shared, apart = [], []
+    for pair, n in zip(pairs, df.agg(*unlike).first()):
+        (apart if n else shared).append(pair)
+    columns = sorted({name for pair in shared for name in pair})
+    sides = {f"{i}": _number(name) for i, name in enumerate(columns)}
+    for i, (a, b) in enumerate(apart):
         both = _number(a).isNotNull() & _number(b).isNotNull()
-        sides[f"{i}a"] = F.when(both, _number(a))
-        sides[f"{i}b"] = F.when(both, _number(b))
+        sides |= {f"{i}a": F.when(both, _number(a)), f"{i}b": F.when(both, _number(b))}
     ranks = value_ranks(_long(df, sides), rows_per_block)
     rank = F.col("below") + (F.col("n") + 1) / 2
-    for i, (a, b) in enumerate(pairs):
-        # Ranks are unique by value, so Spark can split a frequent value's rows over tasks.
+
+    def ranked(values: DataFrame, keys: Mapping[str, str]) -> DataFrame:
+        """The rank of each column's value, ``{column of values: group}``; null has none."""
+        for name, group in keys.items():
+            # Ranks are unique by value, so Spark can split a frequent value's rows over tasks.
+            table = ranks.where(F.col("group") == group).select(F.col("value").alias("at"), rank.alias(f"rank_{name}"))
+            values = left_lookup(values, table, F.col(name), "at")
+        return values
+
+    out = []
+    if shared:
+        values = df.select(*[_number(name).alias(f"c{i}") for i, name in enumerate(columns)])
+        values = ranked(values, {f"c{i}": f"{i}" for i in range(len(columns))})
+        at = {name: F.col(f"rank_c{i}") for i, name in enumerate(columns)}
+        out.append(_corr_rows(values, [(a, b, at[a], at[b]) for a, b in shared], "spearman"))
+    for i, (a, b) in enumerate(apart):
         values = df.select(_number(a).alias("x"), _number(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-        for side, value in (("a", "x"), ("b", "y")):
-            of_side = ranks.where(F.col("group") == f"{i}{side}").select(F.col("value").alias(value), rank.alias(side))
-            values = values.join(of_side, value)
-        out.append(_corr_rows(values, [(a, b, F.col("a"), F.col("b"))], "spearman"))
+        values = ranked(values, {"x": f"{i}a", "y": f"{i}b"})
+        out.append(_corr_rows(values, [(a, b, F.col("rank_x"), F.col("rank_y"))], "spearman"))
     first, *rest = out
     for more in rest:
         first = first.unionAll(more)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .own_columns import known
 from .rows import where_in
 
 
@@ -21,8 +22,8 @@ def least_per_group(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """Rows ``(column, n_null)`` from one pass."""
-    counts = [F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns]
+    """Rows ``(column, n_null)`` from one pass; NaN counts as null."""
+    counts = [F.count_if(known(df, c).isNull()).alias(c) for c in df.columns]
     return df.agg(*counts).unpivot([], [f"`{c}`" for c in df.columns], "column", "n_null")
 
 

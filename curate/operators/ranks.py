@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import with_bounds_passed
+from ..sources.scratch import stored
 
 ROWS_PER_BLOCK = 250_000
-MOST_BLOCKS = 4_000
 
 
 def value_ranks(long: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -16,20 +15,18 @@ def value_ranks(long: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFr
     ``(group, value, n, below, total)``, where ``below`` counts the group's smaller rows.
 
     Equal values are counted before anything is sorted, so a frequent one is a single
-    row. Values are then cut by approximate quantiles into blocks sorted on their own,
-    and each block starts where the blocks below it end. The groups are columns, not
-    data, so their bounds fit the driver; they are fixed when this is called, and
-    inexact bounds only make blocks uneven.
+    row. The counts are then dealt by range into as many blocks as their number asks for,
+    and stored in the scratch folder when this is called, so the given rows are read once
+    however often the ranks are used. Blocks are sorted on their own, and each starts where
+    the blocks below it end.
     """
-    bounds = _bounds(long, rows_per_block)
-    counts = long.groupBy("group", "value").agg(F.count(F.lit(1)).alias("n"))
-    if bounds is not None:
-        table = long.sparkSession.createDataFrame(list(bounds.items()), "group string, bounds array<double>")
-        most = max(map(len, bounds.values()))
-        bounded = counts.join(F.broadcast(table), "group", "left")
-        blocked = with_bounds_passed(bounded, F.col("bounds"), F.col("value"), most, "block").drop("bounds")
-    else:
-        blocked = counts.withColumn("block", F.lit(0))
+    counts = stored(long.groupBy("group", "value").agg(F.count(F.lit(1)).alias("n")), "counts")
+    blocks = max(1, -(-counts.count() // rows_per_block))
+    dealt = counts if blocks == 1 else counts.repartitionByRange(blocks, "group", "value")
+    block = F.lit(0) if blocks == 1 else F.spark_partition_id()
+    # Stored, so that a task that runs again cannot deal otherwise.
+    blocked = stored(dealt.withColumn("block", block), "blocks") if blocks > 1 else dealt.withColumn("block", block)
+
     by_block = Window.partitionBy("group").orderBy("block")
     sizes = blocked.groupBy("group", "block").agg(F.sum("n").alias("rows"))
     starts = sizes.select(
@@ -39,23 +36,8 @@ def value_ranks(long: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFr
         F.sum("rows").over(Window.partitionBy("group")).alias("total"),
     )
     inside = Window.partitionBy("group", "block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    # At most MOST_BLOCKS rows per group.
-    return blocked.withColumn("inside", F.sum("n").over(inside) - F.col("n")).join(
-        F.broadcast(starts), ["group", "block"]
-    ).select("group", "value", "n", (F.col("start") + F.col("inside")).alias("below"), "total")
-
-
-def _bounds(long: DataFrame, rows_per_block: int) -> dict[str, list[float]] | None:
-    """Bounds of the groups that take more than one block, or None."""
-    rows = long.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_block).collect()
-    if not rows:
-        return None
-    blocks = {row["group"]: min(MOST_BLOCKS, -(-row["n"] // rows_per_block)) for row in rows}
-    most = max(blocks.values())
-    cuts = [i / most for i in range(1, most)]
-    found = (
-        long.where(F.col("group").isin(*blocks))
-        .groupBy("group")
-        .agg(F.array_distinct(F.percentile_approx("value", cuts, 10_000)).alias("bounds"))
+    return (
+        blocked.withColumn("inside", F.sum("n").over(inside) - F.col("n"))
+        .join(starts, ["group", "block"])
+        .select("group", "value", "n", (F.col("start") + F.col("inside")).alias("below"), "total")
     )
-    return {row["group"]: row["bounds"] for row in found.collect()}

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .own_columns import unused
+from .own_columns import known, unused
+
 
 def where_null(df: DataFrame, column: str) -> DataFrame:
-    """Rows without a value in ``column``."""
-    return df.where(F.col(column).isNull())
+    """Rows without a value in ``column``; NaN is none."""
+    return df.where(known(df, column).isNull())
 
 
 def where_in(df: DataFrame, column: str, values: Sequence) -> DataFrame:

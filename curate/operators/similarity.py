@@ -19,6 +19,7 @@ than a small block of texts against another such block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log, log1p
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,10 +31,9 @@ from .quality import value_counts
 PIECE_SIZES = (1, 2, 3, 4)
 # Texts on each side of a block of a salted key.
 TEXTS_PER_SALT = 2_000
-# Below this, two similar texts need not have a surviving piece (see _edits_allowed).
-LEAST_SCORE = 77.0
-
-METRICS = ("wratio", "indel", "levenshtein")
+# Below these, two similar texts need not have a surviving piece (see _edits_allowed): a
+# partner's edits could spoil every character.
+LEAST_SCORE = {"wratio": 77.0, "indel": 67.0, "levenshtein": 51.0}
 
 
 # \s in the JVM leaves out some characters.
@@ -200,11 +200,7 @@ def _candidates(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
     pairs = _join_on_keys(kept, listed).where(lengths & one_way & first_shared & enough)
     if not by_words:
         pairs = pairs.select(F.least("text", "other").alias("a"), F.greatest("text", "other").alias("b"))
-        if metric != "levenshtein":
-            # Replacing a character counts once here and twice in the ratio, so this only sifts.
-            most = _edits_between(F.length("a"), F.length("b"), min_score, metric)
-            pairs = pairs.where(F.call_function("levenshtein", F.col("a"), F.col("b"), most) >= 0)
-        return pairs
+        return _sift(pairs, min_score, metric)
     pairs = pairs.select("text", "other")
     if min_score <= 100 * scores.TOKEN_WEIGHT * scores.PARTIAL_WEIGHT:
         # Here a single shared word lifts texts of unlike length over the bar: such pairs are results.
@@ -216,6 +212,17 @@ def _candidates(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
     return _sift_by_words(pairs, min_score)
 
 
+def _sift(pairs: DataFrame, min_score: float, metric: str) -> DataFrame:
+    """Drop pairs that too many edits part for the plain score.
+
+    Replacing a character counts once here and twice in the ratio, so this only sifts.
+    """
+    if metric == "levenshtein":
+        return pairs
+    most = _edits_between(F.length("a"), F.length("b"), min_score, metric)
+    return pairs.where(F.call_function("levenshtein", F.col("a"), F.col("b"), most) >= 0)
+
+
 def _sift_by_words(pairs: DataFrame, min_score: float) -> DataFrame:
     """Drop pairs that neither the plain, the word nor the partial scores can lift to ``min_score``.
 
@@ -283,10 +290,10 @@ def similar_values(
     looks up candidates by hashed bands instead, which is cheaper for very many values
     and may miss pairs. Each pair comes once, smaller value first, best pairs on top.
     """
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}; use one of {', '.join(METRICS)}")
-    if not LEAST_SCORE <= min_score < 100:
-        raise ValueError(f"min_score must be at least {LEAST_SCORE:g} and below 100")
+    if metric not in LEAST_SCORE:
+        raise ValueError(f"unknown metric {metric!r}; use one of {', '.join(LEAST_SCORE)}")
+    if not LEAST_SCORE[metric] <= min_score < 100:
+        raise ValueError(f"min_score must be at least {LEAST_SCORE[metric]:g} for {metric} and below 100")
     texts = _texts(df, column)
     if method == "exact":
         candidates = _candidates(texts, min_score, metric)
@@ -300,34 +307,46 @@ def similar_values(
     ).orderBy(F.desc("similarity_score"), column, f"matched_{column}")
 
 
-BANDS = 16
-HASHES_PER_BAND = 2
+MOST_BANDS = 64
+# Share of the pairs at min_score that may be missed.
+MISSED = 0.005
+
+
+def _bands(min_score: float) -> tuple[int, int]:
+    """How many bands, and hashes in each: as many hashes as 64 bands can carry.
+
+    A text of n characters has about n stretches of three, and each character that differs
+    spoils three of them. So the stretches of two texts at ``min_score`` overlap at least by
+    (1 - spoiled) / (1 + spoiled) of all theirs, which is the chance that a hash agrees.
+    """
+    spoiled = min(3 * (100 - min_score) / 100, 0.8)
+    alike = (1 - spoiled) / (1 + spoiled)
+
+    def bands(hashes: int) -> int:
+        return ceil(log(MISSED) / log1p(-(alike**hashes)))
+
+    hashes = max(n for n in range(1, 9) if n == 1 or bands(n) <= MOST_BANDS)
+    return bands(hashes), hashes
 
 
 def _banded(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
     """Candidates that agree on a band of minimum hashes over three-character stretches."""
+    bands, hashes = _bands(min_score)
     length = F.length("text")
     grams = F.when(
         length >= 3,
         F.transform(F.sequence(F.lit(1), length - 2), lambda i: F.substr(F.col("text"), i.cast("int"), F.lit(3))),
     ).otherwise(F.array("text"))
-
-    def band(number: int) -> Column:
-        least = [
-            F.array_min(F.transform("grams", lambda gram: F.xxhash64(F.lit(seed), gram)))
-            for seed in range(number * HASHES_PER_BAND, (number + 1) * HASHES_PER_BAND)
-        ]
-        return F.concat_ws("|", F.lit(number), *[h.cast("string") for h in least])
-
-    keyed = texts.withColumn("grams", grams).select(
-        "text", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key")
-    )
-    return (
+    least = f"""transform(sequence(0, {bands - 1}), band -> xxhash64(band, transform(sequence(0, {hashes - 1}),
+        i -> array_min(transform(grams, gram -> xxhash64(band * {hashes} + i, gram))))))"""
+    keyed = texts.withColumn("grams", F.array_distinct(grams)).select("text", F.explode(F.expr(least)).alias("key"))
+    pairs = (
         _join_on_keys(keyed, keyed)
         .where((F.col("text") < F.col("other")) & _may_match(F.col("text"), F.col("other"), min_score, metric))
         .select(F.col("text").alias("a"), F.col("other").alias("b"))
         .distinct()
     )
+    return _sift_by_words(pairs, min_score) if metric == "wratio" else _sift(pairs, min_score, metric)
 
 
 def suggest_replacements(

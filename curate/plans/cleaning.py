@@ -23,6 +23,7 @@ from ..operators import (
 )
 from ..operators.standardize import AUDIT
 from ..sources import read_table, write_table
+from ..sources.scratch import stored
 from ..sources.tables import FILE_ORDER
 from .rules import FILL_CONSTANT, ColumnRule, TableRules, check_rules, parse_rules
 
@@ -56,14 +57,22 @@ def _batches(rules: Iterable[ColumnRule]) -> list[list[ColumnRule]]:
 def apply_imputation(
     df: DataFrame, rules: Iterable[ColumnRule], order_by: Sequence[str] = (), null_reference: str = "keep"
 ) -> DataFrame:
-    """Type and fill columns, rule by rule in order; later rules see filled columns."""
+    """Type and fill columns, rule by rule in order; later rules see filled columns.
+
+    A group fill counts its groups when it is called, so what earlier group fills made is
+    stored first, in the scratch folder: no fill is done twice.
+    """
+    unstored = False
     for batch in _batches(rule for rule in rules if rule.column in df.columns):
         df = coerce_types(df, {rule.column: rule.type for rule in batch if rule.type})
         first = batch[0]
         if first.fills_from_group:
             if not order_by:
                 raise ValueError(f"{first.column} is filled from its group, which needs order_by")
+            if unstored:
+                df = stored(df, "filled")
             df = impute_group(df, [r.column for r in batch], first.reference, order_by, null_reference)
+            unstored = True
         elif first.method == FILL_CONSTANT:
             df = impute_constant(df, {first.column: first.fill_value})
     return df
@@ -84,6 +93,14 @@ def clean_table(
     they do not count when rows are compared, and are left out of the result.
     """
     rules = rules if isinstance(rules, TableRules) else parse_rules(rules)
+    clean = _filled(df, rules, order_by, name, hidden)
+    if not rules.replacements:
+        return clean, df.sparkSession.createDataFrame([], AUDIT)
+    return replace_with_audit(clean, rules.replacements, name, mode)
+
+
+def _filled(df: DataFrame, rules: TableRules, order_by: Sequence[str], name: str, hidden: Sequence[str]) -> DataFrame:
+    """The table as it is before replacements."""
     data = [c for c in df.columns if c not in hidden]
     clean = standardize_headers(df.select(*[f"`{c}`" for c in data])) if not hidden else _headers_around(df, hidden)
     for warning in check_rules(rules, [c for c in clean.columns if c not in hidden]):
@@ -91,10 +108,7 @@ def clean_table(
     if rules.deduplicate:
         clean = deduplicate(clean, order_by=hidden)
     clean = apply_imputation(clean, rules.columns, order_by)
-    clean = clean.drop(*hidden)
-    if not rules.replacements:
-        return clean, df.sparkSession.createDataFrame([], AUDIT)
-    return replace_with_audit(clean, rules.replacements, name, mode)
+    return clean.drop(*hidden)
 
 
 def _headers_around(df: DataFrame, hidden: Sequence[str]) -> DataFrame:
@@ -140,7 +154,13 @@ def run_pipeline(
         try:
             hidden = () if spec.order_by else FILE_ORDER
             table = read_table(spark, spec.path, file_order=bool(hidden))
-            clean, audit = clean_table(table, spec.rules, spec.order_by or hidden, spec.name, spec.mode, hidden)
+            rules = spec.rules if isinstance(spec.rules, TableRules) else parse_rules(spec.rules)
+            clean = _filled(table, rules, spec.order_by or hidden, spec.name, hidden)
+            if rules.replacements:
+                # The clean table and its audit both read this, so the work before it is done once.
+                clean, audit = replace_with_audit(stored(clean, "filled"), rules.replacements, spec.name, spec.mode)
+            else:
+                audit = spark.createDataFrame([], AUDIT)
             write_table(clean, base, "CLEAN", spec.name, fmt)
             # Written with its table, so that a failure cannot leave half a record.
             audits.append(spark.read.schema(AUDIT).parquet(write_table(audit, base, "AUDITS/parts", spec.name)))

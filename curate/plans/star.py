@@ -1,4 +1,4 @@
-"""The star schema of gambling premises, socio-economic class and deprivation."""
+"""Star schema of premises, licences, accounts and area measures."""
 
 from __future__ import annotations
 
@@ -56,7 +56,7 @@ def dim_account_premises(register: DataFrame) -> DataFrame:
 
 def dim_premises(register: DataFrame, one_per_key: bool = True) -> DataFrame:
     """Distinct addresses under a hashed key, with the address on one line."""
-    dim = dim_sha1(register, "premisesid", ADDRESS, ["local_authority"])
+    dim = dim_sha1(register, "premisesid", ADDRESS, ["local_authority"], distinct=not one_per_key)
     dim = dim_one_per_key(dim, "premisesid") if one_per_key else dim
     return dim.withColumn("full_address", full_address(*[F.col(c) for c in ADDRESS]))
 

@@ -8,11 +8,12 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import distinct_headers
 from .tables import read_table, write_table
 
 log = logging.getLogger(__name__)
 
-STATUS = "name string, n_rows long, status string, error string"
+STATUS = "name string, n_rows long, status string, error string, raw_headers array<string>"
 
 
 def _datasets(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
@@ -34,17 +35,23 @@ def land_datasets(spark: SparkSession, source: str, base: str, zone: str = "RAW"
     """Copy every dataset in ``source`` to ``base/zone`` as Parquet.
 
     Up to ``workers`` datasets run at a time. One that fails is reported with its
-    error and does not stop the rest. Returns one row per dataset.
+    error and does not stop the rest. Returns one row per dataset. Blank or repeated headers
+    cannot be stored, so such a dataset lands under standardised ones, and its row holds
+    the headers as they were.
     """
 
-    def land(dataset: tuple[str, str]) -> tuple[str, int | None, str, str | None]:
+    def land(dataset: tuple[str, str]) -> tuple[str, int | None, str, str | None, list[str] | None]:
         name, path = dataset
         try:
-            landed = write_table(read_table(spark, path), base, zone, name)
-            return name, spark.read.parquet(landed).count(), "landed", None
+            table, raw = read_table(spark, path), None
+            if len({header.lower() for header in table.columns if header}) < len(table.columns):
+                raw = table.columns
+                table = table.toDF(*distinct_headers(raw))
+            landed = write_table(table, base, zone, name)
+            return name, spark.read.parquet(landed).count(), "landed", None, raw
         except Exception as error:
             log.error("%s was not landed: %s", name, error)
-            return name, None, "failed", str(error).splitlines()[0]
+            return name, None, "failed", str(error).splitlines()[0], None
 
     with ThreadPoolExecutor(workers) as pool:
         return spark.createDataFrame(list(pool.map(land, _datasets(spark, source))), STATUS)

@@ -28,7 +28,6 @@ _CSV = {
 }
 
 _LOOKUP = T.MapType(T.StringType(), T.StringType())
-LARGEST_LOOKUP_FILE = 64 * 1024 * 1024
 
 
 def format_of(path: str) -> str:
@@ -55,8 +54,8 @@ def with_file_order(df: DataFrame) -> DataFrame:
     )
 
 
-def _csv_header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.options(header=False, **_CSV).csv(path).head()
+def _csv_header(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
+    first = spark.read.options(header=False, multiLine=multi_line, **_CSV).csv(path).head()
     if first is None:
         raise ValueError(f"{path!r} has no header line")
     return [value or "" for value in first]
@@ -76,18 +75,38 @@ def read_table(
     Headers come back exactly as written, repeats and blanks included. ``multi_line``
     allows line breaks inside quoted CSV fields; such files cannot be split.
     ``file_order`` adds the columns of :func:`with_file_order`.
+
+    A CSV row with more fields than the header is an error when the row is read; one with
+    fewer ends in nulls. Files of a folder must agree in their headers, which is checked
+    file by file unless names repeat or are blank.
     """
     kind = format_of(path)
     if kind != "csv":
         reader = spark.read.option("multiLine", multi_line) if kind == "json" else spark.read
         df = reader.format(kind).load(path)
         return with_file_order(df) if file_order else df
-    names = _csv_header(spark, path)
-    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
-    df = spark.read.schema(schema).options(header=True, multiLine=multi_line, **_CSV).csv(path)
+    names = _csv_header(spark, path, multi_line)
+    distinct = len({name.lower() for name in names if name.strip()}) == len(names)
+    places = [f"_{i}" for i in range(len(names))]
+    misfit = "_misfit"
+    while misfit in names:
+        misfit += "_"
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in (*(names if distinct else places), misfit)])
+    # With its own names as the schema, each file's header is held against them.
+    options = {"header": True, "multiLine": multi_line, "enforceSchema": not distinct, "columnNameOfCorruptRecord": misfit}
+    # The parser counts fields only if it parses all of them.
+    options |= {"columnPruning": False}
+    df = spark.read.schema(schema).options(**options, **_CSV).csv(path)
     extra = list(FILE_ORDER) if file_order else []
-    df = with_file_order(df) if file_order else df
-    known = [F.when(~F.col(f.name).isin(*na_texts), F.col(f.name)).alias(f.name) for f in schema]
+    df = (with_file_order(df) if file_order else df).toDF(*places, misfit, *extra)
+    # A row of another length comes whole in this column; read again with room for one more.
+    wider = F.from_csv(misfit, ", ".join(f"f{i} string" for i in range(len(names) + 1)), {"escape": '"'})
+    surplus = F.col(misfit).isNotNull() & wider[f"f{len(names)}"].isNotNull()
+    # Spark reads no file for the misfit column alone, as in a count; the error names a field too.
+    start = F.concat_ws(" ", F.lit(f"more than {len(names)} fields in a row of {path}, at"), places[0], F.lit(":"))
+    error = F.raise_error(F.concat(start, F.substring(misfit, 1, 200)))
+    df = df.where(F.when(surplus, error.cast("boolean")).otherwise(True))
+    known = [F.when(~F.col(place).isin(*na_texts), F.col(place)).alias(place) for place in places]
     return df.select(*known, *extra).toDF(*names, *extra)
 
 
@@ -106,18 +125,22 @@ def write_table(df: DataFrame, base: str, zone: str, name: str, fmt: str = "parq
 def read_lookup(spark: SparkSession, path: str, layout: str = "file") -> DataFrame:
     """Read JSON objects as rows ``(key, value)``.
 
-    ``layout="file"`` takes each file as one object, laid out over any number of
-    lines. One file is one record then, so a file over 64 MB is refused: hold such a
-    lookup as ``layout="lines"``, one object a line, which Spark splits.
+    ``layout="lines"`` takes each line as one object, ``layout="file"`` each file, laid out
+    over any number of lines. A file with one pair a line, as JSON is mostly indented, is
+    read by its lines and splits like any text; only another layout makes a file one record.
     """
     if layout not in ("file", "lines"):
         raise ValueError(f"unknown layout {layout!r}; use 'file' or 'lines'")
+    lines = spark.read.text(path)
     if layout == "file":
-        largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
-        if (largest or 0) > LARGEST_LOOKUP_FILE:
-            raise ValueError(f"{path!r} has a file of {largest} bytes; write it one object a line")
-    text = spark.read.text(path, wholetext=layout == "file")
-    return text.select(F.explode(F.from_json("value", _LOOKUP)).alias("key", "value"))
+        body = F.regexp_replace(F.trim("value"), r",\s*$", "")
+        bare = body.isin("", "{", "}")
+        pair = F.when(body.rlike(r'^".*[^{\[]$'), F.from_json(F.concat(F.lit("{"), body, F.lit("}")), _LOOKUP))
+        if not lines.where(~bare & (F.coalesce(F.size(pair), F.lit(0)) != 1)).isEmpty():
+            lines = spark.read.text(path, wholetext=True)
+        else:
+            return lines.where(~bare).select(F.explode(pair).alias("key", "value"))
+    return lines.select(F.explode(F.from_json("value", _LOOKUP)).alias("key", "value"))
 
 
 def select_distinct(df: DataFrame, columns: Sequence[str], where: str | None = None) -> DataFrame:

@@ -78,3 +78,16 @@ def test_keys(spark):
     assert first == "86f7e437faa5a7fce15d1ddcb9eaeaea377667b8"
     assert found[1:3] == ("9dd4e461268c8034f5c8564e155c67a6", None)
     assert found[3] != found[4]
+
+
+def test_timestamps_do_not_ask_the_session_zone(spark):
+    df = spark.createDataFrame([("2024-03-31 01:30:00",), ("2024-10-27 1:5:0",), ("0099-01-01 00:00:00",), ("x",), (None,)], "t string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        found = [r[0] for r in df.select(fn.parse_timestamp(F.col("t")).cast("string")).collect()]
+        days = [r[0] for r in df.select(fn.parse_date(F.substr("t", F.lit(1), F.lit(10))).cast("string")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found == ["2024-03-31 01:30:00", "2024-10-27 01:05:00", "0099-01-01 00:00:00", None, None]
+    assert days == ["2024-03-31", "2024-10-27", "0099-01-01", None, None]

@@ -28,7 +28,7 @@ def test_other_headers(spark):
 def test_apply_schema(spark):
     df = spark.createDataFrame([("1.5", 2, "2020-01-02", "x"), ("?", None, "02/03/2021", "y")], "n string, i int, d string, o string")
     out = op.apply_schema(df, {"n": "float", "i": "string"}, ["d", "absent"])
-    assert dict(out.dtypes) == {"n": "double", "i": "string", "d": "timestamp", "o": "string"}
+    assert dict(out.dtypes) == {"n": "double", "i": "string", "d": "timestamp_ntz", "o": "string"}
     found = out.withColumn("d", F.col("d").cast("string")).collect()
     assert [tuple(r) for r in found] == [(1.5, "2", "2020-01-02 00:00:00", "x"), (None, None, "2021-03-02 00:00:00", "y")]
     with pytest.raises(ValueError, match="absent"):
@@ -153,11 +153,11 @@ def test_impute_lookup(spark, rows):
 
 
 def test_replace_exact_and_regex(spark, rows):
-    df = spark.createDataFrame([("Bury ",), ("shrewsbury",), ("bury st edmunds",), (None,)], "city string")
-    rules = {"City": {"Bury": "Bury St. Edmunds"}, "absent": {"a": "b"}}
-    exact = ["bury st edmunds", "bury st. edmunds", "shrewsbury", None]
+    df = spark.createDataFrame([("Oak ",), ("cloak",), ("oak st giles",), (None,)], "city string")
+    rules = {"City": {"Oak": "Oak St. Giles"}, "absent": {"a": "b"}}
+    exact = ["cloak", "oak st giles", "oak st. giles", None]
     assert [r[0] for r in rows(op.replace_values(df, rules))] == exact
-    regex = ["bury st. edmunds", "bury st. edmunds st edmunds", "shrewsbury st. edmunds", None]
+    regex = ["cloak st. giles", "oak st. giles", "oak st. giles st giles", None]
     assert [r[0] for r in rows(op.replace_values(df, rules, "regex"))] == regex
     with pytest.raises(ValueError):
         op.replace_values(df, rules, "glob")
@@ -168,8 +168,8 @@ def test_replace_exact_and_regex(spark, rows):
     [
         ("exact", ["x (hyde)"], {"x (hyde)": "z"}, ["z"]),
         ("regex", ["x (hyde)"], {"x (hyde)": "z"}, ["x (hyde)"]),
-        ("exact", ["boylesport", "boylesports"], {"boylesport": "boylesports"}, ["boylesports", "boylesports"]),
-        ("regex", ["boylesport", "boylesports"], {"boylesport": "boylesports"}, ["boylesports", "boylesportss"]),
+        ("exact", ["lamp", "lamps"], {"lamp": "lamps"}, ["lamps", "lamps"]),
+        ("regex", ["lamp", "lamps"], {"lamp": "lamps"}, ["lamps", "lampss"]),
         ("regex", ["cost"], {"cost": r"$1\x"}, [r"$1\x"]),
         ("regex", ["ab", "abc"], {"q": "r", "ab": "q"}, ["q", "qc"]),
         ("exact", ["a"], {"a": "b", "b": "a"}, ["a"]),

@@ -114,3 +114,34 @@ def test_profile_subset(spark):
     df = spark.createDataFrame([(None, 14), (None, 14), ("here", 3)], "constituency string, population int")
     out = {r.column: r for r in op.profile_subset(df, F.col("constituency").isNull()).collect()}
     assert out["population"].is_constant and out["population"].n == 2 and out["constituency"].missing == 2
+
+
+def test_one_meaning_of_missing(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, None), (3, 0.0), (4, -0.0)], "g int, v double")
+    assert {r.column: r.n_null for r in op.null_counts(df).collect()} == {"g": 0, "v": 2}
+    assert op.where_null(df, "v").count() == 2
+    row = {r.column: r for r in op.profile(df).collect()}["v"]
+    assert (row.missing, row.distinct, row.is_constant) == (2, 1, True)
+    filled = op.impute_group(df.selectExpr("1 AS one", "g", "v"), "v", "one", ["g"])
+    assert [r.v for r in filled.orderBy("g").collect()] == [0.0, 0.0, 0.0, 0.0]
+
+
+def test_profile_of_dates_and_long_ids(spark):
+    df = spark.sql("SELECT * FROM VALUES (9007199254740992, DATE'2024-01-02'), (9007199254740993, DATE'2023-05-06') t(n, d)")
+    n, d = op.profile(df).collect()
+    assert (n.distinct, n.is_unique) == (2, True)
+    assert (str(d.earliest), str(d.latest), d.distinct) == ("2023-05-06 00:00:00", "2024-01-02 00:00:00", 2)
+
+
+def test_a_bracket_that_misses_is_opened(spark, monkeypatch):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    monkeypatch.setattr("curate.operators.profiling._brackets", lambda df, columns: [("v", q, 900.0, 950.0) for q in ("q25", "q50", "q75")])
+    assert tuple(op.quartiles(df, ["v"]).first()) == ("v", 249.75, 499.5, 749.25)
+
+
+def test_rank_correlations_read_the_table_once_for_all_pairs(spark, tmp_path):
+    spark.range(200).selectExpr("id % 7 AS a", "id % 5 AS b", "-id AS c", "id * id % 11 AS d", "id AS e").write.parquet(f"{tmp_path}/wide")
+    df = spark.read.parquet(f"{tmp_path}/wide")
+    for columns in (["a", "b", "c"], ["a", "b", "c", "d", "e"]):
+        plan = op.correlations(df, columns, "spearman")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [a#") == 1 and plan.count("Join") == len(columns) * 2

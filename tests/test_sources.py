@@ -63,8 +63,8 @@ def test_file_order(spark, tmp_path):
 
 def test_lookup(spark, tmp_path, rows):
     whole = tmp_path / "whole.json"
-    whole.write_text(json.dumps({"DY10 1DA": "A / B", "WA10 1BJ": "C"}, indent=4))
-    assert rows(src.read_lookup(spark, str(whole))) == [("DY10 1DA", "A / B"), ("WA10 1BJ", "C")]
+    whole.write_text(json.dumps({"k 1": "A / B", "k 2": "C"}, indent=4))
+    assert rows(src.read_lookup(spark, str(whole))) == [("k 1", "A / B"), ("k 2", "C")]
     lines = tmp_path / "lines.json"
     lines.write_text('{"a": "1", "b": "2"}\n{"c": "3"}\n')
     assert rows(src.read_lookup(spark, str(lines), "lines")) == [("a", "1"), ("b", "2"), ("c", "3")]
@@ -72,12 +72,42 @@ def test_lookup(spark, tmp_path, rows):
         src.read_lookup(spark, str(lines), "rows")
 
 
-def test_lookup_size_is_checked(spark, tmp_path, monkeypatch):
-    path = tmp_path / "l.json"
-    path.write_text('{"a": "1"}')
-    monkeypatch.setattr("curate.sources.tables.LARGEST_LOOKUP_FILE", 5)
-    with pytest.raises(ValueError, match="one object a line"):
-        src.read_lookup(spark, str(path))
+def test_lookup_of_any_layout(spark, tmp_path, rows):
+    table = {f"k {i}": f"v, \"{i}\"" for i in range(300)}
+    for i, text in enumerate((json.dumps(table), json.dumps(table, indent=1), '{"k": "v",\n"l": "w"}', '{\n"k": {\n"l": "w"\n}\n}')):
+        path = tmp_path / f"l{i}.json"
+        path.write_text(text)
+        expected = {k: v if isinstance(v, str) else json.dumps(v, separators=(",", ":")) for k, v in json.loads(text).items()}
+        assert dict(rows(src.read_lookup(spark, str(path)))) == expected
+
+
+def test_rows_that_do_not_fit_the_header(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("a,b\n1,2\n3\n")
+    assert [tuple(r) for r in src.read_table(spark, str(path)).collect()] == [("1", "2"), ("3", None)]
+    path.write_text('a,b\n1,"x, y"\n3,4,5\n')
+    for use in (lambda df: df.collect(), lambda df: df.count(), lambda df: df.select("a").collect()):
+        with pytest.raises(Exception, match="more than 2 fields"):
+            use(src.read_table(spark, str(path)))
+
+
+def test_part_files_must_agree_in_headers(spark, tmp_path):
+    folder = tmp_path / "t.csv"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,2\n")
+    (folder / "2.csv").write_text("b,a\n9,8\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        src.read_table(spark, str(folder)).collect()
+
+
+def test_landing_of_repeated_headers(spark, tmp_path, rows):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "t.csv").write_text("a,a,\n1,2,3\n")
+    status = src.land_datasets(spark, str(source), str(tmp_path / "out")).first()
+    assert (status.status, status.raw_headers) == ("landed", ["a", "a", ""])
+    landed = spark.read.parquet(f"{tmp_path}/out/RAW/t.parquet")
+    assert landed.columns == ["a", "a_1", "column_"] and rows(landed) == [("1", "2", "3")]
 
 
 def test_select_distinct(spark, rows):
