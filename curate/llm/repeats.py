@@ -101,14 +101,14 @@ def segments(units: np.ndarray, bounds: np.ndarray, window: int, gram: int):
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
-    """The same as ``group_column``: XXH64 of the id, modulo the number of groups."""
+def group_of(doc: np.ndarray, sign: np.ndarray, groups: int) -> np.ndarray:
+    """The same as ``group_column``: XXH64 of id and sign as one number, modulo the number of groups."""
     p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
     def turn(x, bits):
         return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
 
-    x = np.atleast_1d(doc).view(np.uint64)
+    x = np.atleast_1d(doc).view(np.uint64) ^ (np.atleast_1d(sign).astype(np.uint64) << np.uint64(31))
     h = (np.uint64(42) + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1)
     h = turn(h, 27) * p1 + p4
     h = (h ^ (h >> np.uint64(33))) * p2
@@ -116,8 +116,13 @@ def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
     return np.mod((h ^ (h >> np.uint64(32))).view(np.int64), groups)
 
 
-def group_column(doc: Column, groups: int) -> Column:
-    return F.pmod(F.xxhash64(doc), F.lit(groups)).cast("int")
+def group_column(doc: Column, sign: Column, groups: int) -> Column:
+    """Texts under one id, null for one, go to different groups."""
+    return F.pmod(F.xxhash64(doc.bitwiseXOR(F.shiftleft(sign, 31))), F.lit(groups)).cast("int")
+
+
+def _groups_of(rows: np.ndarray, groups: int) -> np.ndarray:
+    return group_of(rows["doc"], rows["place"] >> np.uint64(32), groups)
 
 
 def keyed(df: DataFrame, text: str, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -199,7 +204,7 @@ def sift(texts: DataFrame, kind: Kind, groups: int) -> DataFrame:
             # Found here, settled spans travel beside the entries to a bucket of their group.
             out = [(False, b, data) for b, data in _packed(kept, (kept["h"] % np.uint64(buckets)).astype(np.int64))]
             spans = _spans(settled)
-            out += [(True, b, data) for b, data in _packed(spans, group_of(spans["doc"], groups))]
+            out += [(True, b, data) for b, data in _packed(spans, _groups_of(spans, groups))]
             yield _mark_batch(out)
 
     def settle(batches):
@@ -212,8 +217,8 @@ def sift(texts: DataFrame, kind: Kind, groups: int) -> DataFrame:
             alone = np.concatenate([[True], kept["h"][1:] != kept["h"][:-1]]) & np.concatenate([kept["h"][1:] != kept["h"][:-1], [True]])
             still_open = kept[~alone]
             spans = _spans(settled)
-            out = [(True, b, data) for b, data in _packed(spans, group_of(spans["doc"], groups))]
-            out += [(False, b, data) for b, data in _packed(still_open, group_of(still_open["doc"], groups))]
+            out = [(True, b, data) for b, data in _packed(spans, _groups_of(spans, groups))]
+            out += [(False, b, data) for b, data in _packed(still_open, _groups_of(still_open, groups))]
             if out:
                 yield _mark_batch(out)
 
@@ -301,7 +306,7 @@ def _flagged(entries: np.ndarray, mask: np.ndarray, groups: int):
     spans["doc"] = entries["doc"][owner[new]]
     spans["place"] = entries["place"][owner[new]] + (at[new] - first[owner[new]]).astype(np.uint64)
     spans["n"] = np.diff(np.append(new, len(at)))
-    return [(True, b, data) for b, data in _packed(spans, group_of(spans["doc"], groups))]
+    return [(True, b, data) for b, data in _packed(spans, _groups_of(spans, groups))]
 
 
 def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -353,7 +358,7 @@ def with_spans(
     groups = max(1, -(-df.count() // GROUP_ROWS))
     texts = keyed(df, text, key, carry)
     marks = sift(texts, kind, groups)
-    dealt = texts.withColumn("group", group_column(F.col("doc"), groups))
+    dealt = texts.withColumn("group", group_column(F.col("doc"), F.col("sign"), groups))
     found = open_contexts(dealt, marks, kind, decide, groups, content)
     spans = marks.where("settled").union(found).select(F.col("to").alias("group"), "rows")
 
