@@ -165,7 +165,8 @@ def pack(cut: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
         yield from out.to_batches()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    deal = F.pmod(F.xxhash64("key", "piece", "ids_crc32", "start"), F.lit(parts)).cast("int")
+    # By place in the stored table, so that equal rows are dealt out too.
+    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
     part = cut.where(F.col("length") < length).withColumn("shard", deal)
     packed = part.repartition(parts, "shard").mapInArrow(place, schema)
     # Full pieces get negative numbers, unlike those of the shards.
