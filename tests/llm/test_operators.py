@@ -102,9 +102,14 @@ def test_partitions_take_longer_prefixes_until_small():
 
 
 def test_groups_agree_with_spark(spark):
-    ids = [0, 1, -5, 2**62, -(2**63)]
-    df = spark.createDataFrame([(i,) for i in ids], "i long").select("i", group_column(F.col("i"), 97).alias("g"))
-    assert {r["i"]: r["g"] for r in df.collect()} == dict(zip(ids, group_of(np.array(ids), 97).tolist()))
+    ids, signs = [0, 1, -5, 2**62, -(2**63)], [0, 7, 2**32 - 1, 2**31, 5]
+    df = spark.createDataFrame(list(zip(ids, signs)), "i long, s long").select("i", group_column(F.col("i"), F.col("s"), 97).alias("g"))
+    assert {r["i"]: r["g"] for r in df.collect()} == dict(zip(ids, group_of(np.array(ids), np.array(signs), 97).tolist()))
+
+
+def test_texts_of_one_id_are_spread():
+    groups = group_of(np.full(1000, -(2**63)), np.random.default_rng(0).integers(0, 2**32, 1000), 10)
+    assert np.bincount(groups, minlength=10).max() < 150
 
 
 def test_equal_and_null_ids(spark):
@@ -192,6 +197,14 @@ def test_packing_holds_every_id_once(spark, docs):
         assert at <= 2048
 
 
+def test_equal_rows_are_packed_in_different_shards(spark):
+    df = spark.createDataFrame([(None, "one two three")] * 400, "doc_id long, text string")
+    out = packing.pack(packing.pieces(df), shard=40).collect()
+    assert len(out) == 400
+    shards = collections.Counter(r["sequence_id"] >> 32 for r in out)
+    assert len(shards) == 10 and max(shards.values()) < 80
+
+
 def test_packing_is_nearly_full():
     rng = np.random.default_rng(1)
     sizes = rng.integers(20, 1900, 3000)
@@ -290,6 +303,24 @@ def test_class_model_beats_its_base_and_sums_to_one(spark):
     assert (10**moves).sum(1) == pytest.approx(np.ones(5))
 
 
+@pytest.mark.parametrize("named, steep", [(1, True), (4, True), (8, False), (500, True)])
+def test_frequent_words_are_exact_however_texts_are_split(spark, named, steep):
+    rng = np.random.default_rng(named)
+    weights = 1 / np.arange(1, 401) ** (1.2 if steep else 0.0)
+    texts = [" ".join(f"w{i}" for i in rng.choice(400, 60, p=weights / weights.sum())) for _ in range(200)]
+    count = collections.Counter(w for t in texts for w in t.split())
+    found = []
+    for parts in (1, 7):
+        df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
+        near = brown_lm.frequent_words(df, 20, named)
+        words, pairs = brown_lm.most_frequent(near, brown_lm.count_pairs(df, near), 20)
+        assert len(near) <= 40 and len(words) == 20 and pairs.shape == (21, 21)
+        assert pairs.sum() == sum(count.values()) + len(texts)
+        assert sorted(pairs.sum(0)[:-1].tolist(), reverse=True) == sorted([*count.values(), len(texts)], reverse=True)[:20]
+        found.append((words.tolist(), pairs.tolist()))
+    assert found[0] == found[1]
+
+
 def test_exchange_separates_alternating_words():
     rng = np.random.default_rng(1)
     pairs = np.zeros((13, 13), int)

@@ -1,6 +1,7 @@
 """The pipeline's stages on the smallest tables, each against brute force over its own input."""
 
 import os
+import random
 
 import pytest
 
@@ -42,6 +43,21 @@ def test_stages(spark):
     assert len(corpus_pipeline.run(spark, FOLDER).collect()) == len(packed)
 
 
+def test_rows_that_share_an_id_or_have_none_are_judged_one_by_one(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(4000)}" for _ in range(60)) for _ in range(6)]
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first()["text"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[0]), (None, item), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", None, 0, "x", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, gone int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["text"]) for r in kept.collect()) == sorted([*texts[:4], item, "None"])
+    kept = corpus_pipeline.decontaminate(spark, docs, FOLDER)
+    assert sorted(str(r["text"]) for r in kept.collect()) == sorted(str(t) for _, t in rows if t != item)
+    kept = corpus_pipeline.language(spark, docs, FOLDER)
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+
+
 def test_every_operator_has_its_query():
     names = sorted(llm.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
