@@ -321,6 +321,35 @@ def test_frequent_words_are_exact_however_texts_are_split(spark, named, steep):
     assert found[0] == found[1]
 
 
+@pytest.mark.parametrize("parts, most", [(1, 2_000_000), (7, 2_000_000), (7, 50), (40, 1)])
+def test_votes_count_all_neighbours_however_texts_are_split(spark, parts, most):
+    rng = random.Random(11)
+    texts = [" ".join(f"{rng.choice('ab')}{min(int(rng.expovariate(0.05)), 99)}" for _ in range(rng.randint(0, 40))) for _ in range(200)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
+    words, pairs = brown_lm.most_frequent(w := brown_lm.frequent_words(df, 16), brown_lm.count_pairs(df, w), 16)
+    of = brown_lm.exchange(pairs, 3)
+    hot = np.eye(4)[of]
+    table = hot.T @ pairs @ hot
+    kinds = dict(zip(words.tolist(), of.tolist()))
+    near, count = {}, collections.Counter()
+    for t in texts:
+        row = brown_lm.tokens(brown_lm.pa.array([t], brown_lm.pa.string()))[0].tolist()
+        count.update(row)
+        for i, word in enumerate(row):
+            sides = near.setdefault(word, np.zeros((2, 4), int))
+            sides[0, kinds.get(row[i - 1], 3)] += 1
+            if i + 1 < len(row):
+                sides[1, kinds.get(row[i + 1], 3)] += 1
+    smooth = table + 0.5
+    after, before = np.log(smooth / smooth.sum(1, keepdims=True)), np.log(smooth / smooth.sum(0, keepdims=True))
+    want = {}
+    for word, sides in near.items():
+        value = sides[0, :3] @ after[:3, :3] + before[:3, :3] @ sides[1, :3] + np.log(smooth.sum(1) / smooth.sum())[:3]
+        want[word] = (count[word], kinds.get(word, int(np.argmax(value))))
+    found = brown_lm.vote(df, words, of[:-1], table, most).collect()
+    assert len(found) == len(want) and {r["word"] % 2**64: (r["n"], r["kind"]) for r in found} == want
+
+
 def test_exchange_separates_alternating_words():
     rng = np.random.default_rng(1)
     pairs = np.zeros((13, 13), int)
