@@ -86,6 +86,8 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs (a, b) of different fingerprints at most ``radius`` (1 or 2) bits apart, once each."""
+    if radius not in (1, 2):
+        raise ValueError(f"anchors are made for a radius of 1 or 2, not {radius}")
 
     def replicate(batches):
         for batch in batches:

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from curate.llm import queries as llm
+from curate.llm import simhash
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables are not here")
@@ -58,6 +59,38 @@ def test_rows_that_share_an_id_or_have_none_are_judged_one_by_one(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
+def test_near_copies_are_components_of_jaccard(spark):
+    rng = random.Random(8)
+    rows, base = [], []
+    for _ in range(12):
+        base.append([f"w{rng.randrange(900)}" for _ in range(rng.randint(3, 150))])
+    common = [f"c{i}" for i in range(25)]
+    for words in base:
+        for _ in range(12):
+            copy = list(words) + (common if rng.random() < 0.3 else [])
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(50)}"
+            rows.append(" ".join(copy[rng.randint(0, 3) :]))
+    rows += ["", None, " ", "One two", "one  TWO", "a b c d", "a b c d e", "a b c d e f"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+
+    def grams(text):
+        found = (text or "").lower().split()
+        return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+    sets = [grams(t) for t in rows]
+    label = list(range(len(rows)))
+    close = [(a, b) for b in range(len(rows)) for a in range(b) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0]
+    for _ in rows:
+        for a, b in close:
+            label[a] = label[b] = min(label[a], label[b])
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()}
+    assert kept == {i for i, v in enumerate(label) if i == v}
+    assert len(kept) < len({" ".join((t or "").lower().split()) for t in rows})
+    with pytest.raises(ValueError):
+        simhash.links(docs.select("doc_id"), 3)
+
+
 def test_every_operator_has_its_query():
     names = sorted(llm.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
