@@ -371,6 +371,13 @@ def test_exchange_separates_alternating_words():
         assert likelihood(other) <= likelihood(of) + 1e-9
 
 
+def test_exchange_goes_on_until_no_word_moves():
+    pairs = np.random.default_rng(2).poisson(1.0, (301, 301))
+    of = brown_lm.exchange(pairs, 8)
+    assert (of != brown_lm.exchange(pairs, 8, 12)).any()
+    assert (of == brown_lm.exchange(pairs, 8, 60)).all() and (of == brown_lm.exchange(pairs, 8, 61)).all()
+
+
 def test_languages_by_fused_evidence(spark):
     rng = random.Random(4)
     pools = {"en": ["the", "and", "with", "thing"], "fr": ["les", "une", "avec", "chose"]}
