@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curate.llm import decontamination, language_id, near_copies, packing, suffix_array
+from curate.llm import decontamination, language_id, packing, simhash, suffix_array
 from curate.llm.common import stored
 from curate.operators.own_columns import unused
 from curate.sources.ship import ship_package
@@ -47,10 +47,13 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keep the document with the least id (else row number) of each group of texts at least 0.8 similar."""
+    """Keep the document with the least id (else row number) of each group of linked fingerprints.
+
+    Shingle length and bit distance are those of the SimHash operator's contract.
+    """
     ship_package(spark)
     docs, name = _numbered(docs)
-    found = near_copies.near_copies(docs, key=name)
+    found = simhash.near_duplicates(docs, key=name, shingle=simhash.SHINGLE, radius=simhash.RADIUS)
     return _without(docs, found.where("key != component"), name)
 
 
