@@ -88,10 +88,13 @@ _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte start and end of every word, and the first word of each row (rows + 1 entries)."""
+def word_spans(data: np.ndarray, bounds: np.ndarray, spaces: np.ndarray = _SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start and end of every word, and the first word of each row (rows + 1 entries).
+
+    ``spaces`` tells for each byte whether it stands between words.
+    """
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACES[data]
+    inside[1:-1] = ~spaces[data]
     step = np.diff(inside)
     # A word also ends where its row does.
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)

@@ -1,4 +1,4 @@
-"""The ten operators over whole tables, and SQL where SQL can say the same."""
+"""The thirteen operators over whole tables, and SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from ..sources.ship import ship_package
 from . import (
     brown_lm,
     chat,
+    collocations,
     decontamination,
     language_id,
     line_crf,
@@ -118,6 +119,12 @@ def op10_line_crf_quality(spark, folder):
     )
 
 
+@_query
+def op11_phrase_collocations(spark, folder):
+    ship_package(spark)
+    return collocations.collocations(documents(spark, folder)).drop("first")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -72,13 +72,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(bits)).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(key, fp): the fingerprint as a signed 64-bit number."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
-            fps = np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t, shingle) for t in texts.to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["key", "fp"])
 
     return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "key long, fp long")
@@ -148,9 +148,11 @@ def _near(anchor: np.ndarray, fp: np.ndarray, radius: int):
         step += 1
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(
+    df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE
+) -> DataFrame:
     """(key, fp, component): component is the smallest key reachable over links."""
-    fps = stored(fingerprints(df, text, key), "fingerprints")
+    fps = stored(fingerprints(df, text, key, shingle), "fingerprints")
     classes = stored(fps.groupBy("fp").agg(F.min("key").alias("first")), "classes")
     label = components(links(classes, radius)).select(F.col("node").alias("fp"), "label")
     labelled = classes.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))

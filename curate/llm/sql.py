@@ -89,8 +89,40 @@ _RUNS = rf"""
     FROM d LEFT JOIN kept USING (doc_id)
 """
 
+_PHRASES = r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+    phrases AS (
+        SELECT lang, size, phrase, count(*) AS a FROM (
+            SELECT lang, size, array_to_string(w[i:i+size-1], ' ') AS phrase
+            FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM worded, range(1, 6) AS s(size)))
+        GROUP BY lang, size, phrase HAVING count(*) >= 100),
+    cuts AS (
+        SELECT lang, size, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k+1:size], ' ') AS y
+        FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM phrases WHERE size > 1)),
+    scored AS (
+        SELECT lang, size, phrase, a, l, r, n, (1000::HUGEINT * a * n // (l::HUGEINT * r))::BIGINT AS score, k
+        FROM cuts JOIN (SELECT lang, phrase AS x, a AS l FROM phrases) USING (lang, x)
+                  JOIN (SELECT lang, phrase AS y, a AS r FROM phrases) USING (lang, y) JOIN totals USING (lang)),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (
+        SELECT lang, array_to_string(w[i:i+k-1], ' ') AS phrase, max(a) AS times
+        FROM (SELECT lang, a, w, k, unnest(range(1, size - k + 2)) AS i
+              FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(2, size)) AS k FROM phrases WHERE size > 2))
+        GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE times IS NULL OR 100 * times < 100 * a
+    QUALIFY rank <= 2000
+"""
+
 ORACLES = {
     "op6_quality_rules": _RULES,
     "op7_chat_formatting": _CHAT,
     "op9_substring_dedup": _RUNS,
+    "op11_phrase_collocations": _PHRASES,
 }
