@@ -20,6 +20,7 @@ from . import (
     simhash,
     suffix_array,
     suffix_tree,
+    tree_bpe,
 )
 from .common import documents
 from .sql import ORACLES
@@ -125,6 +126,17 @@ def op11_phrase_collocations(spark, folder):
     return collocations.collocations(documents(spark, folder)).drop("first")
 
 
+@_query
+def op12_bpe_encoding(spark, folder):
+    ship_package(spark)
+    out = tree_bpe.decode(tree_bpe.encode(documents(spark, folder)))
+    return out.select(
+        F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
