@@ -18,6 +18,7 @@ from . import (
     packing,
     quality_rules,
     simhash,
+    spelling,
     suffix_array,
     suffix_tree,
     tree_bpe,
@@ -137,6 +138,12 @@ def op12_bpe_encoding(spark, folder):
     )
 
 
+@_query
+def op13_spelling_variants(spark, folder):
+    ship_package(spark)
+    return spelling.spelling_variants(documents(spark, folder))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
