@@ -7,6 +7,7 @@ both against each other.
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -18,19 +19,33 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def default_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @lru_cache(maxsize=4)
-def encoding(path: str):
+def encoding(path: str, file: str | None = None):
+    """The encoding of a rank file, with the added tokens of a tokenizer's JSON file if named."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {}
+    if file:
+        with open(file) as told:
+            added = {token["content"]: token["id"] for token in json.load(told)["added_tokens"]}
+    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
 
+def encode(path: str, text: str, file: str | None = None) -> np.ndarray:
+    """Ids of a text as little-endian unsigned 32-bit numbers.
 
-def encode(path: str, text: str) -> np.ndarray:
-    """Ids of a text as little-endian unsigned 32-bit numbers; no string is special."""
-    return np.asarray(encoding(path).encode_ordinary(text), "<u4")
+    Strings of the added tokens of ``file`` become those tokens; without it no string is special.
+    """
+    return np.asarray(encoding(path, file).encode(text, allowed_special="all", disallowed_special=()), "<u4")
 
 
 def decode(path: str, ids) -> str:

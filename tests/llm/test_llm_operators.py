@@ -172,7 +172,7 @@ def test_components_of_a_chain_and_a_star(spark):
 
 
 def test_packing_holds_every_id_once(spark, docs):
-    big = [(500, "word and " * 1500, None, None, None, None, None)]
+    big = [(500, "word and " * 1500, None, None, None, None, None), (501, "a<|endoftext|> b", None, None, None, None, None)]
     df = docs.unionByName(spark.createDataFrame(big, SCHEMA))
     cut = packing.pieces(df, with_ids=True)
     out = packing.pack(cut).collect()
@@ -184,7 +184,7 @@ def test_packing_holds_every_id_once(spark, docs):
     for key, text in [(r[0], r[1]) for r in made_rows() + big]:
         parts = sorted(by_doc[key], key=lambda r: r["piece"])
         ids = np.concatenate([np.frombuffer(bytes(r["ids"]), "<u4") for r in parts])
-        assert ids.tolist() == [*encode(ranks, text or "").tolist(), 0]
+        assert ids.tolist() == [*encode(ranks, text or "", packing.bpe.default_file()).tolist(), 0]
         assert all(r["length"] == 2048 for r in parts[1:]) and [r["start"] for r in parts] == np.cumsum([0] + [r["length"] for r in parts[:-1]]).tolist()
     sequences = collections.defaultdict(list)
     for r in out:
@@ -213,14 +213,65 @@ def test_packing_is_nearly_full():
     assert sequence.max() + 1 <= math.ceil(sizes.sum() / 2048) * 1.02 + 3
 
 
+@pytest.mark.parametrize("mix", ["even", "middle", "short", "two", "long"])
+def test_packing_is_never_worse_than_best_fit(mix):
+    rng = np.random.default_rng(len(mix))
+    sizes = {
+        "even": rng.integers(1, 2049, 600), "middle": rng.integers(500, 1100, 1500), "short": rng.integers(1, 300, 4000),
+        "two": rng.choice([683, 1024, 400], 600), "long": rng.integers(1000, 2049, 400),
+    }[mix]
+    sequence, offset = packing.pack_lengths(sizes, nodes=2000)
+    best = packing.best_fit(collections.Counter(sizes.tolist()), 2048)
+    assert sorted(size for filling in best for size in filling) == sorted(sizes.tolist()) and max(map(sum, best)) <= 2048
+    assert np.bincount(sequence, sizes).max() <= 2048
+    assert sequence.max() + 1 <= len(best)
+    for i in np.argsort(sequence, kind="stable"):
+        others = np.flatnonzero((sequence == sequence[i]) & (offset < offset[i]))
+        assert offset[i] == sizes[others].sum()
+    if mix == "middle":
+        assert sequence.max() + 1 < len(best)
+
+
+def test_small_shards_take_as_few_sequences_as_any_packing():
+    def optimum(sizes, length):
+        best = len(sizes)
+
+        def place(i, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if i == len(sizes):
+                best = len(rooms)
+                return
+            for j in range(len(rooms)):
+                if rooms[j] >= sizes[i]:
+                    place(i + 1, [*rooms[:j], rooms[j] - sizes[i], *rooms[j + 1 :]])
+            place(i + 1, [*rooms, length - sizes[i]])
+
+        place(0, [])
+        return best
+
+    rng = np.random.default_rng(7)
+    cases = [([6, 6, 5, 5, 4, 4, 3, 3, 2, 2], 10), ([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], 60), ([7, 5, 5, 4, 4, 3, 2], 15)]
+    for _ in range(150):
+        length = int(rng.integers(8, 40))
+        cases.append((sorted(rng.integers(1, length + 1, int(rng.integers(1, 10))).tolist(), reverse=True), length))
+    for sizes, length in cases:
+        assert packing.pack_lengths(np.array(sizes), length)[0].max() + 1 == optimum(sizes, length)
+
+
 def test_ids_are_those_of_the_tokenizer():
-    import public_tokenizers
     from tokenizers import Tokenizer
 
-    json = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ranks = packing.bpe.default_ranks()
-    for text in ["", "a  b\n\n c\t", "<|x|>  naïve—‘quoted’ 12345 !!!", *(r[1] or "" for r in made_rows())]:
-        assert encode(ranks, text).tolist() == json.encode(text, add_special_tokens=False).ids
+    json = Tokenizer.from_file(packing.bpe.default_file())
+    ranks, file = packing.bpe.default_ranks(), packing.bpe.default_file()
+    added = [token.content for token in json.get_added_tokens_decoder().values()]
+    assert added
+    marked = [f"{a}{mark}{b}" for mark in added for a in ("", " ", "x", "x ", "\n\n") for b in ("", " y", "y", mark, mark[1:])]
+    for text in ["", "a  b\n\n c\t", "<|x|>  naïve—‘quoted’ 12345 !!!", *marked, *(r[1] or "" for r in made_rows())]:
+        assert encode(ranks, text, file).tolist() == json.encode(text, add_special_tokens=False).ids
+    # Without the file nothing is special: content can't make a mark.
+    assert len(encode(ranks, added[0])) > 1
 
 
 def test_leaks_by_brute_force(spark, docs):
