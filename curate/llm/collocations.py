@@ -11,12 +11,12 @@ frequent is handed on as a bitmap of bounded size, which may let more through, n
 The last pass goes over the texts again with the bitmaps of all lengths. Each hit is a
 pointer into the text at hand. Within a slice of text, words with equal numbers are compared
 byte by byte and phrases with equal fingerprints word by word, so collisions fall apart;
-only then is a phrase cut out of the text, once for each slice, with its count and its
-first place. Spark sums these by the phrase itself. Counts are therefore those of texts,
+only then is a phrase cut out of the text, once for each slice, with its count and the
+key of its text. Spark sums these by the phrase itself. Counts are therefore those of texts,
 whatever the fingerprints do.
 
 Defined cases: a null text is empty and has no phrases; a null language is ``und``; repeated
-rows count each; very long texts are taken in blocks of words; an empty table gives no rows;
+rows count each; a very long text is a slice of its own; an empty table gives no rows;
 other columns are not read.
 """
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, slices, stored, utf8, word_hashes, word_spans
+from .common import mix, slices, stored, utf8
 
 LONGEST = 5
 MIN_COUNT = 100
@@ -39,35 +39,35 @@ UNKNOWN = "und"
 _BASE = 0x9E3779B97F4A7C15
 _BASE_BACK = np.uint64(pow(_BASE, -1, 2**64))
 _LENGTHS = 0xC2B2AE3D27D4EB4F
+_BASE_STEP = np.uint64(_BASE)
+#: What the first 0 to 8 bytes of eight cover.
+_HEADS = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of a word from which it is hashed by itself.
+_LONG_WORD = 1 << 12
 
 #: Words between which no phrase reaches.
-_CUTS = np.zeros(256, bool)
-_CUTS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
-_APART = _CUTS.copy()
-_APART[[0x20, 0x09]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_CUTS = bytes(byte in b".,;:!?\n\x0b\x0c\r" for byte in range(256))
+_APART = bytes(byte in b".,;:!?\n\x0b\x0c\r \t" for byte in range(256))
+_LOWER = bytes(byte + 32 if 65 <= byte < 91 else byte for byte in range(256))
 
 #: Bits for each frequent fingerprint, and the most bits of a bitmap (8 MB).
-BITS_EACH = 16
+BITS_EACH = 32
 MOST_BITS = 1 << 26
 #: Distinct fingerprints that a task holds before it sends them.
 HELD = 1 << 21
-#: Words hashed at a time.
-BLOCK = 1 << 19
 
 
 class Sieve:
-    """A bitmap over the leading bits of fingerprints."""
+    """A bitmap in which each fingerprint has two bits, from its leading and its trailing digits."""
 
     def __init__(self, words: np.ndarray, log2: int):
-        self.words, self.shift = words, np.uint64(64 - log2)
-
-    def __contains__(self, fps):
-        raise TypeError("use has()")
+        self.words, self.log2 = words, log2
 
     def has(self, fps: np.ndarray) -> np.ndarray:
-        slot = fps >> self.shift
+        leading, trailing = fps >> np.uint64(64 - self.log2), fps & np.uint64((1 << self.log2) - 1)
+        return self._lit(leading) & self._lit(trailing)
+
+    def _lit(self, slot: np.ndarray) -> np.ndarray:
         return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -75,8 +75,9 @@ def sieve(fingerprints: DataFrame, most: int = MOST_BITS) -> Sieve:
     """The bitmap of a stored column ``fp``; its size grows with the rows up to ``most`` bits."""
     rows = fingerprints.count()
     log2 = min(most.bit_length() - 1, max(10, (rows * BITS_EACH).bit_length()))
-    slot = F.shiftrightunsigned("fp", 64 - log2)
-    found = fingerprints.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(63).cast("int").alias("bit"))
+    slots = F.array(F.shiftrightunsigned("fp", 64 - log2), F.col("fp").bitwiseAND((1 << log2) - 1))
+    found = fingerprints.select(F.explode(slots).alias("slot"))
+    found = found.select(F.shiftright("slot", 6).alias("word"), F.col("slot").bitwiseAND(63).cast("int").alias("bit"))
     # At most one row for each 64 bits comes to the driver.
     lit = found.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("lit")).toArrow()
     words = np.zeros((1 << log2) // 64, np.uint64)
@@ -84,6 +85,45 @@ def sieve(fingerprints: DataFrame, most: int = MOST_BITS) -> Sieve:
     return Sieve(words, log2)
 
 
+def _spans(data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the first word of each row (rows + 1 entries)."""
+    apart = np.ones(len(data) + 2, bool)
+    apart[1:-1] = np.frombuffer(data.translate(_APART), bool)
+    edges = np.flatnonzero(apart[1:] != apart[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    # A word also ends where its row does.
+    cuts = np.unique(bounds[1:-1])
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    cuts = cuts[~apart[cuts] & ~apart[cuts + 1]]
+    starts = np.insert(starts, np.searchsorted(starts, cuts), cuts)
+    ends = np.insert(ends, np.searchsorted(ends, cuts), cuts)
+    return starts, ends, np.searchsorted(starts, bounds)
+
+
+def _chunks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number; ``data`` has eight more at its end."""
+    return np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
+
+
+def _hashes(data: np.ndarray, chunks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, from its bytes taken eight at a time."""
+    lengths = ends - starts
+    out = lengths.astype(np.uint64)
+    rows = np.arange(len(starts))
+    done = 0
+    while len(rows):
+        out[rows] = mix(out[rows] * _BASE_STEP + (chunks[starts[rows] + done] & _HEADS[np.minimum(lengths[rows] - done, 8)]))
+        done += 8
+        rows = rows[lengths[rows] > done]
+        if done >= _LONG_WORD:
+            break
+    import xxhash
+
+    for i in rows.tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
 class Text:
     """The words of a slice of texts and the fingerprints of their phrases."""
 
@@ -91,24 +131,23 @@ class Text:
         import xxhash
 
         data, self.bounds = utf8(batch.column(1))
-        self.data = _LOWER[data]
-        self.starts, self.ends, first = word_spans(self.data, self.bounds, _APART)
+        raw = data.tobytes().translate(_LOWER)
+        self.data = np.frombuffer(raw + bytes(8), np.uint8)
+        self.chunks = _chunks(self.data)
+        self.starts, self.ends, first = _spans(raw, self.bounds)
         self.row = np.repeat(np.arange(batch.num_rows), np.diff(first))
         # Goes up at every cut and every new row, so equal numbers mean one piece.
-        self.piece = np.cumsum(_CUTS[self.data])[self.starts] + self.row if len(self.starts) else self.row
+        self.piece = np.cumsum(np.frombuffer(raw.translate(_CUTS), np.int8), dtype=np.int32)[self.starts] + self.row
         self.keep = np.uint64(2**bits - 1)
-        blocks = range(0, len(self.starts), BLOCK)
-        values = [word_hashes(self.data, self.starts[i : i + BLOCK], self.ends[i : i + BLOCK]) for i in blocks]
-        self.values = (np.concatenate(values) if values else np.zeros(0, np.uint64)) & self.keep
+        self.values = _hashes(self.data, self.chunks, self.starts, self.ends) & self.keep
         powers = np.cumprod(np.full(len(self.values), _BASE, np.uint64))
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values * powers, dtype=np.uint64)])
         self.back = np.cumprod(np.full(len(self.values), _BASE_BACK, np.uint64))
-        self.langs = [lang if lang is not None else UNKNOWN for lang in batch.column(2).to_pylist()]
-        codes = {lang: i for i, lang in enumerate(dict.fromkeys(self.langs))}
-        salt = np.array([xxhash.xxh64_intdigest(lang) for lang in codes], np.uint64)
-        self.lang_of_row = np.array([codes[lang] for lang in self.langs], np.int64)
-        self.names = list(codes)
-        self.salt = salt[self.lang_of_row][self.row] if len(self.row) else np.zeros(0, np.uint64)
+        langs = [lang if lang is not None else UNKNOWN for lang in batch.column(2).to_pylist()]
+        self.names = list(dict.fromkeys(langs))
+        codes = {lang: i for i, lang in enumerate(self.names)}
+        self.lang = np.array([codes[lang] for lang in langs], np.int64)[self.row]
+        self.salt = np.array([xxhash.xxh64_intdigest(lang) for lang in self.names], np.uint64)[self.lang]
 
     def phrases(self, size: int) -> np.ndarray:
         """First words of all phrases of ``size`` words."""
@@ -120,31 +159,66 @@ class Text:
         rolled = (self.sums[at + size] - self.sums[at]) * self.back[at]
         return mix((rolled & self.keep) ^ self.salt[at] + np.uint64(size * _LENGTHS % 2**64))
 
+    def sifted(self, sizes, sieves: dict[int, Sieve]) -> Iterator[tuple[int, np.ndarray]]:
+        """First words of the phrases whose words, and from three words on whose pairs, are in the sieves."""
+        fits: dict[int, np.ndarray] = {}
+        for size in sizes:
+            at = self.phrases(size)
+            step = min(size - 1, 2)
+            if step in sieves:
+                if step not in fits:
+                    whole = self.phrases(step)
+                    fits[step] = np.zeros(len(self.starts), bool)
+                    fits[step][whole] = sieves[step].has(self.fingerprints(whole, step))
+                for i in range(size - step + 1):
+                    at = at[fits[step][at + i]]
+            yield size, at
+
     def word_ids(self) -> np.ndarray:
         """One number for each different word; equal numbers are equal bytes."""
-        _, first, ids = np.unique(self.values, return_index=True, return_inverse=True)
+        import pandas as pd
+
+        ids, different = pd.factorize(self.values)
+        first = np.zeros(len(different), np.int64)
+        first[ids[::-1]] = np.arange(len(ids))[::-1]
         lengths = self.ends - self.starts
         twin = first[ids]
-        same = lengths == lengths[twin]
-        for i in range(0, len(ids), BLOCK):
-            at = i + np.flatnonzero(same[i : i + BLOCK])
-            span = lengths[at]
-            if not len(span):
-                continue
-            begin = np.cumsum(span) - span
-            place = np.arange(span.sum()) - np.repeat(begin, span)
-            equal = self.data[np.repeat(self.starts[at], span) + place] == self.data[np.repeat(self.starts[twin[at]], span) + place]
-            same[at] = np.logical_and.reduceat(equal, begin)
-        if not same.all():
+        same = bool((lengths == lengths[twin]).all())
+        rows, done = np.flatnonzero(twin != np.arange(len(twin))), 0
+        while same and len(rows):
+            head = _HEADS[np.minimum(lengths[rows] - done, 8)]
+            a, b = self.chunks[self.starts[rows] + done], self.chunks[self.starts[twin[rows]] + done]
+            same = not ((a ^ b) & head).any()
+            done += 8
+            rows = rows[lengths[rows] > done]
+        if not same:
             raw = self.data.tobytes()
             known: dict[bytes, int] = {}
             words = (raw[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist()))
             ids = np.array([known.setdefault(word, len(known)) for word in words], np.int64)
         return ids
 
-    def phrase(self, at: int, size: int) -> bytes:
-        spans = zip(self.starts[at : at + size].tolist(), self.ends[at : at + size].tolist())
-        return b" ".join(self.data[a:b].tobytes() for a, b in spans)
+    def cut_out(self, at: np.ndarray, size: int) -> pa.Array:
+        """The phrases of ``size`` words from ``at`` on, their words joined by one space."""
+        begin, end = self.starts[at], self.ends[at + size - 1]
+        plain = np.ones(len(at), bool)
+        for i in range(size - 1):
+            gap = self.ends[at + i]
+            plain &= (self.starts[at + i + 1] - gap == 1) & (self.data[gap] == 0x20)
+        spans = [(begin, end)]
+        if not plain.all():
+            # Words apart by more than a space are brought together one by one.
+            spans = [(self.starts[at + i], self.ends[at + i]) for i in range(size)]
+        lengths = sum(b - a for a, b in spans) + len(spans) - 1
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        out = np.full(int(offsets[-1]), 0x20, np.uint8)
+        to = offsets[:-1].astype(np.int64)
+        for a, b in spans:
+            n = b - a
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(to, n) + place] = self.data[np.repeat(a, n) + place]
+            to = to + n + 1
+        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
 
 def _tally(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,18 +242,7 @@ def _counted(texts: DataFrame, sizes: range, sieves, bits: int) -> DataFrame:
 
         for batch in slices(batches, 1):
             text = Text(batch, bits)
-            fits = None
-            for size in sizes:
-                at = text.phrases(size)
-                if part and fits is None:
-                    # Which words, or pairs from a word on, may be frequent.
-                    step = min(size - 1, 2)
-                    whole = text.phrases(step)
-                    fits = np.zeros(len(text.starts), bool)
-                    fits[whole] = part[step].has(text.fingerprints(whole, step))
-                if part:
-                    for i in range(size - step + 1):
-                        at = at[fits[at + i]]
+            for size, at in text.sifted(sizes, part):
                 if not len(at):
                     continue
                 held[size].append(np.unique(text.fingerprints(at, size), return_counts=True))
@@ -196,67 +259,66 @@ def _counted(texts: DataFrame, sizes: range, sieves, bits: int) -> DataFrame:
 
 
 def _cut_out(texts: DataFrame, sieves, longest: int, bits: int) -> DataFrame:
-    """(lang, size, phrase, count, first) of all phrases the sieves let through; size 0 counts words."""
-    names = ["lang", "size", "phrase", "count", "key", "place"]
+    """(lang, size, phrase, count, example) of all phrases the sieves let through; size 0 counts words."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         part = sieves.value
         for batch in slices(batches, 1):
             text = Text(batch, bits)
-            keys = batch.column(0).to_pylist()
-            out: dict[str, list] = {name: [] for name in names}
-
-            def add(*row):
-                for name, value in zip(names, row):
-                    out[name].append(value)
-
+            keys = batch.column(0)
+            names = pa.array(text.names, pa.string())
+
+            def rows(at, size, counts):
+                """A phrase from each of ``at``."""
+                return pa.RecordBatch.from_arrays(
+                    [
+                        names.take(pa.array(text.lang[at])), pa.array(np.full(len(at), size, np.int32)), text.cut_out(at, size),
+                        pa.array(counts.astype(np.int64)), keys.take(pa.array(text.row[at])),
+                    ],
+                    names=_CUT_OUT,
+                )
+
+            none = pa.nulls(len(names), pa.int64())
+            words = np.bincount(text.lang, minlength=len(names))
+            zeros = pa.array(np.zeros(len(names), np.int32))
+            yield pa.RecordBatch.from_arrays([names, zeros, pa.array([""] * len(names)), pa.array(words), none], names=_CUT_OUT)
             ids = text.word_ids()
-            words = np.bincount(text.lang_of_row[text.row], minlength=len(text.names))
-            for lang, n in zip(text.names, words.tolist()):
-                add(lang, 0, b"", n, None, None)
-            for size in range(1, longest + 1):
-                at = text.phrases(size)
+            for size, at in text.sifted(range(1, longest + 1), part):
                 fps = text.fingerprints(at, size)
                 hit = part[size].has(fps)
                 at, fps = at[hit], fps[hit]
+                if not len(at):
+                    continue
                 _, first, which, counts = np.unique(fps, return_index=True, return_inverse=True, return_counts=True)
                 twin = at[first][which]
-                lang = text.lang_of_row[text.row]
-                same = lang[at] == lang[twin]
+                same = text.lang[at] == text.lang[twin]
                 for i in range(size):
                     same &= ids[at + i] == ids[twin + i]
                 mixed = np.unique(which[~same])
-                for i in np.setdiff1d(np.arange(len(first)), mixed, assume_unique=True).tolist():
-                    p = int(at[first[i]])
-                    row = int(text.row[p])
-                    add(text.langs[row], size, text.phrase(p, size), int(counts[i]), keys[row], int(text.starts[p] - text.bounds[row]))
+                clear = np.setdiff1d(np.arange(len(first)), mixed, assume_unique=True)
+                yield rows(at[first[clear]], size, counts[clear])
                 # Fingerprints that stand for several phrases here: these are told apart by their words.
                 apart: dict[tuple, list] = {}
-                for p in at[np.isin(which, mixed)].tolist():
-                    apart.setdefault((int(lang[p]), *ids[p : p + size].tolist()), []).append(p)
-                for places in apart.values():
-                    row = int(text.row[places[0]])
-                    place = int(text.starts[places[0]] - text.bounds[row])
-                    add(text.langs[row], size, text.phrase(places[0], size), len(places), keys[row], place)
-            types = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            columns = [pa.array(out[name], kind) for name, kind in zip(names, types)]
-            columns[2] = columns[2].cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    rows = texts.mapInArrow(run, "lang string, size int, phrase string, count long, key long, place long")
-    return rows.groupBy("lang", "size", "phrase").agg(
-        F.sum("count").alias("count"), F.min(F.when(F.col("size") > 0, F.struct("key", "place"))).alias("first")
-    )
+                for p in at[np.isin(which, mixed)].tolist() if len(mixed) else []:
+                    apart.setdefault((int(text.lang[p]), *ids[p : p + size].tolist()), []).append(p)
+                if apart:
+                    yield rows(np.array([p[0] for p in apart.values()]), size, np.array([len(p) for p in apart.values()]))
+
+    cut = texts.mapInArrow(run, "lang string, size int, phrase string, count long, key long")
+    return cut.groupBy("lang", "size", "phrase").agg(F.sum("count").alias("count"), F.min("key").alias("example"))
+
+
+_CUT_OUT = ["lang", "size", "phrase", "count", "key"]
 
 
 def phrase_counts(
     df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
     longest: int = LONGEST, min_count: int = MIN_COUNT, bits: int = 64, most: int = MOST_BITS,
 ) -> DataFrame:
-    """(lang, size, phrase, count, first) of all phrases of up to ``longest`` words, exact.
+    """(lang, size, phrase, count, example) of all phrases of up to ``longest`` words, exact.
 
-    Size 0 holds the number of words of each language. ``first`` is the least key and the
-    byte where the phrase stands there. ``bits`` are those kept of words and fingerprints.
+    Size 0 holds the number of words of each language. ``example`` is the key of a text
+    with the phrase. ``bits`` are those kept of words and fingerprints.
     """
     if longest < 2:
         raise ValueError("phrases have two words at least")
@@ -283,11 +345,12 @@ def score_cuts(counts: DataFrame) -> DataFrame:
     """
     wide = "decimal(19,0)"
     parts = counts.where("size > 0").select("lang", F.col("phrase").alias("part"), F.col("count").alias("times"))
-    totals = counts.where("size = 0").select(F.col("lang").alias("of"), F.col("count").alias("n"))
+    # Stored by itself, so that Spark knows how small it is.
+    totals = stored(counts.where("size = 0").select(F.col("lang").alias("of"), F.col("count").alias("n")), "totals")
     words = F.split("phrase", " ")
     cuts = (
         counts.where("size > 1")
-        .select("lang", "size", "phrase", "first", F.col("count").alias("a"), words.alias("words"), F.explode(F.expr("sequence(1, size - 1)")).alias("k"))
+        .select("lang", "size", "phrase", "example", F.col("count").alias("a"), words.alias("words"), F.explode(F.expr("sequence(1, size - 1)")).alias("k"))
         .withColumn("left", F.array_join(F.slice("words", F.lit(1), F.col("k")), " "))
         .withColumn("right", F.array_join(F.slice("words", F.col("k") + 1, F.col("size")), " "))
         .drop("words")
@@ -300,8 +363,8 @@ def score_cuts(counts: DataFrame) -> DataFrame:
         f"(CAST(a AS {wide}) * CAST(n AS {wide}) * CAST(1000 AS decimal(4,0))) div (CAST(l AS {wide}) * CAST(r AS {wide}))"
     )
     best = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut")
-    lowest = cuts.groupBy("lang", "size", "phrase", "a", "n").agg(best, F.first("first").alias("first"))
-    return lowest.select("lang", "size", "phrase", "a", "cut.l", "cut.r", "n", "cut.score", "cut.k", "first")
+    lowest = cuts.groupBy("lang", "size", "phrase", "a", "n").agg(best, F.first("example").alias("example"))
+    return lowest.select("lang", "size", "phrase", "a", "cut.l", "cut.r", "n", "cut.score", "cut.k", "example")
 
 
 def absorbed(counts: DataFrame, percent: int = 100) -> DataFrame:
@@ -324,7 +387,7 @@ def collocations(
     df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
     longest: int = LONGEST, min_count: int = MIN_COUNT, top: int | None = TOP, percent: int = 100, bits: int = 64,
 ) -> DataFrame:
-    """The ``top`` phrases of each language by score: lang, rank, phrase, a, l, r, n, score, first.
+    """The ``top`` phrases of each language by score: lang, rank, phrase, a, l, r, n, score, example.
 
     ``top=None`` returns all, without a rank.
     """
@@ -334,4 +397,4 @@ def collocations(
         return scored
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     ranked = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "first")
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "example")

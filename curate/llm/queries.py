@@ -124,7 +124,7 @@ def op10_line_crf_quality(spark, folder):
 @_query
 def op11_phrase_collocations(spark, folder):
     ship_package(spark)
-    return collocations.collocations(documents(spark, folder)).drop("first")
+    return collocations.collocations(documents(spark, folder)).drop("example")
 
 
 @_query

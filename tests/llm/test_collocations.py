@@ -76,29 +76,30 @@ def test_collocations_are_those_of_brute_force(docs, bits, min_count, percent):
     assert found(out) == want and len(want) > 5
 
 
-def test_counts_do_not_depend_on_blocks_or_on_a_full_sieve(docs, monkeypatch):
-    monkeypatch.setattr(co, "BLOCK", 7)
+def test_counts_do_not_depend_on_flushes_or_on_a_full_sieve(docs, monkeypatch):
     monkeypatch.setattr(co, "HELD", 16)
     counted = co.phrase_counts(docs, min_count=8, most=1 << 10)
     want = {tuple(r[:4]) for r in co.phrase_counts(docs, min_count=8).collect()}
     assert {tuple(r[:4]) for r in counted.collect()} == want
 
 
-def test_first_places(docs):
-    texts = collections.defaultdict(list)
-    for key, text, *_ in made_rows():
-        texts[key].append(lower(text).encode())
-    for r in co.phrase_counts(docs, min_count=8).where("size > 0").collect():
-        words = r["phrase"].encode().split(b" ")
-        at = r["first"]["place"]
-        assert any(re.match(rb"[ \t]+".join(map(re.escape, words)), raw[at:]) for raw in texts[r["first"]["key"]])
+def test_examples_hold_their_phrase(docs):
+    where = collections.defaultdict(set)
+    for key, text, lang, *_ in made_rows():
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", lower(text)):
+            found = re.findall(r"[^ \t]+", piece)
+            for size in range(1, 6):
+                for i in range(len(found) - size + 1):
+                    where["und" if lang is None else lang, " ".join(found[i : i + size])].add(key)
+    out = co.phrase_counts(docs, min_count=8).where("size > 0").collect()
+    assert out and all(r["example"] in where[r["lang"], r["phrase"]] for r in out)
 
 
 def test_scores_are_exact_beyond_64_bits(spark):
     big = 10**16 + 7
     counts = spark.createDataFrame(
         [("en", 0, "", 3 * big, None), ("en", 1, "a", big + 2, None), ("en", 1, "b", big + 4, None), ("en", 2, "a b", big, None)],
-        "lang string, size int, phrase string, count long, first string",
+        "lang string, size int, phrase string, count long, example long",
     )
     r = co.score_cuts(counts).first()
     assert r["score"] == 1000 * big * 3 * big // ((big + 2) * (big + 4))
