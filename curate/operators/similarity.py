@@ -4,13 +4,17 @@ The search is exact without scoring all values against all others. Suppose two t
 score at least ``min_score``. Then so few edits part them that, of enough separate
 pieces of one text, some survive and stand somewhere in the other. So
 
-* each text is cut into separate pieces of one size, none across words, and the rarest
-  of them are kept, one more than edits can spoil; of the sizes that give that many
-  pieces, the one whose kept pieces stand in the fewest other texts is taken;
-* each text also lists every stretch of characters it contains;
-* an equi-join of kept pieces with stretches gives pairs. A pair goes on from its first
-  shared piece only, and only if enough of all pieces stand in the other text;
-* what is left is scored.
+* the distinct texts are numbered and stored; what follows holds their 64-bit ids, lengths
+  and short keys, never the texts;
+* an inverted index lists every short stretch of every text, with its position where the
+  score looks at the plain order of characters;
+* each text is cut into separate pieces of one size, and the rarest of them are kept, a few
+  more than edits can spoil; of the sizes that give enough pieces, the one whose kept pieces
+  stand in the fewest other texts is taken;
+* an equi-join of kept pieces with the index gives pairs. An edit moves what follows by one
+  character at most, so a piece counts only near its own position; a pair goes on if enough
+  of the kept pieces count;
+* the texts of the pairs that are left are joined back and scored.
 
 A stretch found in very many texts is salted on both sides, so that no task sees more
 than a small block of texts against another such block.
@@ -21,14 +25,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from math import ceil, log, log1p
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..sources.scratch import stored
 from .quality import value_counts
 
 PIECE_SIZES = (1, 2, 3, 4)
+# Pieces kept beyond the one that must survive: each asks for one more match of a pair.
+SPARE_PIECES = 2
 # Texts on each side of a block of a salted key.
 TEXTS_PER_SALT = 2_000
 # Below these, two similar texts need not have a surviving piece (see _edits_allowed): a
@@ -45,22 +54,43 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, _SPACES), lambda word: word != ""))
 
 
-# Higher-order functions over the column ``words``, as SQL to keep them readable.
+# Higher-order functions over the columns ``words`` and ``letters``, as SQL to keep them readable.
 _CHARACTERS = "array_distinct(filter(split(text, ''), c -> c <> ''))"
 
 
-def _pieces(size: int) -> str:
+def _word_pieces(size: int) -> str:
     """Separate pieces of ``size`` characters within words."""
     return f"""flatten(transform(filter(words, w -> length(w) >= {size}), w -> transform(
-        sequence(0, cast(length(w) div {size} as int) - 1), i -> substr(w, i * {size} + 1, {size}))))"""
+        sequence(0, cast(length(w) div {size} as int) - 1),
+        i -> named_struct('size', {size}, 'key', substr(w, i * {size} + 1, {size}), 'place', -1))))"""
 
 
-def _stretches(size: int) -> str:
+def _word_stretches(size: int) -> str:
     """Every stretch of ``size`` characters within words."""
     return f"""flatten(transform(filter(words, w -> length(w) >= {size}), w -> transform(
         sequence(1, length(w) - {size - 1}), i -> substr(w, i, {size}))))"""
 
 
+def _letter_run(size: int) -> str:
+    return "concat(" + ", ".join(f"letters[i + {k}]" for k in range(size)) + ")"
+
+
+def _pieces(size: int) -> str:
+    """Separate pieces of ``size`` characters of the text without its white space."""
+    return f"""transform(sequence(0, cast(size(letters) div {size} as int) - 1), j -> j * {size})"""
+
+
+def _placed_pieces(size: int) -> str:
+    run = f"transform({_pieces(size)}, i -> named_struct('size', {size}, 'key', {_letter_run(size)}, 'place', i))"
+    return f"if(size(letters) >= {size}, {run}, array())"
+
+
+def _placed_stretches(size: int) -> str:
+    """Every stretch of ``size`` characters of the text without its white space, with its place."""
+    run = f"transform(sequence(0, size(letters) - {size}), i -> named_struct('key', {_letter_run(size)}, 'place', i))"
+    return f"if(size(letters) >= {size}, {run}, array())"
+
+
 def _edits_allowed(length: Column, min_score: float, metric: str) -> Column:
     """Most pieces of a text of ``length`` that a partner's edits can spoil.
 
@@ -84,8 +114,8 @@ def _edits_between(length: Column, other: Column, min_score: float, metric: str)
 
 
 def _may_match(a: Column, b: Column, min_score: float, metric: str) -> Column:
-    """Whether the lengths alone leave a score of ``min_score`` possible."""
-    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    """Whether the lengths ``a`` and ``b`` alone leave a score of ``min_score`` possible."""
+    short, long = F.least(a, b), F.greatest(a, b)
     if metric == "levenshtein":
         return short * 100.0 >= long * min_score - 1e-6
     close = short * 200.0 >= (short + long) * min_score - 1e-6
@@ -97,62 +127,73 @@ def _may_match(a: Column, b: Column, min_score: float, metric: str) -> Column:
 
 
 def _texts(df: DataFrame, column: str) -> DataFrame:
+    """``(id, text, chars)`` of the distinct texts, stored, so that an id stays with its text."""
     value = F.col(f"`{column}`").cast("string")
-    return df.select(value.alias("text")).where("text IS NOT NULL AND text <> ''").distinct()
+    texts = df.select(value.alias("text")).where("text IS NOT NULL AND text <> ''").distinct()
+    return stored(texts.select(F.monotonically_increasing_id().alias("id"), "text", F.length("text").alias("chars")), "texts")
+
+
+def _cut(texts: DataFrame, by_words: bool) -> DataFrame:
+    """Texts as their distinct words, or as their characters without white space."""
+    if by_words:
+        return texts.withColumn("words", _words(F.col("text")))
+    squeezed = F.regexp_replace("text", _SPACES, "")
+    return texts.withColumn("letters", F.filter(F.split(squeezed, ""), lambda c: c != ""))
+
 
+def _listed(texts: DataFrame, by_words: bool) -> DataFrame:
+    """``(id, chars, key, place)`` for every stretch, of every piece size, that a text contains.
 
-def _listed(texts: DataFrame) -> DataFrame:
-    """``(text, key)`` for every stretch, of every piece size, that a text contains."""
-    stretches = ", ".join([_CHARACTERS, *[_stretches(size) for size in PIECE_SIZES if size > 1]])
-    keys = F.explode(F.expr(f"array_distinct(concat({stretches}))"))
-    return texts.withColumn("words", _words(F.col("text"))).select("text", keys.alias("key"))
+    By words, and for white space, a key comes once for each text and without a place (-1).
+    """
+    cut = _cut(texts, by_words)
+    if by_words:
+        stretches = ", ".join([_CHARACTERS, *[_word_stretches(size) for size in PIECE_SIZES if size > 1]])
+        keys = F.explode(F.expr(f"array_distinct(concat({stretches}))"))
+        return cut.select("id", "chars", keys.alias("key"), F.lit(-1).alias("place"))
+    blanks = f"transform(filter({_CHARACTERS}, c -> c rlike '{_SPACES}'), c -> named_struct('key', c, 'place', -1))"
+    stretches = ", ".join([blanks.replace("\\", "\\\\"), *map(_placed_stretches, PIECE_SIZES)])
+    return cut.select("id", "chars", F.inline(F.expr(f"concat({stretches})")))
 
 
-def _kept_pieces(texts: DataFrame, frequency: DataFrame, min_score: float, metric: str) -> DataFrame:
-    """``(text, key, at, pieces, spoiled)``: kept piece ``at`` of all ``pieces``, rarest
+def _kept_pieces(texts: DataFrame, frequency: DataFrame, min_score: float, metric: str, by_words: bool) -> DataFrame:
+    """``(id, chars, key, place, at, kept, spoiled)``: kept piece ``at`` of ``kept``, rarest
     first, of which ``spoiled`` at most can be missing from a similar text.
 
     A text without enough pieces, being mostly white space, keeps all its characters,
     and ``spoiled`` is null.
     """
-    spoiled = _edits_allowed(F.length("text"), min_score, metric)
-    cut = texts.withColumn("words", _words(F.col("text"))).withColumn("spoiled", spoiled)
-    sized = ", ".join(
-        f"""if(aggregate(words, 0, (n, w) -> n + cast(length(w) div {size} as int)) > spoiled,
-            transform({_pieces(size)}, p -> named_struct('size', {size}, 'key', p)), array())"""
-        for size in PIECE_SIZES
-    )
-    few = f"transform({_CHARACTERS}, c -> named_struct('size', 0, 'key', c))"
+    cut = _cut(texts, by_words).withColumn("spoiled", _edits_allowed(F.col("chars"), min_score, metric))
+    count = "aggregate(words, 0, (n, w) -> n + cast(length(w) div {} as int))" if by_words else "cast(size(letters) div {} as int)"
+    pieces = _word_pieces if by_words else _placed_pieces
+    sized = ", ".join(f"if({count.format(size)} > spoiled, {pieces(size)}, array())" for size in PIECE_SIZES)
+    few = f"transform({_CHARACTERS}, c -> named_struct('size', 0, 'key', c, 'place', -1))"
     found = (
         cut.withColumn("found", F.expr(f"concat({sized})"))
-        .select("text", "spoiled", F.explode(F.expr(f"if(size(found) > 0, found, {few})")).alias("piece"))
-        .select("text", "spoiled", "piece.size", "piece.key")
+        .select("id", "chars", "spoiled", F.inline(F.expr(f"if(size(found) > 0, found, {few})")))
         .join(frequency, "key")
-        .groupBy("text", "spoiled")
-        .agg(F.array_sort(F.collect_list(F.struct("size", "texts", "key"))).alias("found"))
-    )
-    costs = ", ".join(
-        f"""if(exists(found, f -> f.size = {size}), named_struct('cost', aggregate(
-            slice(filter(found, f -> f.size = {size}), 1, spoiled + 1), 0L, (n, f) -> n + f.texts), 'size', {size}), null)"""
-        for size in (0, *PIECE_SIZES)
+        .groupBy("id", "chars", "spoiled", "size")
+        .agg(F.array_sort(F.collect_list(F.struct("texts", "key", "place"))).alias("pieces"))
     )
-    chosen = found.withColumn("size", F.expr(f"array_min(array({costs})).size")).select(
-        "text",
-        F.expr("transform(filter(found, f -> f.size = size), f -> f.key)").alias("pieces"),
-        F.expr("if(size = 0, null, spoiled)").alias("spoiled"),
+    # Rarest first; of the sizes, the one whose kept pieces stand in fewest texts.
+    most = F.when(F.col("size") > 0, F.col("spoiled") + 1 + SPARE_PIECES).otherwise(F.size("pieces"))
+    cost = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, piece: n + piece["texts"])
+    kept = (
+        found.withColumn("pieces", F.slice("pieces", F.lit(1), most))
+        .groupBy("id", "chars", "spoiled")
+        .agg(F.min_by(F.struct("size", "pieces"), F.struct(cost, "size")).alias("best"))
+        .select("id", "chars", F.when(F.col("best.size") > 0, F.col("spoiled")).alias("spoiled"), F.col("best.pieces").alias("pieces"))
     )
-    kept = F.expr("slice(pieces, 1, coalesce(spoiled + 1, size(pieces)))")
-    return chosen.select("text", F.posexplode(kept).alias("at", "key"), "pieces", "spoiled")
+    each = kept.select("id", "chars", "spoiled", F.size("pieces").alias("kept"), F.posexplode("pieces").alias("at", "piece"))
+    return each.select("id", "chars", "piece.key", "piece.place", "at", "kept", "spoiled")
 
 
 def _join_on_keys(probes: DataFrame, listed: DataFrame) -> DataFrame:
-    """Join ``(text, key, ...)`` with ``(text as other, key)``.
+    """Join ``(id, key, ...)`` with ``(id, chars, key, ...)``, whose other columns become ``other_...``.
 
     Both sides of a frequent key are dealt out in salts, and each salt of one side meets
-    each of the other. The number of partitions is set, since few bytes can mean many pairs.
+    each of the other.
     """
-    spark = probes.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
     sizes = probes.groupBy("key").agg(F.count(F.lit(1)).alias("probes")).join(texts, "key").select(
         "key",
@@ -160,56 +201,54 @@ def _join_on_keys(probes: DataFrame, listed: DataFrame) -> DataFrame:
         F.ceil(F.col("texts") / TEXTS_PER_SALT).cast("int").alias("right_salts"),
     )
 
-    def salt(text: str, salts: str) -> Column:
-        return F.pmod(F.xxhash64(text), F.col(salts)).cast("int")
+    def salt(salts: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(salts)).cast("int")
 
     def every(salts: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(salts) - 1))
 
-    on = ["key", "left", "right"]
-    left = (
-        probes.join(sizes, "key")
-        .select(*probes.columns, salt("text", "left_salts").alias("left"), every("right_salts").alias("right"))
-        .repartition(partitions, *on)
-    )
-    right = (
-        listed.join(sizes, "key")
-        .select(F.col("text").alias("other"), "key", every("left_salts").alias("left"), salt("text", "right_salts").alias("right"))
-        .repartition(partitions, *on)
-    )
-    return left.join(right, on)
+    left = probes.join(sizes, "key").select(*probes.columns, salt("left_salts").alias("left"), every("right_salts").alias("right"))
+    others = [F.col(c).alias(f"other_{c}") for c in listed.columns if c != "key"]
+    right = listed.join(sizes, "key").select(*others, "key", every("left_salts").alias("left"), salt("right_salts").alias("right"))
+    return left.join(right, ["key", "left", "right"])
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(a, b)``: the texts of pairs of ids, the smaller first."""
+    for id_, name in (("id", "x"), ("other_id", "y")):
+        pairs = pairs.join(texts.select(F.col("id").alias(id_), F.col("text").alias(name)), id_)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _candidates(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
-    listed = _listed(texts)
+    by_words = metric == "wratio" and min_score <= 100 * scores.TOKEN_WEIGHT
+    listed = _listed(texts, by_words)
     frequency = listed.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
-    kept = _kept_pieces(texts, frequency, min_score, metric)
-    length, other = F.length("text"), F.length("other")
+    kept = _kept_pieces(texts, frequency, min_score, metric, by_words)
 
-    first_shared = F.expr("not exists(slice(pieces, 1, at), p -> contains(other, p))")
-    standing = F.expr("size(filter(pieces, p -> contains(other, p)))")
-    by_words = metric == "wratio" and min_score <= 100 * scores.TOKEN_WEIGHT
+    spoiled = F.col("spoiled")
     if by_words:
         # A text may be similar by its words while only its own pieces show it, so both sides probe.
-        one_way, spoiled = F.col("text") != F.col("other"), F.col("spoiled")
+        one_way, near = F.col("id") != F.col("other_id"), F.lit(True)
     else:
-        one_way = F.struct(length, F.col("text")) < F.struct(other, F.col("other"))
-        spoiled = F.when(F.col("spoiled").isNotNull(), _edits_between(length, other, min_score, metric))
-    enough = F.coalesce(standing >= F.size("pieces") - spoiled, F.lit(True))
-    lengths = _may_match(F.col("text"), F.col("other"), min_score, metric)
-    pairs = _join_on_keys(kept, listed).where(lengths & one_way & first_shared & enough)
+        one_way = F.struct("chars", "id") < F.struct("other_chars", "other_id")
+        spoiled = F.when(spoiled.isNotNull(), _edits_between(F.col("chars"), F.col("other_chars"), min_score, metric))
+        near = (F.col("place") < 0) | (F.abs(F.col("place") - F.col("other_place")) <= spoiled)
+    lengths = _may_match(F.col("chars"), F.col("other_chars"), min_score, metric)
+    met = _join_on_keys(kept, listed).where(lengths & one_way & near)
+    needed = F.coalesce(F.col("kept") - spoiled, F.lit(1)).alias("needed")
+    pairs = met.groupBy("id", "other_id", needed).agg(F.count_distinct("at").alias("matched")).where("matched >= needed")
+    pairs = pairs.select("id", "other_id")
     if not by_words:
-        pairs = pairs.select(F.least("text", "other").alias("a"), F.greatest("text", "other").alias("b"))
-        return _sift(pairs, min_score, metric)
-    pairs = pairs.select("text", "other")
+        return _sift(_with_texts(pairs, texts), min_score, metric)
     if min_score <= 100 * scores.TOKEN_WEIGHT * scores.PARTIAL_WEIGHT:
         # Here a single shared word lifts texts of unlike length over the bar: such pairs are results.
-        by_word = texts.select("text", F.explode(_words(F.col("text"))).alias("key"))
-        unlike = F.greatest(length, other) >= scores.PARTIAL_FROM * F.least(length, other)
-        shared = _join_on_keys(by_word, by_word).where(lengths & unlike & (F.col("text") < F.col("other")))
-        pairs = pairs.unionAll(shared.select("text", "other"))
-    pairs = pairs.select(F.least("text", "other").alias("a"), F.greatest("text", "other").alias("b")).distinct()
-    return _sift_by_words(pairs, min_score)
+        by_word = texts.select("id", "chars", F.explode(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))).alias("key"))
+        long, short = F.greatest("chars", "other_chars"), F.least("chars", "other_chars")
+        shared = _join_on_keys(by_word, by_word).where(lengths & (long >= scores.PARTIAL_FROM * short) & (F.col("id") < F.col("other_id")))
+        pairs = pairs.unionAll(shared.select("id", "other_id"))
+    pairs = pairs.select(F.least("id", "other_id").alias("id"), F.greatest("id", "other_id").alias("other_id")).distinct()
+    return _sift_by_words(_with_texts(pairs, texts), min_score)
 
 
 def _sift(pairs: DataFrame, min_score: float, metric: str) -> DataFrame:
@@ -288,7 +327,8 @@ def similar_values(
     ``metric`` is ``wratio`` (weighted ratio, also finds reordered and extra words),
     ``indel`` (plain ratio) or ``levenshtein``; all tell case apart. ``method="lsh"``
     looks up candidates by hashed bands instead, which is cheaper for very many values
-    and may miss pairs. Each pair comes once, smaller value first, best pairs on top.
+    and may miss a few in a thousand pairs; it refuses scores under 60, where it would miss
+    more, and sees no reordered words. Each pair comes once, smaller value first, best pairs on top.
     """
     if metric not in LEAST_SCORE:
         raise ValueError(f"unknown metric {metric!r}; use one of {', '.join(LEAST_SCORE)}")
@@ -309,43 +349,106 @@ def similar_values(
 
 MOST_BANDS = 64
 # Share of the pairs at min_score that may be missed.
-MISSED = 0.005
+MISSED = 0.002
+# Stretches of so many characters, and the share of them that unlike texts have in common.
+GRAMS = {2: 0.15, 3: 0.04}
 
 
-def _bands(min_score: float) -> tuple[int, int]:
-    """How many bands, and hashes in each: as many hashes as 64 bands can carry.
+def _bands(min_score: float) -> tuple[int, int, int]:
+    """(characters of a stretch, bands, values in each): as selective as 64 bands allow.
 
-    A text of n characters has about n stretches of three, and each character that differs
-    spoils three of them. So the stretches of two texts at ``min_score`` overlap at least by
-    (1 - spoiled) / (1 + spoiled) of all theirs, which is the chance that a hash agrees.
+    A text of n characters has about n stretches of g, and each character that differs
+    spoils g of them. So the stretches of two texts at ``min_score`` overlap at least by
+    (1 - spoiled) / (1 + spoiled) of all theirs, which is the chance that a value agrees.
     """
-    spoiled = min(3 * (100 - min_score) / 100, 0.8)
-    alike = (1 - spoiled) / (1 + spoiled)
+    found = []
+    for size, unlike in GRAMS.items():
+        spoiled = size * (100 - min_score) / 100
+        if spoiled > 0.8:
+            continue
+        alike = (1 - spoiled) / (1 + spoiled)
+        for values in range(1, 9):
+            bands = ceil(log(MISSED) / log1p(-(alike**values)))
+            if bands <= MOST_BANDS:
+                found.append((bands * unlike**values, size, bands, values))
+    if not found:
+        raise ValueError(f"no bands find texts as unlike as a score of {min_score:g}; use method='exact' or a score of 60 and more")
+    return min(found)[1:]
+
 
-    def bands(hashes: int) -> int:
-        return ceil(log(MISSED) / log1p(-(alike**hashes)))
+_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+_EMPTY = np.uint64(2**64 - 1)
 
-    hashes = max(n for n in range(1, 9) if n == 1 or bands(n) <= MOST_BANDS)
-    return bands(hashes), hashes
+
+def _scatter(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def _least_by_bin(texts: list[str], size: int, bins: int) -> np.ndarray:
+    """For each text the least hash in every bin: each stretch is hashed once.
+
+    The hash names the bin. A bin without a stretch takes the value of another bin, tried in
+    an order that is its own and the same for all texts, until one is not empty; so a value
+    agrees as often as the stretches of two texts overlap, however few they are.
+    """
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths)
+    row = np.repeat(np.arange(len(texts)), lengths)
+    place = np.arange(len(chars)) - np.repeat(ends - lengths, lengths)
+    # A shorter text is one stretch, ended by zeros.
+    begins = np.flatnonzero(place <= np.maximum(lengths[row] - size, 0))
+    hashed = np.zeros(len(begins), np.uint64)
+    padded = np.concatenate([chars, np.zeros(size, np.uint64)])
+    for k in range(size):
+        inside = place[begins] + k < lengths[row[begins]]
+        hashed = _scatter(hashed * _MULTIPLY + np.where(inside, padded[begins + k] + np.uint64(1), np.uint64(0)))
+    least = np.full((len(texts), bins), _EMPTY)
+    np.minimum.at(least, (row[begins], (hashed % np.uint64(bins)).astype(np.int64)), hashed)
+    filled = least != _EMPTY
+    rows, empty = np.nonzero(~filled)
+    attempt = 0
+    while len(rows):
+        attempt += 1
+        # After many tries, which only texts of a few characters need, bins are tried in turn.
+        tried = _scatter((empty * 1_000_003 + attempt).astype(np.uint64)) % np.uint64(bins) if attempt < 4 * bins else (empty + attempt) % bins
+        tried = tried.astype(np.int64)
+        ok = filled[rows, tried]
+        least[rows[ok], empty[ok]] = least[rows[ok], tried[ok]]
+        rows, empty = rows[~ok], empty[~ok]
+    return least
+
+
+# Characters whose stretches a task hashes at once.
+HASHED_AT_ONCE = 1 << 20
 
 
 def _banded(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
-    """Candidates that agree on a band of minimum hashes over three-character stretches."""
-    bands, hashes = _bands(min_score)
-    length = F.length("text")
-    grams = F.when(
-        length >= 3,
-        F.transform(F.sequence(F.lit(1), length - 2), lambda i: F.substr(F.col("text"), i.cast("int"), F.lit(3))),
-    ).otherwise(F.array("text"))
-    least = f"""transform(sequence(0, {bands - 1}), band -> xxhash64(band, transform(sequence(0, {hashes - 1}),
-        i -> array_min(transform(grams, gram -> xxhash64(band * {hashes} + i, gram))))))"""
-    keyed = texts.withColumn("grams", F.array_distinct(grams)).select("text", F.explode(F.expr(least)).alias("key"))
-    pairs = (
-        _join_on_keys(keyed, keyed)
-        .where((F.col("text") < F.col("other")) & _may_match(F.col("text"), F.col("other"), min_score, metric))
-        .select(F.col("text").alias("a"), F.col("other").alias("b"))
-        .distinct()
-    )
+    """Candidates that agree on all values of a band."""
+    size, bands, values = _bands(min_score)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.cumsum(np.asarray(batch.column(2)))
+            begin = 0
+            while begin < batch.num_rows:
+                before = lengths[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(lengths, before + HASHED_AT_ONCE)))
+                part = batch.slice(begin, end - begin)
+                least = _least_by_bin(part.column(1).to_pylist(), size, bands * values).reshape(-1, bands, values)
+                key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), least.shape[:2])
+                for i in range(values):
+                    key = _scatter(key * _MULTIPLY + least[:, :, i])
+                columns = [pa.array(np.repeat(np.asarray(part.column(c)), bands)) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(key.reshape(-1).view(np.int64))], names=["id", "chars", "key"])
+                begin = end
+
+    keyed = texts.mapInArrow(keys, "id long, chars int, key long")
+    lengths = _may_match(F.col("chars"), F.col("other_chars"), min_score, metric)
+    pairs = _join_on_keys(keyed, keyed).where((F.col("id") < F.col("other_id")) & lengths).select("id", "other_id").distinct()
+    pairs = _with_texts(pairs, texts)
     return _sift_by_words(pairs, min_score) if metric == "wratio" else _sift(pairs, min_score, metric)
 
 

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from curate import operators as op
 from curate.functions import scores
@@ -141,11 +142,72 @@ def test_arguments(spark):
             op.similar_values(df, "t", **wrong)
 
 
-def test_banded_search_finds_a_subset(spark):
-    df = spark.createDataFrame([(t,) for t in _texts(7, 150)], "t string")
-    exact = {tuple(r) for r in op.similar_values(df, "t", 90, "indel").collect()}
-    banded = {tuple(r) for r in op.similar_values(df, "t", 90, "indel", method="lsh").collect()}
-    assert banded <= exact and len(banded) >= 0.98 * len(exact)
+@pytest.mark.parametrize("metric, least", [("indel", 75), ("indel", 80), ("indel", 90), ("levenshtein", 75), ("levenshtein", 90)])
+def test_banded_search_finds_nearly_all(spark, metric, least):
+    rng = random.Random(least)
+    texts = set(_texts(7, 80))
+    while len(texts) < 260:
+        text = "".join(rng.choice("abcdefghij klmnop") for _ in range(rng.randint(8, 60)))
+        texts.add(text)
+        for _ in range(3):
+            copy = list(text)
+            for _ in range(rng.randint(1, max(1, len(text) // 6))):
+                copy[rng.randrange(len(copy))] = rng.choice(["", "x", "yz"])
+            texts.add("".join(copy))
+    df = spark.createDataFrame([(t,) for t in sorted(texts - {""})], "t string")
+    exact = {tuple(r) for r in op.similar_values(df, "t", least, metric).collect()}
+    banded = {tuple(r) for r in op.similar_values(df, "t", least, metric, method="lsh").collect()}
+    assert banded <= exact and len(exact) > 50
+    assert len(banded) >= 0.99 * len(exact)
+
+
+def test_bands_refuse_what_they_would_miss(spark):
+    df = spark.createDataFrame([("abc",)], "t string")
+    with pytest.raises(ValueError):
+        op.similar_values(df, "t", 55, "levenshtein", method="lsh")
+    for least in (60, 75, 80, 90, 99):
+        size, bands, values = similarity._bands(least)
+        spoiled = size * (100 - least) / 100
+        assert bands <= similarity.MOST_BANDS
+        assert (1 - ((1 - spoiled) / (1 + spoiled)) ** values) ** bands <= similarity.MISSED
+
+
+@pytest.mark.parametrize("length", [4, 20, 300])
+def test_values_agree_as_often_as_stretches_overlap(length):
+    rng = random.Random(length)
+    agreed, overlap = 0.0, 0.0
+    for _ in range(60):
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz😀é") for _ in range(length))
+        b = a[: length // 2] + "".join(rng.choice("ABCDEFG") for _ in range(length - length // 2))
+        least = similarity._least_by_bin([a, b, a], 2, 96)
+        assert (least[0] == least[2]).all()
+        agreed += (least[0] == least[1]).mean()
+        x, y = ({t[i : i + 2] for i in range(length - 1)} for t in (a, b))
+        overlap += len(x & y) / len(x | y)
+    assert agreed / 60 == pytest.approx(overlap / 60, abs=0.08)
+
+
+def test_rows_of_the_search_do_not_hold_texts(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(2000)) for _ in range(40)]
+    texts += [t[:1000] + "zz" + t[1002:] for t in texts[:10]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    stored = similarity._texts(df, "t")
+    listed = similarity._listed(stored, False)
+    total = sum(map(len, texts))
+    assert dict(listed.dtypes) == {"id": "bigint", "chars": "int", "key": "string", "place": "int"}
+    assert listed.count() <= len(similarity.PIECE_SIZES) * total and listed.selectExpr("max(length(key))").first()[0] == 4
+    kept = similarity._kept_pieces(stored, listed.groupBy("key").agg(F.count("*").alias("texts")), 90, "indel", False)
+    assert kept.count() < 0.5 * total and "text" not in kept.columns
+    before = _shuffle_bytes(spark)
+    assert len(op.similar_values(df, "t", 90, "indel").collect()) == 10
+    # Four keys a character, each a few fixed numbers, dealt a few times: far from a text for every key.
+    assert _shuffle_bytes(spark) - before < 400 * total
+
+
+def _shuffle_bytes(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
 
 
 def test_bands_look_at_few_pairs(spark):
@@ -153,7 +215,7 @@ def test_bands_look_at_few_pairs(spark):
     urls = [f"https://{rng.choice(['a', 'b'])}.example/{rng.randrange(10**8)}/{rng.choice(['list', 'page'])}-{rng.randrange(10**6)}" for _ in range(300)]
     df = spark.createDataFrame([(t,) for t in urls], "text string")
     pairs = len(urls) * (len(urls) - 1) / 2
-    assert similarity._banded(df, 90, "indel").count() < 0.05 * pairs
+    assert similarity._banded(similarity._texts(df, "text"), 90, "indel").count() < 0.05 * pairs
 
 
 def test_suggestions(spark, rows):
