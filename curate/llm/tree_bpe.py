@@ -5,7 +5,9 @@ Texts of ordinary length are encoded whole, as the tokenizers library does it. A
 is normalised and split first; runs of whole words become units of a bounded length, and a
 word longer than a unit (text without any split) is halved until its parts are no longer
 than one. Units are dealt to all tasks and encoded side by side, whatever document they
-come from. Words need no joining. The parts of one word are joined pair by pair as a tree:
+come from. Words need no joining. Where a text's characters are plain enough that case and
+splits need no look at their neighbours, each task keeps the ids of words it has met and looks
+them up; the ids are the same. The parts of one word are joined pair by pair as a tree:
 the tokens around the join are encoded again, in a window that doubles until its first token
 is the left side's own and its last the right side's.
 
@@ -25,6 +27,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,6 +46,9 @@ UNIT = 1 << 13
 WINDOW = 4
 #: Rows decoded at a time.
 DECODED = 256
+#: Words a task remembers, and the longest of them.
+REMEMBERED = 200_000
+LONGEST = 64
 
 _WORDS, _ADDED, _OPEN, _CLOSED = range(4)
 
@@ -52,6 +59,58 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Characters that compose with none of each other and whose case is their own: up to the first
+#: combining mark, and common punctuation.
+_OTHER = re.compile("[^\x00-\u02ff\u2010-\u2027]")
+#: White space among these, and what the file's pattern calls letters and numbers.
+_SPACE = "\t-\r \x85\xa0"
+
+
+def _plain_of(category: str) -> str:
+    """The plain characters of a category, and those that they become in lower case."""
+    plain = map(chr, [*range(0x300), *range(0x2010, 0x2028)])
+    found = {each for c in plain for each in c + c.lower()}
+    return "".join(re.escape(c) for c in sorted(found) if unicodedata.category(c).startswith(category))
+
+
+_PLAIN_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def _plain_pattern(told: dict) -> str | None:
+    """The pattern of words, if the file lower-cases, splits by one pattern and maps bytes, no more."""
+    normal, split = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}
+    if normal.get("normalizers") != _PLAIN_NORMAL or len(split.get("pretokenizers", ())) != 2:
+        return None
+    first, last = split["pretokenizers"]
+    plain = first["type"] == "Split" and first["invert"] and first["behavior"] == "Removed" and "Regex" in first["pattern"]
+    if not plain or last["type"] != "ByteLevel" or last["add_prefix_space"] or last["use_regex"]:
+        return None
+    pattern = first["pattern"]["Regex"].replace(r"\s", _SPACE)
+    for category in "LN":
+        pattern = pattern.replace(rf"\p{{{category}}}", _plain_of(category))
+    return None if r"\p" in pattern else pattern
+
+
+class _Words(dict):
+    """Ids of words as bytes, remembered."""
+
+    def __init__(self, model):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__()
+        self.model, self.bytes = model, ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, word: str) -> bytes:
+        # Letters and digits of ASCII stand for themselves among the signs for bytes.
+        mapped = word if word.isascii() and word.isalnum() else self.bytes.pre_tokenize_str(word)[0][0]
+        ids = array("i", [token.id for token in self.model.tokenize(mapped)]).tobytes()
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Bpe:
     """One tokenizer file: whole texts, and the parts that long texts are made of."""
 
@@ -76,6 +135,10 @@ class Bpe:
         # Splits and merges of text that is normalised and holds no added tokens.
         self.words = Tokenizer(self.closed)
         self.words.pre_tokenizer = self.whole.pre_tokenizer
+        pattern = _plain_pattern(told)
+        if pattern:
+            self.split = re.compile(pattern).findall
+        self.known = _Words(self.closed) if pattern else None
         added = told["added_tokens"]
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError(f"{path}: added tokens that look at what stands beside them are not supported")
@@ -87,8 +150,19 @@ class Bpe:
     def normal(self, text: str) -> str:
         return self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as 32-bit numbers."""
+        ids = [self.looked_up(text) for text in texts]
+        rest = [i for i, found in enumerate(ids) if found is None]
+        for i, e in zip(rest, self.whole.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            ids[i] = np.array(e.ids, np.int32).tobytes()
+        return ids
+
+    def looked_up(self, text: str) -> bytes | None:
+        """The ids of a text of plain characters, from those of its words; None for other texts."""
+        if self.known is None or _OTHER.search(text) or any(mark in text for marks in self.marks for mark in marks):
+            return None
+        return b"".join(map(self.known.__getitem__, self.split(text.lower())))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -141,7 +215,8 @@ class Bpe:
         if kind == _ADDED:
             return [mark]
         if kind == _WORDS:
-            return self.words.encode(text, add_special_tokens=False).ids
+            found = self.looked_up(text)
+            return self.words.encode(text, add_special_tokens=False).ids if found is None else np.frombuffer(found, np.int32).tolist()
         return self.part(text, kind == _CLOSED)
 
     def part(self, word: str, closed: bool) -> list[int]:
@@ -177,10 +252,10 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _lists(ids: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-    flat = np.fromiter((i for row in ids for i in row), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+def _lists(ids: list[bytes] | list[list[int]]) -> pa.Array:
+    rows = [row if isinstance(row, bytes) else np.array(row, np.int32).tobytes() for row in ids]
+    ends = np.cumsum([0, *(len(row) // 4 for row in rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
 def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, long: int = LONG, unit: int = UNIT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,7 +69,28 @@ def test_units_of_any_text(text, most):
                 parts = []
         else:
             ids += found
-    assert ids == bpe.encode([text])[0]
+    assert ids == bpe.whole.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(bpe.encode([text])[0], np.int32).tolist() == ids
+
+
+def test_words_are_looked_up_as_the_library_splits_them(library):
+    bpe = tree_bpe.bpe(tree_bpe.default_path())
+    plain = [chr(c) for c in [*range(0x300), *range(0x2010, 0x2028)]]
+    texts = [f"{a}{c}{b}" for c in plain for a, b in (("", ""), ("x", "y"), ("'", "s"), ("1", "2"), (" ", " "), ("É", "İ"), ("!", "\xa0"))]
+    rng = random.Random(1)
+    texts += ["".join(rng.choices(plain, k=60)) for _ in range(300)]
+    for text in texts:
+        found = bpe.looked_up(text)
+        assert found is not None and np.frombuffer(found, np.int32).tolist() == expected(library, text), text
+    for text in ("e\u0301", "ΟΔΥΣΣΕΥΣ", "日本", "<|endoftext|>", "a<|startoftext|>"):
+        assert bpe.looked_up(text) is None
+
+
+def test_the_memory_of_words_is_bounded(monkeypatch, library):
+    monkeypatch.setattr(tree_bpe, "REMEMBERED", 3)
+    bpe = tree_bpe.Bpe(tree_bpe.default_path())
+    text = "one two three four five one " + "six" * 40
+    assert np.frombuffer(bpe.encode([text])[0], np.int32).tolist() == expected(library, text) and len(bpe.known) <= 3
 
 
 def test_windows_grow_until_both_sides_agree(monkeypatch):
