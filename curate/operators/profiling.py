@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from itertools import combinations
-from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse_number, parse_timestamp
+from ..sources.scratch import stored
 from .joins import left_lookup
 from .own_columns import known
 from .ranks import ROWS_PER_BLOCK, value_ranks
@@ -58,150 +59,149 @@ DESCRIBED = ("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
 
 # Rank error of an approximate percentile, as a share of the rows.
 ACCURACY = 10_000
-# Below this many rows an approximate percentile narrows nothing.
-FEW_ROWS = 20_000
-# Rows around a quartile that are few enough to be put in order.
-MOST_IN_BRACKET = 2_000_000
+# Buckets for each factor of e in a value's size: their bounds are a thousandth apart.
+BUCKETS_PER_E = 1024
+# A bucket of more rows is cut once more, into so many parts.
+MOST_IN_BUCKET = 2_000_000
+PARTS_OF_BUCKET = 65_536
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """Count, mean, sample deviation, least, quartiles and largest of numeric columns.
 
-    Quartiles are exact and interpolated; see :func:`quartiles`. ``approximate`` takes
-    them from the same single pass as the rest.
+    Quartiles are exact and interpolated; see :func:`quartiles`, whose first reading
+    gives all the rest. ``approximate`` takes everything from a single pass.
     """
     columns = list(columns) if columns else numeric_columns(df)
-    numbers = {name: _number(name) for name in columns}
     if approximate:
         per_column = {
             name: {
-                **_summary(value),
-                **{label: F.percentile_approx(value, q, ACCURACY) for label, q in QUARTILES.items()},
+                **_summary(_number(name)),
+                **{label: F.percentile_approx(_number(name), q, ACCURACY) for label, q in QUARTILES.items()},
             }
-            for name, value in numbers.items()
+            for name in columns
         }
         return _per_column(df, per_column).select(*DESCRIBED)
-    summaries = [F.struct(*[a.alias(label) for label, a in _summary(value).items()]) for value in numbers.values()]
-    targets, facts = _settled(df, columns, summaries)
-    # One row per column, from the pass that also checks the brackets.
-    schema = "column string, count long, mean double, std double, min double, max double"
-    base = df.sparkSession.createDataFrame([(name, *row) for name, row in zip(columns, facts)], schema)
-    return base.join(_quartiles(df, targets), "column", "left").select(*DESCRIBED)
+    buckets = _buckets(df, columns)
+    # Means and deviations of buckets add up without losing digits.
+    mean = F.sum(F.col("mean") * F.col("n")) / F.sum("n")
+    means = buckets.groupBy("group").agg(mean.alias("all_mean"))
+    apart = F.col("mean") - F.col("all_mean")
+    squares = F.sum(F.col("n") * (F.col("variance") + apart * apart))
+    summary = buckets.join(means, "group").groupBy(F.col("group").alias("column")).agg(
+        F.sum("n").alias("count"), F.max("all_mean").alias("mean"), F.min("low").alias("min"), F.max("high").alias("max"),
+        F.sqrt(F.try_divide(squares, F.nullif(F.sum("n") - 1, F.lit(0)))).alias("std"),
+    )
+    names = df.sparkSession.createDataFrame([(name,) for name in columns], "column string")
+    rows = names.join(summary, "column", "left").join(_quartiles(df, columns, buckets), "column", "left")
+    return rows.withColumn("count", F.coalesce("count", F.lit(0))).select(*DESCRIBED)
 
 
 def quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact interpolated quartiles as rows ``(column, q25, q50, q75)``.
 
-    Values are neither shuffled nor sorted as a whole. When this is called, approximate
-    percentiles a little to both sides of each quartile are taken in one pass. The true
-    quartile lies between them, so only that narrow bracket is counted by value, and
-    put in order, with the number of rows below it. Brackets that still hold very many
-    rows are narrowed again in further passes, and one that misses its quartile is opened.
+    Values are neither shuffled nor sorted as a whole. One reading counts the rows of all
+    columns in buckets by the leading digits of the value's logarithm, so that buckets rise
+    with the values; running counts tell which buckets hold the quartiles. Another counts
+    the values of these buckets alone. Only where such a bucket is very large, it is first
+    cut into equal parts by one reading more. Runs when this is called.
     """
-    return _quartiles(df, _settled(df, columns)[0])
-
-
-def _quartiles(df: DataFrame, targets: Sequence[Placed]) -> DataFrame:
-    inside = {}
-    for name, label, low, high, _, _ in targets:
-        value = _number(name)
-        inside[f"{name}/{label}"] = F.when(_between(value, low, high), value)
-    # One row per column and quartile.
-    placed = [(f"{name}/{label}", name, label, start, QUARTILES[label] * (total - 1)) for name, label, _, _, start, total in targets]
-    starts = df.sparkSession.createDataFrame(placed, "group string, column string, label string, start long, place double")
-    counts = _long(df, inside).groupBy("group", "value").agg(F.count(F.lit(1)).alias("n"))
+    return _quartiles(df, columns, _buckets(df, columns))
+
+
+def _buckets(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(group, bucket, n, low, high, mean, variance)`` of all columns from one reading, stored.
+
+    There are as many buckets as a double has sizes at this grain, whatever the rows.
+    """
+    value = F.col("value")
+    # Logarithms rise with their numbers, and the shift keeps the buckets of each sign apart.
+    size = F.floor(F.ln(F.abs(value)) * BUCKETS_PER_E) + (1 << 21)
+    infinite = F.lit(1 << 40)
+    size = F.when(F.abs(value) == F.lit(float("inf")), infinite).otherwise(size)
+    bucket = F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
+    cells = _long(df, {name: _number(name) for name in columns}).withColumn("bucket", bucket.cast("long"))
+    facts = [F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance")]
+    return stored(cells.groupBy("group", "bucket").agg(*facts), "buckets")
+
+
+@dataclass(frozen=True)
+class _Range:
+    """Values of a column from ``low`` to ``high``, both included, with the rows below and in it."""
+
+    column: str
+    low: float
+    high: float
+    below: int
+    n: int
+
+
+def _places(total: Column, below: Column, n: Column) -> Column:
+    """Whether a quartile, or the value after it, is among the ``n`` rows after ``below``."""
+    hit = F.lit(False)
+    for q in QUARTILES.values():
+        for place in (F.floor(F.lit(q) * (total - 1)), F.ceil(F.lit(q) * (total - 1))):
+            hit = hit | ((place >= below) & (place < below + n))
+    return hit
+
+
+def _holding(counted: DataFrame, order: str) -> list[Row]:
+    """Rows (column, total, low, high, below, n) of the buckets that hold quartiles: six a column at most."""
+    running = Window.partitionBy("group").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = F.col("start") + F.sum("n").over(running) - F.col("n")
+    placed = counted.withColumn("below", below).where(_places(F.col("total"), F.col("below"), F.col("n")))
+    return placed.select("column", "total", "low", "high", "below", "n").collect()
+
+
+def _quartiles(df: DataFrame, columns: Sequence[str], buckets: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    totals = buckets.groupBy("group").agg(F.sum("n").alias("total"))
+    held = buckets.join(totals, "group").withColumns({"column": F.col("group"), "start": F.lit(0)})
+    rows = _holding(held, "bucket")
+    total = {row["column"]: row["total"] for row in rows}
+    ranges = [_Range(*(row[c] for c in ("column", "low", "high", "below", "n"))) for row in rows]
+    large = [r for r in ranges if r.n > MOST_IN_BUCKET and r.low < r.high]
+    if large:
+        ranges = [r for r in ranges if r not in large] + _narrowed(df, large, total)
+    # A range of one value is known; the values of others are counted.
+    counts = spark.createDataFrame([(str(i), r.low, r.n) for i, r in enumerate(ranges) if r.low == r.high], "group string, value double, n long")
+    inside = {str(i): _within(r) for i, r in enumerate(ranges) if r.low < r.high}
+    if inside:
+        counts = counts.unionAll(_long(df, inside).groupBy("group", "value").agg(F.count(F.lit(1)).alias("n")))
+    starts = [(str(i), r.column, r.below, total[r.column]) for i, r in enumerate(ranges)]
     running = Window.partitionBy("group").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = counts.withColumn("inside", F.sum("n").over(running)).join(starts, "group")
-    upto = F.col("start") + F.col("inside")
+    ordered = counts.withColumn("upto", F.sum("n").over(running))
+    ordered = ordered.join(spark.createDataFrame(starts, "group string, column string, below long, total long"), "group")
+    upto = F.col("below") + F.col("upto")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((upto - F.col("n") <= place) & (place < upto), F.col("value")))
+
+    def between(q: float) -> Column:
+        place = F.lit(q) * (F.col("total") - 1)
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        return F.when(part == 0, low).otherwise(low + (high - low) * part)
 
-    def at(index: Column) -> Column:
-        return F.max(F.when((upto - F.col("n") <= index) & (index < upto), F.col("value")))
+    return ordered.groupBy("column").agg(*[between(q).alias(label) for label, q in QUARTILES.items()])
 
-    picked = ordered.groupBy("column", "label").agg(
-        at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"), F.max(F.col("place") - F.floor("place")).alias("part")
+
+def _within(r: _Range) -> Column:
+    value = _number(r.column)
+    return F.when((value >= r.low) & (value <= r.high), value)
+
+
+def _narrowed(df: DataFrame, ranges: Sequence[_Range], total: Mapping[str, int]) -> list[_Range]:
+    """The parts of large ranges that hold quartiles, by one more reading for all of them."""
+    ends = df.sparkSession.createDataFrame(
+        [(str(i), r.column, r.low, r.high, r.below, total[r.column]) for i, r in enumerate(ranges)],
+        "group string, column string, from double, to double, start long, total long",
     )
-    between = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
-    wide = [F.max(F.when(F.col("label") == q, between)).alias(q) for q in QUARTILES]
-    return picked.groupBy("column").agg(*wide)
-
-
-def _between(value: Column, low: float | None, high: float | None) -> Column:
-    inside = value.isNotNull()
-    if low is not None:
-        inside = inside & (value >= low)
-    return inside & (value <= high) if high is not None else inside
-
-
-Bracket = tuple[str, str, float | None, float | None]
-#: A bracket with the number of rows below it and in its column.
-Placed = tuple[str, str, float | None, float | None, int, int]
-
-
-def _positions(df: DataFrame, targets: Sequence[Bracket], more: Sequence[Column] = ()) -> tuple[list[tuple[int, int, int]], list]:
-    """``(total, below, inside)`` of each bracket and what ``more`` asks for, in one pass."""
-    asked = []
-    for name, _, low, high in targets:
-        value = _number(name)
-        below = F.count_if(value < low) if low is not None else F.sum(F.lit(0))
-        asked += [F.count(value), below, F.count_if(_between(value, low, high))]
-    facts = list(df.agg(*asked, *more).first())
-    found = [tuple(fact or 0 for fact in facts[3 * i : 3 * i + 3]) for i in range(len(targets))]
-    return found, facts[len(asked) :]
-
-
-def _settled(df: DataFrame, columns: Sequence[str], more: Sequence[Column] = ()) -> tuple[list[Placed], list]:
-    """Brackets that hold their quartiles, and what ``more`` asks for."""
-    targets = _brackets(df, columns)
-    positions, facts = _positions(df, targets, more)
-    placed = []
-    for (name, label, low, high), (total, below, inside) in zip(targets, positions):
-        place = QUARTILES[label] * max(total - 1, 0)
-        if total and not (below <= floor(place) and ceil(place) < below + inside):
-            low, high, below = None, None, 0
-        placed.append((name, label, low, high, below, total))
-    return placed, facts
-
-
-def _brackets(df: DataFrame, columns: Sequence[str]) -> list[Bracket]:
-    """``(column, quartile, low, high)``, both ends included, None for no end."""
-    margin = 2 / ACCURACY
-    open_targets: list[Bracket] = [(name, label, None, None) for name in columns for label in QUARTILES]
-    settled: list[Bracket] = []
-    shares = {(name, label): q for name in columns for label, q in QUARTILES.items()}
-    while open_targets:
-        # Quartiles that share a bracket, as all of a column do at first, share the work.
-        shared: dict[tuple[str, float | None, float | None], list[str]] = {}
-        for name, label, low, high in open_targets:
-            shared.setdefault((name, low, high), []).append(label)
-        asked = []
-        for (name, low, high), labels in shared.items():
-            inside = F.when(_between(_number(name), low, high), _number(name))
-            ends = [min(max(shares[name, label] + side, 0.0), 1.0) for label in labels for side in (-margin, margin)]
-            asked += [F.count(inside), F.percentile_approx(inside, ends, ACCURACY)]
-        facts = iter(df.agg(*asked).first())
-        still_open = []
-        for (name, low, high), labels in shared.items():
-            n, ends = next(facts), next(facts)
-            for i, label in enumerate(labels):
-                if n <= FEW_ROWS or [low, high] == ends[2 * i : 2 * i + 2]:
-                    settled.append((name, label, low, high))
-                    continue
-                narrow = (name, label, ends[2 * i], ends[2 * i + 1])
-                # A value repeated more often than this leaves a single row when counted.
-                (settled if n * 2 * margin <= MOST_IN_BRACKET else still_open).append(narrow)
-        if still_open:
-            shares.update(_shares(df, still_open))
-        open_targets = still_open
-    return settled
-
-
-def _shares(df: DataFrame, targets: Sequence[Bracket]) -> dict[tuple[str, str], float]:
-    """Where in its bracket each quartile lies, as a share of the bracket's rows."""
-    positions, _ = _positions(df, targets)
-    return {
-        (name, label): min(max(((total - 1) * QUARTILES[label] - below) / inside, 0.0), 1.0)
-        for (name, label, _, _), (total, below, inside) in zip(targets, positions)
-    }
+    cells = _long(df, {str(i): _within(r) for i, r in enumerate(ranges)}).join(F.broadcast(ends), "group")
+    part = F.floor((F.col("value") - F.col("from")) / (F.col("to") - F.col("from")) * PARTS_OF_BUCKET)
+    counted = cells.groupBy("group", "column", "start", "total", part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+    return [_Range(*(row[c] for c in ("column", "low", "high", "below", "n"))) for row in _holding(counted, "part")]
 
 
 PROFILE = (
@@ -352,41 +352,33 @@ def _corr_rows(df: DataFrame, pairs: Sequence[tuple[str, str, Column, Column]],
 def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows_per_block: int) -> DataFrame:
     """Correlate average ranks, over the rows that have both values of a pair.
 
-    Where two columns have their gaps in the same rows, the ranks of each serve all such
-    pairs; only other pairs rank the rows they share on their own. All rankings come from
-    one reading of the table, and all pairs of the first kind from one more.
+    Columns with their gaps in the same rows form a kind. The rank of a value among the rows
+    that have both columns is its rank among its own rows, less the rows before it that lack
+    the other; so each column's values are counted once, with the number of their rows that
+    each kind knows, and running counts give the rank for every partner. All rankings come
+    from one reading of the table, and all pairs from one more, whatever their gaps.
     """
+    columns = sorted({name for pair in pairs for name in pair})
     unlike = [F.count_if(_number(a).isNull() != _number(b).isNull()) for a, b in pairs]
-    shared, apart = [], []
-    for pair, n in zip(pairs, df.agg(*unlike).first()):
-        (apart if n else shared).append(pair)
-    columns = sorted({name for pair in shared for name in pair})
-    sides = {f"{i}": _number(name) for i, name in enumerate(columns)}
-    for i, (a, b) in enumerate(apart):
-        both = _number(a).isNotNull() & _number(b).isNotNull()
-        sides |= {f"{i}a": F.when(both, _number(a)), f"{i}b": F.when(both, _number(b))}
-    ranks = value_ranks(_long(df, sides), rows_per_block)
-    rank = F.col("below") + (F.col("n") + 1) / 2
-
-    def ranked(values: DataFrame, keys: Mapping[str, str]) -> DataFrame:
-        """The rank of each column's value, ``{column of values: group}``; null has none."""
-        for name, group in keys.items():
-            # Ranks are unique by value, so Spark can split a frequent value's rows over tasks.
-            table = ranks.where(F.col("group") == group).select(F.col("value").alias("at"), rank.alias(f"rank_{name}"))
-            values = left_lookup(values, table, F.col(name), "at")
-        return values
-
-    out = []
-    if shared:
-        values = df.select(*[_number(name).alias(f"c{i}") for i, name in enumerate(columns)])
-        values = ranked(values, {f"c{i}": f"{i}" for i in range(len(columns))})
-        at = {name: F.col(f"rank_c{i}") for i, name in enumerate(columns)}
-        out.append(_corr_rows(values, [(a, b, at[a], at[b]) for a, b in shared], "spearman"))
-    for i, (a, b) in enumerate(apart):
-        values = df.select(_number(a).alias("x"), _number(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-        values = ranked(values, {"x": f"{i}a", "y": f"{i}b"})
-        out.append(_corr_rows(values, [(a, b, F.col("rank_x"), F.col("rank_y"))], "spearman"))
-    first, *rest = out
-    for more in rest:
-        first = first.unionAll(more)
-    return first
+    kind = {name: i for i, name in enumerate(columns)}
+    for (a, b), n in zip(pairs, df.agg(*unlike).first()):
+        if not n:
+            merged = {kind[a], kind[b]}
+            kind = {name: min(merged) if k in merged else k for name, k in kind.items()}
+    kinds = sorted(set(kind.values()))
+    known_to = {f"of{k}": _number(columns[k]).isNotNull().cast("long") for k in kinds} if len(kinds) > 1 else {}
+    cells = [F.struct(F.lit(f"{i}").alias("group"), _number(name).alias("value")) for i, name in enumerate(columns)]
+    long = df.select(*[flag.alias(c) for c, flag in known_to.items()], F.inline(F.array(*cells))).where("value IS NOT NULL")
+    ranks = value_ranks(long, rows_per_block, tuple(known_to))
+
+    values = df.select(*[_number(name).alias(f"c{i}") for i, name in enumerate(columns)])
+    for i, name in enumerate(columns):
+        # Ranks are unique by value, so Spark can split a frequent value's rows over tasks.
+        asked = {kind[b if a == name else a] for a, b in pairs if name in (a, b)}
+        rank = {k: F.col(f"below_of{k}") + (F.col(f"n_of{k}") + 1) / 2 for k in asked if known_to}
+        rank = rank or {k: F.col("below") + (F.col("n") + 1) / 2 for k in asked}
+        table = ranks.where(F.col("group") == f"{i}").select(F.col("value").alias("at"), *[r.alias(f"rank_{i}_{k}") for k, r in rank.items()])
+        values = left_lookup(values, table, F.col(f"c{i}"), "at")
+    at = {name: i for i, name in enumerate(columns)}
+    sides = [(a, b, F.col(f"rank_{at[a]}_{kind[b]}"), F.col(f"rank_{at[b]}_{kind[a]}")) for a, b in pairs]
+    return _corr_rows(values, sides, "spearman")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curate import operators as op
+from curate.operators import profiling
 
 
 def _numbers(seed, n=4000):
@@ -25,11 +26,11 @@ def block(request):
     return request.param
 
 
-@pytest.mark.parametrize("few, most", [(20_000, 2_000_000), (300, 2_000_000), (50, 100)])
-def test_describe(spark, few, most, monkeypatch):
-    monkeypatch.setattr("curate.operators.profiling.FEW_ROWS", few)
-    monkeypatch.setattr("curate.operators.profiling.MOST_IN_BRACKET", most)
-    monkeypatch.setattr("curate.operators.profiling.ACCURACY", 50 if few < 1000 else 10_000)
+@pytest.mark.parametrize("grain, most", [(1024, 2_000_000), (1, 2_000_000), (1, 20)])
+def test_describe(spark, grain, most, monkeypatch):
+    monkeypatch.setattr("curate.operators.profiling.BUCKETS_PER_E", grain)
+    monkeypatch.setattr("curate.operators.profiling.MOST_IN_BUCKET", most)
+    monkeypatch.setattr("curate.operators.profiling.PARTS_OF_BUCKET", 7)
     data = _numbers(3)
     df = spark.createDataFrame(data, "i long, a double, b double").repartition(5)
     found = op.describe(df, ["a", "b"]).toPandas().set_index("column")
@@ -133,10 +134,48 @@ def test_profile_of_dates_and_long_ids(spark):
     assert (str(d.earliest), str(d.latest), d.distinct) == ("2023-05-06 00:00:00", "2024-01-02 00:00:00", 2)
 
 
-def test_a_bracket_that_misses_is_opened(spark, monkeypatch):
-    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
-    monkeypatch.setattr("curate.operators.profiling._brackets", lambda df, columns: [("v", q, 900.0, 950.0) for q in ("q25", "q50", "q75")])
-    assert tuple(op.quartiles(df, ["v"]).first()) == ("v", 249.75, 499.5, 749.25)
+def test_buckets_rise_with_the_values(spark):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.standard_normal(300) * 10.0 ** rng.integers(-300, 300, 300), [0.0, -0.0, 5e-324, -5e-324, 1.0, -1.0, 1.7e308, -1.7e308]])
+    values = np.concatenate([values, values[:50], [float("inf"), float("-inf")]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    held = profiling._buckets(df, ["v"]).orderBy("bucket").collect()
+    assert sum(r["n"] for r in held) == len(values)
+    assert all(a["high"] < b["low"] for a, b in zip(held, held[1:]))
+    finite = df.where("abs(v) < 1e307")
+    found = op.quartiles(finite, ["v"]).first()
+    assert np.allclose(tuple(found)[1:], np.percentile(values[abs(values) < 1e307], [25, 50, 75]))
+
+
+def test_describe_reads_the_table_twice_and_thrice_for_large_buckets(spark, tmp_path, monkeypatch):
+    spark.range(5000).selectExpr("sqrt(id) AS a", "id % 7 * 1.5 AS b", "-id AS c").write.parquet(f"{tmp_path}/t")
+    real, readings = profiling._long, []
+    monkeypatch.setattr("curate.operators.profiling._long", lambda df, columns: readings.append(len(columns)) or real(df, columns))
+    df = spark.read.parquet(f"{tmp_path}/t")
+    op.describe(df).collect()
+    assert len(readings) == 2
+    readings.clear()
+    monkeypatch.setattr("curate.operators.profiling.BUCKETS_PER_E", 1)
+    monkeypatch.setattr("curate.operators.profiling.MOST_IN_BUCKET", 100)
+    monkeypatch.setattr("curate.operators.profiling.PARTS_OF_BUCKET", 7)
+    op.describe(df).collect()
+    assert len(readings) == 3
+
+
+def test_rank_correlations_with_unlike_gaps(spark, tmp_path, block):
+    rng = np.random.default_rng(5)
+    data = {c: [None if rng.random() < share else float(rng.integers(0, top)) for _ in range(400)] for c, share, top in (("a", 0.3, 9), ("b", 0.1, 50), ("c", 0.5, 400), ("d", 0.0, 4))}
+    data["e"] = [None if v is None else -v * v for v in data["b"]]
+    rows = list(zip(*data.values()))
+    spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data)).repartition(4).write.parquet(f"{tmp_path}/gaps")
+    out = op.correlations(spark.read.parquet(f"{tmp_path}/gaps"), list(data), "spearman", block)
+    # One reading for all pairs, gaps or not.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [a#") == 1
+    expected = pd.DataFrame(data).astype(float).corr("spearman")
+    found = {(r["a"], r["b"]): r["corr"] for r in out.collect()}
+    assert len(found) == 10
+    for (a, b), value in found.items():
+        assert math.isclose(value, expected.loc[a, b], abs_tol=1e-9), (a, b)
 
 
 def test_rank_correlations_read_the_table_once_for_all_pairs(spark, tmp_path):
