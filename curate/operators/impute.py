@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import stored
 from .blocks import with_bounds_passed
 from .joins import NULL_SPREAD, left_lookup
-from .own_columns import known
+from .own_columns import known, unused
 
 DEFAULT_FILL = "Missing"
 
@@ -35,12 +35,13 @@ def impute_constant(df: DataFrame, columns: Mapping[str, str] | Sequence[str]) -
 
 def impute_lookup(df: DataFrame, target: str, key: str, lookup: DataFrame) -> DataFrame:
     """Where ``target`` is null, take the value that ``lookup(key, value)`` holds for ``key``."""
-    table = lookup.select(F.col("key").alias("_lookup_key"), F.col("value").alias("_value"))
+    at, value = unused("_lookup_key", df), unused("_value", df)
+    table = lookup.select(F.col("key").alias(at), F.col("value").alias(value))
     # Rows that need nothing ask for nothing.
     needed = F.when(known(df, target).isNull(), F.col(f"`{key}`"))
-    filled = F.coalesce(known(df, target), F.col("_value")).alias(target)
+    filled = F.coalesce(known(df, target), F.col(value)).alias(target)
     rest = [filled if name == target else F.col(f"`{name}`") for name in df.columns]
-    return left_lookup(df, table, needed, "_lookup_key").select(*rest)
+    return left_lookup(df, table, needed, at).select(*rest)
 
 
 def impute_group(

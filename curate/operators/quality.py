@@ -7,18 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .own_columns import known
+from .own_columns import known, unused
 from .rows import where_in
 
 
 def least_per_group(df: DataFrame, key: str, value: str) -> DataFrame:
     """The least ``value`` of each ``key``, keys with the largest total first."""
-    return (
-        df.groupBy(key)
-        .agg(F.min(value).alias(value), F.sum(value).alias("_total"))
-        .orderBy(F.desc_nulls_last("_total"), F.asc_nulls_last(key))
-        .drop("_total")
-    )
+    total = unused("_total", df)
+    least = df.groupBy(key).agg(F.min(value).alias(value), F.sum(value).alias(total))
+    return least.orderBy(F.desc_nulls_last(total), F.asc_nulls_last(key)).drop(total)
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -28,9 +25,9 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Rows per value, most frequent first; nulls are not counted."""
+    """Rows per value, most frequent first; nulls and NaN are not counted."""
     return (
-        df.where(F.col(column).isNotNull())
+        df.where(known(df, column).isNotNull())
         .groupBy(column)
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.desc("count"), column)
@@ -39,7 +36,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def duplicate_ids(df: DataFrame, id_column: str) -> DataFrame:
     """Values that occur more than once, with their count; no rows means the column is unique."""
-    counted = df.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.count(F.lit(1)).alias("count"))
+    counted = df.where(known(df, id_column).isNotNull()).groupBy(id_column).agg(F.count(F.lit(1)).alias("count"))
     return counted.where("count > 1")
 
 
@@ -49,7 +46,7 @@ def functional_dependency(df: DataFrame, a: str, b: str) -> DataFrame:
     Both directions read the same distinct pairs, which are spread by both columns,
     so a frequent value does not fill one task.
     """
-    pairs = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    pairs = df.select(known(df, a).alias("a"), known(df, b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
 
     def per_value(side: str) -> DataFrame:
         counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
@@ -84,17 +81,18 @@ def count_exceeds(df: DataFrame, column: str, values: Sequence, limit: int = 1)
     filled cells they have over all columns, and whether the cells exceed ``limit``."""
     cells = F.lit(0)
     for name in df.columns:
-        cells = cells + F.count(F.col(f"`{name}`"))
+        cells = cells + F.count(known(df, name))
     return where_in(df, column, values).agg(
         F.count(F.lit(1)).alias("n_rows"), cells.alias("n_cells"), (cells > limit).alias("exceeds")
     )
 
 
 def fk_orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Distinct child keys without a parent row; nulls are no keys.
+    """Distinct child keys without a parent row; nulls and NaN are no keys.
 
     Child keys are reduced to distinct ones before the join.
     """
-    keys = child.select(child_key).where(F.col(child_key).isNotNull()).distinct()
-    parents = parent.select(F.col(parent_key).alias("_parent"))
-    return keys.join(parents, F.col(child_key) == F.col("_parent"), "left_anti")
+    at = unused("_parent", child)
+    keys = child.select(child_key).where(known(child, child_key).isNotNull()).distinct()
+    parents = parent.select(F.col(parent_key).alias(at))
+    return keys.join(parents, F.col(child_key) == F.col(at), "left_anti")

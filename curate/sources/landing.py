@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +28,15 @@ def _datasets(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
             found.append((name, status.getPath().toString()))
     # Datasets that differ only in their suffix keep it, so that each has a target.
     stems = Counter(name.rsplit(".", 1)[0] for name, _ in found)
-    named = [(name.rsplit(".", 1)[0], name, path) for name, path in found]
-    return sorted((stem if stems[stem] == 1 else name.replace(".", "_"), path) for stem, name, path in named)
+    wanted = [(name.rsplit(".", 1)[0] if stems[name.rsplit(".", 1)[0]] == 1 else name.replace(".", "_"), path) for name, path in sorted(found)]
+    # Names that are still wanted twice are numbered, past all that others want.
+    times, taken, named = Counter(name for name, _ in wanted), {name for name, _ in wanted}, []
+    for name, path in wanted:
+        if times[name] > 1:
+            name = next(n for n in (f"{name}_{i}" for i in count(1)) if n not in taken)
+            taken.add(name)
+        named.append((name, path))
+    return sorted(named)
 
 
 def land_datasets(spark: SparkSession, source: str, base: str, zone: str = "RAW", workers: int = 8) -> DataFrame:

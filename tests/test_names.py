@@ -64,3 +64,39 @@ def test_history_rejects_repeated_keys_and_joins_null_keys(spark):
     twice = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
     with pytest.raises(Exception, match="more than one row"):
         op.scd2_merge(history, twice, ["k"], ["v"], as_of).collect()
+
+
+def test_small_operators_keep_columns_named_like_their_own(spark):
+    df = spark.createDataFrame([(1, None, 5, 7, "x")], "k int, v string, _value int, _lookup_key int, _parent string")
+    lookup = spark.createDataFrame([(1, "found")], "key int, value string")
+    assert op.impute_lookup(df, "v", "k", lookup).first() == (1, "found", 5, 7, "x")
+    children = spark.createDataFrame([(1,), (2,), (None,)], "_parent int")
+    parents = spark.createDataFrame([(1,)], "_parent int")
+    assert [tuple(r) for r in op.fk_orphans(children, parents, "_parent", "_parent").collect()] == [(2,)]
+    totals = spark.createDataFrame([(1, 5), (1, 2), (2, 9)], "_total int, v int")
+    assert [tuple(r) for r in op.least_per_group(totals, "_total", "v").collect()] == [(2, 9), (1, 2)]
+    response = spark.createDataFrame([('{"places": [{"id": "p"}]}', 3, 4)], "json string, _place int, `a.b` int")
+    row = op.flatten_responses(response, "json", F.lit(None).cast("timestamp")).first()
+    assert (row["_place"], row["a.b"], row["g_place_id"]) == (3, 4, "p")
+
+
+def test_nan_is_missing_in_counts_and_checks(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, 1.0), (nan, nan), (1.0, 2.0), (1.0, 2.0), (None, 3.0)], "a double, b double")
+    assert [tuple(r) for r in op.value_counts(df, "a").collect()] == [(1.0, 2)]
+    assert [tuple(r) for r in op.duplicate_ids(df, "a").collect()] == [(1.0, 2)]
+    assert tuple(op.functional_dependency(df, "a", "b").first()) == ("a", "b", 1, 1, True, True)
+    assert op.cardinality(df, "a", "b").first()["cardinality"] == "1:1"
+    assert tuple(op.count_exceeds(df, "b", [2.0]).first()) == (2, 4, True)
+    assert op.fk_orphans(df, df.where("a < 0"), "a", "a").count() == 1
+
+
+def test_landed_datasets_never_share_a_target(spark, tmp_path):
+    for name, text in (("a.csv", "x\n1\n"), ("a.json", '{"x": 2}\n'), ("a_csv.csv", "x\n3\n"), ("b.csv", "x\n4\n")):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    out = src.land_datasets(spark, str(tmp_path / "in"), str(tmp_path / "base")).collect()
+    names = [r["name"] for r in out]
+    assert len(set(names)) == 4 and all(r["status"] == "landed" for r in out)
+    values = sorted(str(spark.read.parquet(f"{tmp_path}/base/RAW/{n}.parquet").first()[0]) for n in names)
+    assert values == ["1", "2", "3", "4"]
