@@ -10,7 +10,7 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -20,7 +20,7 @@ if ROOT not in sys.path:
 from curate import functions as fn  # noqa: E402
 from curate import operators as op  # noqa: E402
 from curate import sources as src  # noqa: E402
-from curate.plans import cleaning, mart, star  # noqa: E402
+from curate.plans import cleaning, history, mart, star  # noqa: E402
 from curate.plans.rules import parse_rules  # noqa: E402
 from curate.sources.ship import ship_package  # noqa: E402
 
@@ -993,6 +993,21 @@ def dim_wide(spark, folder):
     return star.dim_classes(cells, ["error", "click_low - end", "click_high", "purchase_high"], columns)
 
 
+def _day(text: str) -> Column:
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def _snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The customers, and a later snapshot of them with changes, new keys and missing ones."""
+    customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    balance = F.col("c_acctbal")
+    segment = F.when(balance < 0, "CHANGED").when(balance < 100, None).otherwise(F.col("c_mktsegment"))
+    new = table(spark, folder, "supplier").select(
+        (-1 - F.col("s_suppkey")).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"), F.col("s_acctbal")
+    )
+    return customer, customer.where(balance < 9000).withColumn("c_mktsegment", segment).unionAll(new)
+
+
 @query("""
     WITH snapshot AS (
         SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'CHANGED' WHEN c_acctbal < 100 THEN NULL
@@ -1016,17 +1031,8 @@ def dim_wide(spark, folder):
               WHERE c_custkey < 0
 """)
 def scd2_merge(spark, folder):
-    customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    balance = F.col("c_acctbal")
-    segment = F.when(balance < 0, "CHANGED").when(balance < 100, None).otherwise(F.col("c_mktsegment"))
-    new = table(spark, folder, "supplier").select(
-        (-1 - F.col("s_suppkey")).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"), F.col("s_acctbal")
-    )
-    snapshot = customer.where(balance < 9000).withColumn("c_mktsegment", segment).unionAll(new)
-
-    def day(text: str) -> Column:
-        return F.lit(text).cast("timestamp_ntz")
-
+    customer, snapshot = _snapshots(spark, folder)
+    balance, day = F.col("c_acctbal"), _day
     past = customer.where(balance > 5000).select(
         "c_custkey", F.lit("OLD").alias("c_mktsegment"), "c_acctbal", day("2023-01-01").alias("valid_from"),
         day("2024-01-01").alias("valid_to"), F.lit(False).alias("is_current"),
@@ -1035,6 +1041,30 @@ def scd2_merge(spark, folder):
     return op.scd2_merge(history, snapshot, ["c_custkey"], ["c_mktsegment"], day("2024-06-01"))
 
 
+@query("""
+    WITH snapshot AS (
+        SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'CHANGED' WHEN c_acctbal < 100 THEN NULL
+               ELSE c_mktsegment END AS c_mktsegment, c_acctbal
+        FROM customer WHERE c_acctbal < 9000
+        UNION ALL SELECT -1 - s_suppkey, 'NEW', s_acctbal FROM supplier),
+    first AS (
+        SELECT a.c_custkey, a.c_mktsegment AS old, s.c_mktsegment AS now, a.c_acctbal, s.c_custkey IS NULL AS gone,
+               s.c_custkey IS NULL OR a.c_mktsegment IS DISTINCT FROM s.c_mktsegment AS closed
+        FROM customer a LEFT JOIN snapshot s USING (c_custkey)),
+    versions AS (
+        SELECT c_custkey, old AS c_mktsegment, c_acctbal, TIMESTAMP '2024-01-01' AS valid_from,
+               CASE WHEN closed THEN TIMESTAMP '2024-06-01' END AS valid_to FROM first
+        UNION ALL SELECT c_custkey, now, c_acctbal, TIMESTAMP '2024-06-01', NULL FROM first WHERE closed AND NOT gone
+        UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal, TIMESTAMP '2024-06-01', NULL FROM snapshot WHERE c_custkey < 0)
+    SELECT c_custkey, c_mktsegment, c_acctbal, valid_from, valid_to, valid_to IS NULL AS is_current FROM versions
+""")
+def merge_history(spark, folder):
+    customer, snapshot = _snapshots(spark, folder)
+    path = src.scratch_dir(spark, "history")
+    history.merge_history(customer, path, ["c_custkey"], ["c_mktsegment"], _day("2024-01-01"), close_missing=True)
+    return history.merge_history(snapshot, path, ["c_custkey"], ["c_mktsegment"], _day("2024-06-01"), close_missing=True)
+
+
 # --- enrichment --------------------------------------------------------------------
 
 
@@ -1098,6 +1128,23 @@ def response_counts(spark, folder):
     return op.response_counts(_responses(spark, folder), "response")
 
 
+@query("""
+    SELECT count(*) FILTER (c_mktsegment IN ('FURNITURE', 'AUTOMOBILE')) AS found,
+           count(*) FILTER (c_mktsegment IN ('HOUSEHOLD', 'BUILDING')) AS empty,
+           count(*) FILTER (c_mktsegment = 'MACHINERY') AS unreadable,
+           count(*) FILTER (c_mktsegment IN ('FURNITURE', 'AUTOMOBILE')) AS n_written
+    FROM customer
+""")
+def flatten_counts(spark, folder):
+    """What the run that writes the flattened responses saw of them."""
+    seen = Observation("responses")
+    flat = op.flatten_responses(_responses(spark, folder), "response", _day("2025-01-01"), counts=seen)
+    written = src.write_table(flat, src.scratch_dir(spark, "responses"), "CLEAN", "responses")
+    counts = seen.get
+    found = spark.createDataFrame([tuple(counts[c] for c in ("found", "empty", "unreadable"))], "found long, empty long, unreadable long")
+    return found.crossJoin(spark.read.parquet(written).agg(F.count("*").alias("n_written")))
+
+
 @query("""
     SELECT DISTINCT o_custkey FROM orders
     WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)
@@ -1232,6 +1279,21 @@ def clean_table(spark, folder):
         UNION ALL SELECT * FROM audit)
 """)
 def clean_tables_audit(spark, folder):
+    return _cleaned_tables(spark, folder)[0]
+
+
+@query("""
+    WITH again AS (SELECT count(*) AS n FROM customer WHERE c_nationkey IN (1, 2, 3) AND NOT c_acctbal > 9000)
+    SELECT 'customer' AS name, 'cleaned' AS status, count(*) + any_value(n) AS n_read, any_value(n) AS n_dropped,
+           count(*) AS n_written FROM customer, again
+    UNION ALL SELECT 'part', 'cleaned', count(*), 0, count(*) FROM part
+    UNION ALL SELECT 'absent', 'failed', NULL, NULL, NULL
+""")
+def clean_tables_counts(spark, folder):
+    return _cleaned_tables(spark, folder)[1].drop("error")
+
+
+def _cleaned_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     base = src.scratch_dir(spark, "cleaning")
     part_rules = {"deduplication_rules": {}, "imputation_rules": {}, "replacement_rules": _PART_RULES}
     specs = [
@@ -1241,7 +1303,7 @@ def clean_tables_audit(spark, folder):
         cleaning.TableSpec("part", src.write_table(_parts(spark, folder), base, "RAW", "part", "csv"), part_rules),
         cleaning.TableSpec("absent", f"{base}/RAW/absent.csv", part_rules),
     ]
-    return cleaning.run_pipeline(spark, specs, base)[0]
+    return cleaning.run_pipeline(spark, specs, base)
 
 
 # --- the driver's contract ---------------------------------------------------------

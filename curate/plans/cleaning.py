@@ -8,7 +8,8 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import (
     coerce_types,
@@ -98,14 +99,18 @@ def clean_table(
     return replace_with_audit(clean, rules.replacements, name, mode)
 
 
-def _filled(df: DataFrame, rules: TableRules, order_by: Sequence[str], name: str, hidden: Sequence[str]) -> DataFrame:
-    """The table as it is before replacements."""
+def _filled(
+    df: DataFrame, rules: TableRules, order_by: Sequence[str], name: str, hidden: Sequence[str], kept: Observation | None = None
+) -> DataFrame:
+    """The table as it is before replacements; ``kept`` observes its rows after duplicates are dropped."""
     data = [c for c in df.columns if c not in hidden]
     clean = standardize_headers(df.select(*[f"`{c}`" for c in data])) if not hidden else _headers_around(df, hidden)
     for warning in check_rules(rules, [c for c in clean.columns if c not in hidden]):
         log.warning("%s: %s", name, warning)
     if rules.deduplicate:
         clean = deduplicate(clean, order_by=hidden)
+    if kept is not None:
+        clean = clean.observe(kept, F.count(F.lit(1)).alias("n"))
     clean = apply_imputation(clean, rules.columns, order_by)
     return clean.drop(*hidden)
 
@@ -132,7 +137,7 @@ class TableSpec:
     mode: str = "exact"
 
 
-STATUS = "name string, status string, error string"
+STATUS = "name string, status string, error string, n_read long, n_dropped long, n_written long"
 
 
 def read_rules(spark: SparkSession, path: str) -> TableRules:
@@ -146,27 +151,31 @@ def run_pipeline(
     """Clean each table into ``base/CLEAN`` and write one audit of all to ``base/AUDITS``.
 
     A table that fails is reported and the rest go on. Returns the audit as written and
-    one status row per table.
+    one status row per table: rows read, dropped as duplicates and written, observed by the
+    runs that clean the table, without another reading. (Should an executor be lost, rows
+    whose tasks run again may be observed twice.)
     """
     audits, status = [], []
     for spec in specs:
         try:
             hidden = () if spec.order_by else FILE_ORDER
-            table = read_table(spark, spec.path, file_order=bool(hidden))
+            read, kept, written = (Observation(f"{what} {spec.name}") for what in ("read", "kept", "written"))
+            table = read_table(spark, spec.path, file_order=bool(hidden)).observe(read, F.count(F.lit(1)).alias("n"))
             rules = spec.rules if isinstance(spec.rules, TableRules) else parse_rules(spec.rules)
-            clean = _filled(table, rules, spec.order_by or hidden, spec.name, hidden)
+            clean = _filled(table, rules, spec.order_by or hidden, spec.name, hidden, kept)
             if rules.replacements:
                 # The clean table and its audit both read this, so the work before it is done once.
                 clean, audit = replace_with_audit(stored(clean, "filled"), rules.replacements, spec.name, spec.mode)
             else:
                 audit = spark.createDataFrame([], AUDIT)
-            write_table(clean, base, "CLEAN", spec.name, fmt)
+            write_table(clean.observe(written, F.count(F.lit(1)).alias("n")), base, "CLEAN", spec.name, fmt)
             # Written with its table, so that a failure cannot leave half a record.
             audits.append(spark.read.schema(AUDIT).parquet(write_table(audit, base, "AUDITS/parts", spec.name)))
-            status.append((spec.name, "cleaned", None))
+            n_read, n_kept, n_written = (observed.get["n"] for observed in (read, kept, written))
+            status.append((spec.name, "cleaned", None, n_read, n_read - n_kept, n_written))
         except Exception as error:
             log.error("%s was not cleaned: %s", spec.name, error)
-            status.append((spec.name, "failed", str(error).splitlines()[0]))
+            status.append((spec.name, "failed", str(error).splitlines()[0], None, None, None))
     combined = combine_audits([spark.createDataFrame([], AUDIT), *audits])
     path = write_table(combined, base, "AUDITS", "combined_audit", fmt)
     reader = spark.read.schema(AUDIT)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,15 +112,66 @@ def read_table(
 
 
 def write_table(df: DataFrame, base: str, zone: str, name: str, fmt: str = "parquet") -> str:
-    """Write ``df`` to ``base/zone/name.fmt``, replacing what is there; return the path."""
+    """Write ``df`` to ``base/zone/name.fmt``, replacing what is there; return the path.
+
+    The table is written beside its place and swapped in when it is complete, so a failed
+    run leaves the former table as it was, and ``df`` may read the table it replaces.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; use one of {', '.join(FORMATS)}")
     path = f"{base.rstrip('/')}/{zone}/{name}.{fmt}"
-    writer = df.write.mode("overwrite")
+    replace_folder(df, path, fmt, f"{base.rstrip('/')}/{zone}")
+    return path
+
+
+def replace_folder(df: DataFrame, path: str, fmt: str = "parquet", beside: str | None = None) -> None:
+    """Write ``df`` to a staged folder, under ``beside`` or the path's parent, and swap it in at ``path``."""
+    parent, name = path.rsplit("/", 1)
+    staged = f"{beside or parent}/{STAGED}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
     if fmt == "csv":
         writer = writer.options(header=True, **_CSV)
-    writer.format(fmt).save(path)
-    return path
+    try:
+        writer.format(fmt).save(staged)
+        _swap_in(df.sparkSession, staged, path)
+    finally:
+        _delete(df.sparkSession, staged)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _file_system(spark, path)
+    return files.exists(place)
+
+
+#: Readers pass over names that begin so.
+STAGED = "_staged"
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place, files = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def _swap_in(spark: SparkSession, staged: str, path: str) -> None:
+    """Put a complete table in a table's place by two renames; undo the first if the second fails."""
+    new, files = _file_system(spark, staged)
+    old, _ = _file_system(spark, path)
+    aside, _ = _file_system(spark, f"{staged}.former")
+    files.mkdirs(old.getParent())
+    held = files.exists(old)
+    if held and not files.rename(old, aside):
+        raise OSError(f"{path} could not be set aside")
+    if not files.rename(new, old):
+        if held:
+            files.rename(aside, old)
+        raise OSError(f"{staged} could not be put in place of {path}")
+    if held:
+        files.delete(aside, True)
 
 
 def read_lookup(spark: SparkSession, path: str, layout: str = "file") -> DataFrame:

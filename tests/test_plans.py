@@ -128,6 +128,10 @@ def test_run_pipeline(spark, tmp_path, rows, fmt):
     assert rows(status.select("name", "status")) == [
         ("absent", "failed"), ("bad", "failed"), ("loans", "cleaned"), ("plain", "cleaned"),
     ]
+    counts = {r["name"]: (r["n_read"], r["n_dropped"], r["n_written"]) for r in status.collect()}
+    assert counts["absent"] == counts["bad"] == (None, None, None) and counts["plain"] == (1, 0, 1)
+    read, dropped, written = counts["loans"]
+    assert (read, written) == (len(LOANS.strip().splitlines()) - 1, 5) and dropped == read - 5
     assert audit.count() == 5 and audit.where("table = 'plain'").first().new_value == "y"
     assert src.read_table(spark, f"{tmp_path}/CLEAN/loans.{fmt}").count() == 5
     assert src.read_table(spark, f"{tmp_path}/AUDITS/combined_audit.{fmt}").count() == 5
