@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,21 +178,56 @@ def read_lookup(spark: SparkSession, path: str, layout: str = "file") -> DataFra
     """Read JSON objects as rows ``(key, value)``.
 
     ``layout="lines"`` takes each line as one object, ``layout="file"`` each file, laid out
-    over any number of lines. A file with one pair a line, as JSON is mostly indented, is
-    read by its lines and splits like any text; only another layout makes a file one record.
+    in any way, on one line too. A file splits like any text: it is read in pieces between
+    commas, and running counts of quotes and brackets tell which commas part its pairs.
     """
     if layout not in ("file", "lines"):
         raise ValueError(f"unknown layout {layout!r}; use 'file' or 'lines'")
-    lines = spark.read.text(path)
-    if layout == "file":
-        body = F.regexp_replace(F.trim("value"), r",\s*$", "")
-        bare = body.isin("", "{", "}")
-        pair = F.when(body.rlike(r'^".*[^{\[]$'), F.from_json(F.concat(F.lit("{"), body, F.lit("}")), _LOOKUP))
-        if not lines.where(~bare & (F.coalesce(F.size(pair), F.lit(0)) != 1)).isEmpty():
-            lines = spark.read.text(path, wholetext=True)
-        else:
-            return lines.where(~bare).select(F.explode(pair).alias("key", "value"))
-    return lines.select(F.explode(F.from_json("value", _LOOKUP)).alias("key", "value"))
+    if layout == "lines":
+        return spark.read.text(path).select(F.explode(F.from_json("value", _LOOKUP)).alias("key", "value"))
+    return _pairs(with_file_order(spark.read.text(path, lineSep=",")))
+
+
+def _running(df: DataFrame, amount: Column, before: str) -> DataFrame:
+    """Add ``before``: the sum of ``amount`` over the file's earlier pieces.
+
+    Blocks of the file are summed on their own; only their sums meet in one window.
+    """
+    file, block, row = FILE_ORDER
+    counted = df.withColumn("_amount", amount)
+    sums = counted.groupBy(file, block).agg(F.sum("_amount").alias("_sum"))
+    earlier = Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(file, block, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(file, block).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    found = counted.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0))).join(starts, [file, block])
+    return found.withColumn(before, F.col("_start") + F.col("_inside")).drop("_amount", "_start", "_inside")
+
+
+def _pairs(pieces: DataFrame) -> DataFrame:
+    """The pairs of one JSON object a file, from its pieces between commas."""
+    file, block, row = FILE_ORDER
+    # A comma never parts an escape, so each piece knows its own quotes.
+    unescaped = F.regexp_replace("value", r"\\.", "")
+    quotes = F.length(unescaped) - F.length(F.replace(unescaped, F.lit('"'), F.lit("")))
+    pieces = _running(pieces, quotes, "quotes")
+    in_text = F.col("quotes") % 2 == 1
+    outside = F.regexp_replace(F.concat(F.when(in_text, '"').otherwise(""), unescaped), r'(?s)"[^"]*("|$)', "")
+    depth = F.length(F.regexp_replace(outside, r"[^{\[]", "")) - F.length(F.regexp_replace(outside, r"[^}\]]", ""))
+    pieces = _running(pieces.withColumn("within", depth), F.col("within"), "depth")
+    # A pair begins at the file's first piece and after each comma of the object itself.
+    begins = (F.col("quotes") % 2 == 0) & (F.col("depth") <= 1)
+    pieces = _running(pieces.withColumn("begins", begins.cast("long")), F.col("begins"), "earlier")
+    pair = (F.col("earlier") + F.col("begins")).alias("pair")
+    # Only the pairs that commas run through have several pieces to bring together.
+    texts = pieces.groupBy(file, pair).agg(
+        F.array_sort(F.collect_list(F.struct(block, row, "value", "depth", "within"))).alias("pieces")
+    )
+    text = F.array_join(F.transform("pieces", lambda piece: piece["value"]), ",")
+    first, last = F.get("pieces", F.lit(0)), F.element_at("pieces", -1)
+    text = F.when(first["depth"] == 0, F.regexp_replace(text, r"^\s*\{", "")).otherwise(text)
+    text = F.when(last["depth"] + last["within"] == 0, F.regexp_replace(text, r"\}\s*$", "")).otherwise(text)
+    found = F.from_json(F.concat(F.lit("{"), text, F.lit("}")), _LOOKUP)
+    return texts.select(F.explode(found).alias("key", "value"))
 
 
 def select_distinct(df: DataFrame, columns: Sequence[str], where: str | None = None) -> DataFrame:

@@ -81,6 +81,27 @@ def test_lookup_of_any_layout(spark, tmp_path, rows):
         assert dict(rows(src.read_lookup(spark, str(path)))) == expected
 
 
+def test_one_line_lookup_is_read_by_several_tasks(spark, tmp_path, rows):
+    table = {f'k {i}, "{i % 7}" {{': ["a, b", 'he said "no", then', "]}{[", "c:\\\\", "", None, "é,\n,"][i % 7] for i in range(2000)}
+    table["nested"] = {"x": [1, 2, {"y": "},{"}], "z": ""}
+    table["list"] = [1, "a,b", [2, 3]]
+    folder = tmp_path / "lookups"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(table, ensure_ascii=False))
+    (folder / "b.json").write_text("{}")
+    (folder / "c.json").write_text('  {"only": "one, two"}  \n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        found = src.read_lookup(spark, str(folder))
+        assert spark.read.text(str(folder / "a.json"), lineSep=",").rdd.getNumPartitions() > 5
+        out = {r["key"]: r["value"] for r in found.collect()}
+        assert found.count() == len(table) + 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plain = {k: v if v is None or isinstance(v, str) else json.dumps(v, separators=(",", ":")) for k, v in table.items()}
+    assert out == plain | {"only": "one, two"}
+
+
 def test_rows_that_do_not_fit_the_header(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("a,b\n1,2\n3\n")
