@@ -536,6 +536,21 @@ def profile_subset(spark, folder):
     return _rounded(op.profile_subset(gaps, F.col("nation").isNull(), _GAP_KINDS), 4)
 
 
+@query(_CUSTOMER_GAPS_SQL + "SELECT \"column\", kind, n, missing, mean, std, min, max, zeros, top, top_count, min_length, max_length FROM ("
+       + " UNION ALL ".join(_profile_sql(c, k) for c, k in _GAP_KINDS.items() if c != "c_name") + ")")
+def profile_sketches(spark, folder):
+    """Profiles of two parts of the customers, stored as sketches and added up."""
+    gaps = _customer_gaps(spark, folder).drop("c_name")
+    path = src.scratch_dir(spark, "sketches")
+    for part in (0, 1):
+        op.sketch(gaps.where(f"c_custkey % 2 = {part}")).write.parquet(f"{path}/part={part}")
+    parts = [spark.read.parquet(f"{path}/part={part}") for part in (0, 1)]
+    out = op.profile_of(op.merge_sketches(*parts)).select(
+        "column", "kind", "n", "missing", "mean", "std", "min", "max", "zeros", "top", "top_count", "min_length", "max_length"
+    )
+    return _rounded(out, 4)
+
+
 _DATED_KINDS = {"o_orderkey": "numeric", "day": "datetime", "price": "numeric", "o_orderstatus": "categorical"}
 
 

@@ -14,7 +14,7 @@ from .headers import (
 )
 from .impute import impute_constant, impute_group, impute_lookup
 from .joins import left_lookup
-from .profiling import correlations, describe, profile, profile_subset, quartiles
+from .profiling import correlations, describe, merge_sketches, profile, profile_of, profile_subset, quartiles, sketch
 from .quality import (
     cardinality,
     count_exceeds,
@@ -57,11 +57,13 @@ __all__ = [
     "keep_one",
     "least_per_group",
     "left_lookup",
+    "merge_sketches",
     "null_counts",
     "pending_enrichment",
     "pivot_headers",
     "pivot_wide",
     "profile",
+    "profile_of",
     "profile_subset",
     "project",
     "quartiles",
@@ -74,6 +76,7 @@ __all__ = [
     "scd2_open",
     "similar_values",
     "simple_headers",
+    "sketch",
     "standardize_headers",
     "suggest_replacements",
     "top_n",

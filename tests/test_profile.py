@@ -97,7 +97,7 @@ def test_profile(spark, approximate):
     t, n, d, m = (found[c] for c in "tndm")
     assert (t["kind"], t["n"], t["missing"], t["missing_pct"], t["distinct"]) == ("categorical", 4, 1, 25.0, 2)
     assert (t["is_unique"], t["is_constant"], t["min_length"], t["max_length"]) == (False, False, 1, 2)
-    assert (t["top"], t["top_count"]) == ((None, None) if approximate else ("x", 2))
+    assert (t["top"], t["top_count"]) == ("x", 2)
     assert (n["kind"], n["zeros"], n["min"], n["max"], n["distinct"], n["top"]) == ("numeric", 2, 0.0, 1.0, 2, None)
     assert (d["kind"], d["missing"], d["is_constant"], d["is_unique"]) == ("datetime", 3, True, True)
     assert (m["kind"], m["missing"], m["is_constant"], m["is_unique"], m["mean"]) == ("numeric", 2, True, False, 7.0)
@@ -184,3 +184,26 @@ def test_rank_correlations_read_the_table_once_for_all_pairs(spark, tmp_path):
     for columns in (["a", "b", "c"], ["a", "b", "c", "d", "e"]):
         plan = op.correlations(df, columns, "spearman")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [a#") == 1 and plan.count("Join") == len(columns) * 2
+
+
+def test_sketches_of_two_days_are_that_of_both(spark, rows):
+    rng = np.random.default_rng(4)
+    names = [f"n{int(i)}" if i < 3000 else None for i in rng.zipf(1.3, 6000).clip(max=4000)]
+    data = [(n, float(v) if v % 5 else None, i % 2) for i, (n, v) in enumerate(zip(names, rng.integers(-9, 900, 6000)))]
+    df = spark.createDataFrame(data, "name string, v double, day int").repartition(3)
+    one = op.profile_of(op.sketch(df.drop("day")))
+    days = [op.sketch(df.where(f"day = {d}").drop("day")) for d in (0, 1)]
+    both = op.profile_of(op.merge_sketches(*days, op.sketch(df.where("day > 5").drop("day"))))
+    exact = {r["column"]: r for r in op.profile(df.drop("day")).collect()}
+    assert both.columns == one.columns == [*op.profile(df).columns, "top_error"]
+    for out in (one, both):
+        found = {r["column"]: r for r in out.collect()}
+        for column, r in found.items():
+            e = exact[column]
+            for c in ("kind", "n", "missing", "min", "max", "zeros", "min_length", "max_length", "top"):
+                assert r[c] == e[c], (column, c)
+            for c in ("mean", "std"):
+                assert r[c] == e[c] or math.isclose(r[c], e[c], rel_tol=1e-9)
+            assert abs(r["distinct"] - e["distinct"]) <= 0.05 * e["distinct"]
+        assert abs(found["name"]["top_count"] - exact["name"]["top_count"]) <= found["name"]["top_error"] < 10
+        assert found["v"]["top"] is None
