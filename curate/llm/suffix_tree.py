@@ -2,9 +2,12 @@
 
 Suffixes (of words) that can have a twin (see ``repeats``) are partitioned by prefix: first
 by one word, and where a partition is over ``MEMBERS`` suffixes, by a prefix twice as long,
-up to the whole window. Each partition's subtree is built on its own, from its suffixes in
-order and the depths at which neighbours part. Internal nodes at least a window deep are the
-maximal repeats, and all windows at their leaves go.
+up to the whole window. Only then is anything sorted or held as a table, so a partition
+bounds the memory: of one that is still too large at a whole window all members are equal,
+and a single node. Each other partition's subtree is built on its own, from its suffixes in
+order and the depths at which neighbours part: a stack turns these into the internal nodes,
+each with its depth and its leaves. Internal nodes at least a window deep are the repeats
+that count, and all windows at their leaves go.
 
 Defined cases: a null or empty text has no words; texts under a window keep all; rows equal
 in id and text are one document and get the same result; an empty table gives no rows;
@@ -25,64 +28,66 @@ WINDOW = 35
 MEMBERS = 50_000
 
 
-def _dense_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1] if len(a) else a
+def partitions(words: np.ndarray, places: np.ndarray, window: int = WINDOW, members: int = MEMBERS):
+    """(prefix length, places) of suffixes with common prefixes, ``members`` at most unless equal for a window.
 
-
-def prefix_ranks(words: np.ndarray, window: int) -> list[tuple[int, np.ndarray]]:
-    """(length, rank by that many words) for 1, 2, 4, ... and the window; equal for equals.
-
-    ``words`` must be padded by a window; runs may reach beyond their own text into the next.
-    """
-    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
-    out = [(1, rank)]
-    length = 1
-    while length < window:
-        step = min(length, window - length)
-        rank = _dense_pairs(rank[: len(rank) - step], rank[step:])
-        length += step
-        out.append((length, rank))
-    return out
-
-
-def partitions(ranks: list[tuple[int, np.ndarray]], places: np.ndarray, members: int = MEMBERS):
-    """Groups of suffixes with a common prefix, of ``members`` at most unless equal for a window.
-
-    Small neighbours in prefix order share a group.
+    ``words`` must be padded by a window. Small neighbours in prefix order share a group;
+    its prefix length is what all its members have in common for sure.
     """
-    pending = [(0, np.arange(len(places)))]
+    pending = [(0, places)]
     while pending:
-        level, group = pending.pop()
-        if len(group) <= members or level == len(ranks):
-            yield group
+        known, group = pending.pop()
+        if len(group) <= members or known == window:
+            yield known, group
             continue
-        key = ranks[level][1][places[group]]
-        order = np.argsort(key, kind="stable")
-        group, key = group[order], key[order]
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        bounds = np.concatenate([[0], cuts, [len(group)]])
+        length = min(window, max(1, 2 * known))
+        columns = [words[group + i] for i in range(known, length)]
+        order = np.lexsort(columns[::-1])
+        group, columns = group[order], [c[order] for c in columns]
+        parts = np.zeros(len(group) - 1, bool)
+        for c in columns:
+            parts |= c[1:] != c[:-1]
+        bounds = np.concatenate([[0], np.flatnonzero(parts) + 1, [len(group)]])
         begin = 0
         for i in range(1, len(bounds)):
-            size = bounds[i] - bounds[begin]
             if i + 1 < len(bounds) and bounds[i + 1] - bounds[begin] <= members:
                 continue
-            # A single prefix that is still too large gets a longer one.
-            pending.append((level + 1 if i - begin == 1 else len(ranks), group[bounds[begin] : bounds[begin] + size]))
+            part = group[bounds[begin] : bounds[i]]
+            if i - begin == 1:
+                pending.append((length, part))
+            else:
+                yield known, part
             begin = i
 
 
-def deep_nodes(ranks: list[tuple[int, np.ndarray]], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The subtree's leaves in order, and for each the deep node it hangs under (-1: none).
-
-    A node is a run of leaves whose neighbours share a whole window.
-    """
-    # Longest prefix last: sorting by ever longer prefixes is sorting by the window.
-    order = np.lexsort([rank[places] for _, rank in ranks[::-1]])
-    whole = ranks[-1][1][places[order]]
-    deep = whole[1:] == whole[:-1]
-    node = np.concatenate([[0], np.cumsum(~deep)])
-    inner = np.concatenate([deep, [False]]) | np.concatenate([[False], deep])
-    return order, np.where(inner, node, -1)
+def leaves(words: np.ndarray, places: np.ndarray, known: int = 0, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and the depth at which each parts from the next, a window at most."""
+    columns = [words[places + i] for i in range(known, window)]
+    order = np.lexsort(columns[::-1]) if columns else np.arange(len(places))
+    depth = np.full(max(len(places) - 1, 0), known, np.int64)
+    alike = np.ones(len(depth), bool)
+    for c in columns:
+        c = c[order]
+        alike &= c[1:] == c[:-1]
+        depth += alike
+    return places[order], depth
+
+
+def internal_nodes(depth: np.ndarray) -> list[tuple[int, int, int]]:
+    """(depth, first leaf, last leaf) of the subtree's internal nodes, children before parents."""
+    nodes: list[tuple[int, int, int]] = []
+    stack: list[tuple[int, int]] = []  # open nodes: depth and first leaf, deeper ones on top
+    for leaf, d in enumerate(depth.tolist()):
+        first = leaf
+        while stack and stack[-1][0] > d:
+            deeper, first = stack.pop()
+            nodes.append((deeper, first, leaf))
+        if not stack or stack[-1][0] < d:
+            stack.append((d, first))
+    while stack:
+        deeper, first = stack.pop()
+        nodes.append((deeper, first, len(depth)))
+    return nodes
 
 
 def repeated_windows(entries: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -92,10 +97,14 @@ def repeated_windows(entries: np.ndarray, words: np.ndarray, bounds: np.ndarray)
     places = ranges(bounds[:-1], count)
     # Open segments known to stand twice as a whole are settled as such.
     mask = entries["twice"][owner] > 0
-    levels = prefix_ranks(np.concatenate([words, np.zeros(WINDOW, np.uint64)]), WINDOW)
-    for group in partitions(levels, places):
-        order, node = deep_nodes(levels, places[group])
-        mask[group[order[node >= 0]]] = True
+    padded = np.concatenate([words, np.zeros(WINDOW, np.uint64)])
+    window_at = np.zeros(len(words) + 1, np.int64)
+    window_at[places] = np.arange(len(places))
+    for known, group in partitions(padded, places):
+        ordered, depth = leaves(padded, group, known)
+        for deep, first, last in internal_nodes(depth):
+            if deep >= WINDOW:
+                mask[window_at[ordered[first : last + 1]]] = True
     return mask
 
 

@@ -90,15 +90,46 @@ def test_suffix_trees_remove_all_copies(spark, docs):
         assert (out[key]["kept"], out[key]["n_words"], out[key]["n_removed"]) == (kept, len(found), sum(gone))
 
 
+def _window(words, place, window):
+    return tuple(words[place : place + window].tolist())
+
+
 def test_partitions_take_longer_prefixes_until_small():
-    words = np.array([1, 1, 1, 2] * 40 + [3] * 40, np.uint64)
-    levels = suffix_tree.prefix_ranks(np.concatenate([words, np.zeros(35, np.uint64)]), 35)
-    places = np.arange(150)
-    groups = list(suffix_tree.partitions(levels, places, members=20))
-    assert sorted(np.concatenate(groups).tolist()) == list(range(150))
-    whole = levels[-1][1]
-    owner = {int(whole[p]): i for i, g in enumerate(groups) for p in places[g]}
-    assert all(owner[int(whole[p])] == i for i, g in enumerate(groups) for p in places[g])
+    words = np.concatenate([np.array([1, 1, 1, 2] * 40 + [3] * 140 + list(range(4, 60)), np.uint64), np.zeros(35, np.uint64)])
+    places = np.arange(len(words) - 35)
+    groups = list(suffix_tree.partitions(words, places, members=20))
+    assert sorted(np.concatenate([g for _, g in groups]).tolist()) == places.tolist()
+    owner = {}
+    for i, (known, group) in enumerate(groups):
+        assert len({_window(words, p, known) for p in group}) == 1
+        whole = {_window(words, p, 35) for p in group}
+        assert len(group) <= 20 or len(whole) == 1
+        # Equal windows never part.
+        assert all(owner.setdefault(w, i) == i for w in whole)
+    assert max(len(g) for _, g in groups) > 20
+
+
+@pytest.mark.parametrize(("letters", "window"), [(2, 5), (3, 35), (1, 8), (40, 6)])
+def test_internal_nodes_are_those_of_brute_force(letters, window):
+    rng = np.random.default_rng(letters)
+    words = rng.integers(1, letters + 1, 160).astype(np.uint64)
+    words = np.concatenate([words, words[20:90], np.zeros(window, np.uint64)])
+    places = rng.permutation(len(words) - window)[:150]
+    ordered, depth = suffix_tree.leaves(words, places, 0, window)
+    suffixes = [_window(words, p, window) for p in ordered]
+    assert sorted(suffixes) == suffixes
+    found = {(d, frozenset(ordered[a : b + 1].tolist())) for d, a, b in suffix_tree.internal_nodes(depth)}
+    assert len(found) == len(suffix_tree.internal_nodes(depth))
+    want = set()
+    for length in range(window + 1):
+        by_prefix = collections.defaultdict(list)
+        for p in places.tolist():
+            by_prefix[_window(words, p, length)].append(p)
+        for members in by_prefix.values():
+            # A node: several suffixes that go on in different ways, or end as equals.
+            if len(members) > 1 and (length == window or len({words[p + length] for p in members}) > 1):
+                want.add((length, frozenset(members)))
+    assert found == want
 
 
 def test_groups_agree_with_spark(spark):
