@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -180,10 +179,3 @@ def read_back(turns: DataFrame, ranks: str | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return turns.mapInArrow(digest, DIGESTS)
-
-
-def loss_mask(ids_length: int, first: int, loss_from: int, loss_to: int) -> np.ndarray:
-    """The mask over one turn's ids."""
-    mask = np.zeros(ids_length, bool)
-    mask[loss_from - first : loss_to - first] = True
-    return mask
