@@ -380,6 +380,10 @@ def test_class_model_beats_its_base_and_sums_to_one(spark):
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0)
     tested = [r for r in out.values() if r["held_out"]]
     assert sum(r["score"] for r in tested) > sum(r["base_score"] for r in tested)
+    # Of texts of known words alone, four classes tell more than one does.
+    known = [r["key"] for r in tested if r["n_known"] == r["n_tokens"]]
+    single = {r["key"]: r["score"] for r in brown_lm.score_texts(df, held, frequent=64, classes=1).collect()}
+    assert len(known) > 5 and sum(out[k]["score"] for k in known) > sum(single[k] for k in known) + 5
     counts = np.random.default_rng(0).integers(0, 50, (5, 5, 2)).astype(float)
     moves, _ = brown_lm.log_tables(counts, np.array([3.0, 2, 1, 0, 0]), np.array([30.0, 20, 10, 5, 0]))
     assert (10**moves).sum(1) == pytest.approx(np.ones(5))
