@@ -171,7 +171,7 @@ def _kept_pieces(texts: DataFrame, frequency: DataFrame, min_score: float, metri
     found = (
         cut.withColumn("found", F.expr(f"concat({sized})"))
         .select("id", "chars", "spoiled", F.inline(F.expr(f"if(size(found) > 0, found, {few})")))
-        .join(frequency, "key")
+        .join(frequency.hint("merge"), "key")
         .groupBy("id", "chars", "spoiled", "size")
         .agg(F.array_sort(F.collect_list(F.struct("texts", "key", "place"))).alias("pieces"))
     )
@@ -193,9 +193,12 @@ def _join_on_keys(probes: DataFrame, listed: DataFrame) -> DataFrame:
 
     Both sides of a frequent key are dealt out in salts, and each salt of one side meets
     each of the other.
+
+    A text has many keys, which Spark's guess of a table's size from that of its texts leaves
+    out: joins by hint, or keys would go through the driver to be broadcast.
     """
     texts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
-    sizes = probes.groupBy("key").agg(F.count(F.lit(1)).alias("probes")).join(texts, "key").select(
+    sizes = probes.groupBy("key").agg(F.count(F.lit(1)).alias("probes")).join(texts.hint("merge"), "key").select(
         "key",
         F.ceil(F.col("probes") / TEXTS_PER_SALT).cast("int").alias("left_salts"),
         F.ceil(F.col("texts") / TEXTS_PER_SALT).cast("int").alias("right_salts"),
@@ -207,16 +210,17 @@ def _join_on_keys(probes: DataFrame, listed: DataFrame) -> DataFrame:
     def every(salts: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(salts) - 1))
 
-    left = probes.join(sizes, "key").select(*probes.columns, salt("left_salts").alias("left"), every("right_salts").alias("right"))
+    left = probes.join(sizes.hint("merge"), "key").select(*probes.columns, salt("left_salts").alias("left"), every("right_salts").alias("right"))
     others = [F.col(c).alias(f"other_{c}") for c in listed.columns if c != "key"]
-    right = listed.join(sizes, "key").select(*others, "key", every("left_salts").alias("left"), salt("right_salts").alias("right"))
-    return left.join(right, ["key", "left", "right"])
+    right = listed.join(sizes.hint("merge"), "key").select(*others, "key", every("left_salts").alias("left"), salt("right_salts").alias("right"))
+    return left.join(right.hint("merge"), ["key", "left", "right"])
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``(a, b)``: the texts of pairs of ids, the smaller first."""
     for id_, name in (("id", "x"), ("other_id", "y")):
-        pairs = pairs.join(texts.select(F.col("id").alias(id_), F.col("text").alias(name)), id_)
+        # The stored texts are packed, so their files' size says little about a broadcast.
+        pairs = pairs.join(texts.select(F.col("id").alias(id_), F.col("text").alias(name)).hint("merge"), id_)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -421,6 +425,31 @@ def _least_by_bin(texts: list[str], size: int, bins: int) -> np.ndarray:
     return least
 
 
+def _counted_bits(texts: list[str]) -> np.ndarray:
+    """For each text 128 bits, of which an insertion or deletion of a character flips one.
+
+    The characters, each with its number among its equals in the text, flip bits by their hash.
+    So texts differ in no more bits than characters come or go.
+    """
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    order = np.lexsort((chars, row))
+    chars, row = chars[order], row[order]
+    begins = np.flatnonzero(np.r_[True, (chars[1:] != chars[:-1]) | (row[1:] != row[:-1])][: len(chars)])
+    number = np.arange(len(chars)) - np.repeat(begins, np.diff(np.r_[begins, len(chars)]))
+    bit = _scatter(_scatter(chars + np.uint64(1)) * _MULTIPLY + number.astype(np.uint64)) % np.uint64(128)
+    bits = np.zeros((len(texts), 2), np.uint64)
+    np.bitwise_xor.at(bits, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return bits
+
+
+def _bits_agree(min_score: float, metric: str) -> Column:
+    """Whether ``bits`` leave a plain score of ``min_score`` possible; replacing a character flips two."""
+    edits = _edits_between(F.col("chars"), F.col("other_chars"), min_score, metric)
+    flipped = [F.bit_count(F.col(name).bitwiseXOR(F.col(f"other_{name}"))) for name in ("low_bits", "high_bits")]
+    return flipped[0] + flipped[1] <= edits * (2 if metric == "levenshtein" else 1)
+
+
 # Characters whose stretches a task hashes at once.
 HASHED_AT_ONCE = 1 << 20
 
@@ -437,17 +466,25 @@ def _banded(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
                 before = lengths[begin - 1] if begin else 0
                 end = max(begin + 1, int(np.searchsorted(lengths, before + HASHED_AT_ONCE)))
                 part = batch.slice(begin, end - begin)
-                least = _least_by_bin(part.column(1).to_pylist(), size, bands * values).reshape(-1, bands, values)
+                strings = part.column(1).to_pylist()
+                least = _least_by_bin(strings, size, bands * values).reshape(-1, bands, values)
                 key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), least.shape[:2])
                 for i in range(values):
                     key = _scatter(key * _MULTIPLY + least[:, :, i])
-                columns = [pa.array(np.repeat(np.asarray(part.column(c)), bands)) for c in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(key.reshape(-1).view(np.int64))], names=["id", "chars", "key"])
+                bits = _counted_bits(strings).view(np.int64)
+                each = (np.asarray(part.column(0)), np.asarray(part.column(2)), bits[:, 0], bits[:, 1])
+                columns = [pa.array(np.repeat(column, bands)) for column in each]
+                names = ["id", "chars", "low_bits", "high_bits", "key"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(key.reshape(-1).view(np.int64))], names=names)
                 begin = end
 
-    keyed = texts.mapInArrow(keys, "id long, chars int, key long")
-    lengths = _may_match(F.col("chars"), F.col("other_chars"), min_score, metric)
-    pairs = _join_on_keys(keyed, keyed).where((F.col("id") < F.col("other_id")) & lengths).select("id", "other_id").distinct()
+    keyed = stored(texts.mapInArrow(keys, "id long, chars int, low_bits long, high_bits long, key long"), "bands")
+    met = _join_on_keys(keyed, keyed).where(
+        (F.col("id") < F.col("other_id")) & _may_match(F.col("chars"), F.col("other_chars"), min_score, metric)
+    )
+    if metric != "wratio":
+        met = met.where(_bits_agree(min_score, metric))
+    pairs = met.select("id", "other_id").distinct()
     pairs = _with_texts(pairs, texts)
     return _sift_by_words(pairs, min_score) if metric == "wratio" else _sift(pairs, min_score, metric)
 

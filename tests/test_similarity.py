@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +219,31 @@ def test_bands_look_at_few_pairs(spark):
     assert similarity._banded(similarity._texts(df, "text"), 90, "indel").count() < 0.05 * pairs
 
 
+@pytest.mark.parametrize("method", ["lsh", "exact"])
+def test_no_keys_go_through_the_driver(spark, method):
+    rng = random.Random(5)
+    urls = [f"https://{rng.choice('abc')}.example/{rng.randrange(10**6)}" for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in urls], "t string")
+    out = op.similar_values(df, "t", 90, "indel", method=method)
+    # The texts are few enough to be broadcast, by the size of their files; their keys are many more.
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    assert "Broadcast" not in out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+@pytest.mark.parametrize("length", [1, 30, 200])
+def test_bits_differ_no_more_than_characters_come_or_go(length):
+    rng = random.Random(length)
+    for _ in range(100):
+        a = "".join(rng.choice("abcé😀") for _ in range(length))
+        b = list(a)
+        for _ in range(rng.randrange(12)):
+            b.insert(rng.randrange(len(b) + 1), rng.choice("abx")) if rng.random() < 0.5 or not b else b.pop(rng.randrange(len(b)))
+        b = "".join(b)
+        bits = similarity._counted_bits([a, "", b, a])
+        assert not bits[1].any() and (bits[0] == bits[3]).all()
+        assert np.bitwise_count(bits[0] ^ bits[2]).sum() <= len(a) + len(b) - 2 * lcs(a, b)
+
+
 def test_suggestions(spark, rows):
     texts = ["middlesbrough"] * 3 + ["middlesborough"] + ["leeds"] * 2
     df = spark.createDataFrame([(t,) for t in texts], "city string")
