@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
+import pandas as pd
+
 
 @lru_cache(maxsize=4096)
 def _places(text: str) -> dict[str, int]:
@@ -32,6 +35,58 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * common_length(a, b) / both if both else 100.0
 
 
+# Most characters of a text that is short: the bits of a word.
+SHORT = 64
+# Most characters of the other text of pairs that are scored together.
+_LONGEST = 256
+_PAIRS_AT_ONCE = 4096
+# Entries of the table of places; beyond it pairs are scored one by one.
+_MOST_PLACES = 1 << 23
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _common_lengths(a: list[str], b: list[str]) -> np.ndarray | None:
+    """``common_length`` of short texts, a step of all pairs at once; None with very many characters."""
+    (at_a, a), (at_b, b) = pd.factorize(np.array(a, object)), pd.factorize(np.array(b, object))
+    len_a, len_b = (np.fromiter(map(len, texts), np.int64, len(texts)) for texts in (a, b))
+    points = np.r_[_codes(a), _codes(b)]
+    present = np.zeros(int(points.max()) + 1, bool)
+    present[points] = True
+    code, letters = (np.cumsum(present) - 1)[points], int(present.sum())
+    if len(a) * (letters + 1) > _MOST_PLACES:
+        return None
+    row_a, row_b = np.repeat(np.arange(len(a)), len_a), np.repeat(np.arange(len(b)), len_b)
+    place_a, place_b = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in (len_a, len_b))
+    places = np.zeros((len(a), letters + 1), np.uint64)
+    np.bitwise_or.at(places, (row_a, code[: len(row_a)]), np.uint64(1) << place_a.astype(np.uint64))
+    # A text that has ended goes on with a character that stands nowhere.
+    steps = np.full((int(len_b.max(initial=0)), len(b)), letters)
+    steps[place_b, row_b] = code[len(row_a) :]
+    open_bits = np.full(len(at_a), ~np.uint64(0))
+    for step in steps:
+        matched = open_bits & places[at_a, step[at_b]]
+        open_bits = (open_bits + matched) | (open_bits - matched)
+    return SHORT - np.bitwise_count(open_bits).astype(np.int64)
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``ratio`` of each pair."""
+    len_a, len_b = (np.fromiter(map(len, texts), np.int64, len(texts)) for texts in (a, b))
+    found = np.full(len(a), -1.0)
+    short = np.flatnonzero((len_a <= SHORT) & (len_b <= _LONGEST) & (len_a + len_b > 0))
+    for begin in range(0, len(short), _PAIRS_AT_ONCE):
+        at = short[begin : begin + _PAIRS_AT_ONCE]
+        common = _common_lengths([a[i] for i in at], [b[i] for i in at])
+        if common is not None:
+            found[at] = 200.0 * common / (len_a[at] + len_b[at])
+    for i in np.flatnonzero(found < 0):
+        found[i] = ratio(a[i], b[i])
+    return found
+
+
 def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
     """Best ratio of the shorter text with any stretch of the longer, no longer than itself.
 

@@ -259,11 +259,13 @@ def _sift(pairs: DataFrame, min_score: float, metric: str) -> DataFrame:
     """Drop pairs that too many edits part for the plain score.
 
     Replacing a character counts once here and twice in the ratio, so this only sifts.
+    Short texts are scored many at once, in less time than this takes.
     """
     if metric == "levenshtein":
         return pairs
     most = _edits_between(F.length("a"), F.length("b"), min_score, metric)
-    return pairs.where(F.call_function("levenshtein", F.col("a"), F.col("b"), most) >= 0)
+    short = F.greatest(F.length("a"), F.length("b")) <= scores.SHORT
+    return pairs.where(short | (F.call_function("levenshtein", F.col("a"), F.col("b"), most) >= 0))
 
 
 def _sift_by_words(pairs: DataFrame, min_score: float) -> DataFrame:
@@ -309,11 +311,10 @@ def _score(candidates: DataFrame, min_score: float, metric: str) -> DataFrame:
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = zip(batch["a"], batch["b"])
             if metric == "indel":
-                values = [scores.ratio(a, b) for a, b in pairs]
+                values = scores.ratios(batch["a"].tolist(), batch["b"].tolist())
             else:
-                values = [scores.weighted_ratio(a, b, min_score) for a, b in pairs]
+                values = [scores.weighted_ratio(a, b, min_score) for a, b in zip(batch["a"], batch["b"])]
             yield batch.assign(score=values)
 
     return candidates.mapInPandas(scored, "a string, b string, score double")
@@ -454,11 +455,25 @@ def _bits_agree(min_score: float, metric: str) -> Column:
 HASHED_AT_ONCE = 1 << 20
 
 
+# A key that so many texts have, and this share of them at least, is frequent.
+FREQUENT_FROM, FREQUENT_SHARE = 100, 1 / 64
+# Texts, and characters, on each side of a block, blocks dealt to tasks of their own, and pairs of a block at once.
+TEXTS_PER_BLOCK, CHARS_PER_BLOCK = 4_000, 1 << 25
+MOST_BLOCK_TASKS = 1_000
+MET_AT_ONCE = 1 << 20
+
+
 def _banded(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
-    """Candidates that agree on all values of a band."""
+    """Candidates that agree on all values of a band.
+
+    Texts with a common frame have some keys that a great part of all texts have, and similar
+    texts share several of them. Such keys would bring most pairs, each many times. So
+    texts with frequent keys, at most 64 in a band, meet in blocks, each pair once; those
+    that share a rare key but no frequent one meet by an equi-join.
+    """
     size, bands, values = _bands(min_score)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
         for batch in batches:
             lengths = np.cumsum(np.asarray(batch.column(2)))
             begin = 0
@@ -471,22 +486,102 @@ def _banded(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
                 key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), least.shape[:2])
                 for i in range(values):
                     key = _scatter(key * _MULTIPLY + least[:, :, i])
-                bits = _counted_bits(strings).view(np.int64)
-                each = (np.asarray(part.column(0)), np.asarray(part.column(2)), bits[:, 0], bits[:, 1])
-                columns = [pa.array(np.repeat(column, bands)) for column in each]
-                names = ["id", "chars", "low_bits", "high_bits", "key"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(key.reshape(-1).view(np.int64))], names=names)
+                yield part, strings, key.view(np.int64)
                 begin = end
 
-    keyed = stored(texts.mapInArrow(keys, "id long, chars int, low_bits long, high_bits long, key long"), "bands")
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, key in keys_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1))], names=["key"])
+
+    frequent_keys = np.array([], np.int64)
+    if metric != "wratio":  # whose words may be reordered, which bits do not tell
+        least = max(FREQUENT_FROM, texts.count() * FREQUENT_SHARE)
+        counts = texts.mapInArrow(keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
+        frequent_keys = np.array(sorted(row.key for row in counts.where(F.col("texts") >= least).collect()), np.int64)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, strings, key in keys_of(batches):
+            found = np.searchsorted(frequent_keys, key)
+            frequent = np.isin(key, frequent_keys)
+            bits = _counted_bits(strings).view(np.int64)
+
+            def lists(held: np.ndarray, of: np.ndarray) -> pa.ListArray:
+                ends = np.cumsum(held.sum(axis=1))
+                return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(of[held]))
+
+            columns = [*part.columns, pa.array(bits[:, 0]), pa.array(bits[:, 1])]
+            columns += [lists(frequent, found.astype(np.int16)), lists(~frequent, key)]
+            names = ["id", "text", "chars", "low_bits", "high_bits", "frequent", "rare"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "id long, text string, chars int, low_bits long, high_bits long, frequent array<smallint>, rare array<long>"
+    banded = stored(texts.mapInArrow(marked, schema), "bands")
+    keyed = banded.select("id", "chars", "low_bits", "high_bits", "frequent", F.explode("rare").alias("key"))
     met = _join_on_keys(keyed, keyed).where(
         (F.col("id") < F.col("other_id")) & _may_match(F.col("chars"), F.col("other_chars"), min_score, metric)
     )
-    if metric != "wratio":
-        met = met.where(_bits_agree(min_score, metric))
-    pairs = met.select("id", "other_id").distinct()
-    pairs = _with_texts(pairs, texts)
-    return _sift_by_words(pairs, min_score) if metric == "wratio" else _sift(pairs, min_score, metric)
+    if metric == "wratio":
+        return _sift_by_words(_with_texts(met.select("id", "other_id").distinct(), texts), min_score)
+    met = met.where(_bits_agree(min_score, metric)).where(~F.arrays_overlap("frequent", "other_frequent"))
+    pairs = _with_texts(met.select("id", "other_id").distinct(), texts)
+    if len(frequent_keys):
+        pairs = pairs.unionAll(_met_in_blocks(banded.where(F.size("frequent") > 0), len(frequent_keys), min_score, metric))
+    return _sift(pairs, min_score, metric)
+
+
+def _met_in_blocks(banded: DataFrame, keys: int, min_score: float, metric: str) -> DataFrame:
+    """``(a, b)``: the pairs that share one of the numbered ``keys`` and whose bits agree."""
+    held = banded.agg(F.count(F.lit(1)).alias("texts"), F.sum("chars").alias("chars")).first()
+    groups = max(1, ceil(held.texts / TEXTS_PER_BLOCK), ceil((held.chars or 0) / CHARS_PER_BLOCK))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        own, names = np.asarray(table["own"]), ("left", "right")
+        groups = [table[name][0].as_py() for name in names]
+        text, chars, bits, shared = [], [], [], []
+        for group in groups:
+            side = table.filter(pa.array(own == group)).combine_chunks()
+            text.append(side["text"].combine_chunks() if side.num_rows else pa.array([], pa.string()))
+            chars.append(np.asarray(side["chars"]).astype(np.int64))
+            bits.append([np.asarray(side[name]).view(np.uint64) for name in ("low_bits", "high_bits")])
+            numbers = [np.asarray(numbers, np.int64) for numbers in side["frequent"].to_numpy()]
+            row = np.repeat(np.arange(len(numbers)), [len(x) for x in numbers])
+            number = np.concatenate([np.empty(0, np.int64), *numbers])
+            words = np.zeros((len(numbers), (keys + 63) // 64), np.uint64)
+            np.bitwise_or.at(words, (row, number >> 6), np.uint64(1) << (number & 63).astype(np.uint64))
+            shared.append(words)
+        if not len(text[0]) or not len(text[1]):
+            return
+        both = np.maximum.outer if metric == "levenshtein" else np.add.outer
+        flips = 2 if metric == "levenshtein" else 1
+        whole = np.arange(chars[0].max() + chars[1].max() + 1)
+        most = np.minimum(np.floor(whole * ((100 - min_score) / 100) + 1e-6) * flips, 128).astype(np.uint8)
+        step = max(1, MET_AT_ONCE // len(text[1]))
+        for begin in range(0, len(text[0]), step):
+            some = slice(begin, begin + step)
+            differ = sum(np.bitwise_count(x[some, None] ^ y[None, :]) for x, y in zip(*bits))
+            x, y = np.nonzero(differ <= most[both(chars[0][some], chars[1])])
+            x += begin
+            short, long = np.minimum(chars[0][x], chars[1][y]), np.maximum(chars[0][x], chars[1][y])
+            if metric == "levenshtein":
+                kept = short * 100.0 >= long * min_score - 1e-6
+            else:
+                kept = short * 200.0 >= (short + long) * min_score - 1e-6
+            if groups[0] == groups[1]:
+                kept &= x < y
+            x, y = x[kept], y[kept]
+            kept = (shared[0][x] & shared[1][y]).any(axis=1)
+            yield pa.RecordBatch.from_arrays([text[0].take(pa.array(x[kept])), text[1].take(pa.array(y[kept]))], names=["x", "y"])
+
+    own = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    dealt = banded.select("text", "chars", "low_bits", "high_bits", "frequent", own.alias("own")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    )
+    dealt = dealt.withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other")).drop("other")
+    # By number, so that small blocks, which bring many pairs, keep tasks of their own.
+    dealt = dealt.repartition(min(groups * (groups + 1) // 2, MOST_BLOCK_TASKS), "left", "right")
+    pairs = dealt.groupBy("left", "right").applyInArrow(meet, "x string, y string")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def suggest_replacements(

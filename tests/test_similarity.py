@@ -230,6 +230,42 @@ def test_no_keys_go_through_the_driver(spark, method):
     assert "Broadcast" not in out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
 
 
+@pytest.mark.parametrize("metric, least", [("indel", 75), ("levenshtein", 80)])
+def test_blocks_find_what_keys_find(spark, metric, least, monkeypatch):
+    rng = random.Random(least)
+    texts = _texts(least, 60) + [f"https://{rng.choice('ab')}.example/{rng.randrange(10**4)}" * rng.choice([1, 1, 4]) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    stored = similarity._texts(df, "t")
+    monkeypatch.setattr(similarity, "MET_AT_ONCE", 50)
+    monkeypatch.setattr(similarity, "TEXTS_PER_BLOCK", 30)
+    found = []
+    # No key is frequent, some are, all are.
+    for least_texts, share in ((10**9, 0), (30, 0), (1, 0)):
+        monkeypatch.setattr(similarity, "FREQUENT_FROM", least_texts)
+        monkeypatch.setattr(similarity, "FREQUENT_SHARE", share)
+        found.append(sorted(tuple(r) for r in similarity._banded(stored, least, metric).collect()))
+    assert len(found[0]) > 100 and len(set(found[0])) == len(found[0])
+    assert found[0] == found[1] == found[2]
+
+
+def test_pairs_that_share_frequent_keys_are_met_once(spark):
+    rng = random.Random(8)
+    urls = sorted({f"https://www.alike.example.com/en/{rng.randrange(10**6):06}?utm_source=feed" for _ in range(400)})
+    df = spark.createDataFrame([(t,) for t in urls], "t string")
+    before = _shuffle_bytes(spark)
+    pairs = similarity._banded(similarity._texts(df, "t"), 90, "indel").count()
+    # Each pair shares many keys, but texts are shuffled, not pairs.
+    assert pairs > 50_000 and _shuffle_bytes(spark) - before < 16 * pairs
+
+
+def test_ratios_of_many_pairs():
+    rng = random.Random(2)
+    sizes = [0, 1, 5, 40, 63, 64, 65, 90, 256, 257]
+    a, b = (["".join(rng.choice("abcé😀") for _ in range(rng.choice(sizes))) for _ in range(300)] for _ in range(2))
+    assert scores.ratios(a, b).tolist() == [scores.ratio(x, y) for x, y in zip(a, b)]
+    assert scores.ratios([], []).tolist() == []
+
+
 @pytest.mark.parametrize("length", [1, 30, 200])
 def test_bits_differ_no_more_than_characters_come_or_go(length):
     rng = random.Random(length)
