@@ -457,10 +457,11 @@ HASHED_AT_ONCE = 1 << 20
 
 # A key that so many texts have, and this share of them at least, is frequent.
 FREQUENT_FROM, FREQUENT_SHARE = 100, 1 / 64
-# Texts, and characters, on each side of a block, blocks dealt to tasks of their own, and pairs of a block at once.
+# Texts and characters on each side of a block, and tasks that blocks are dealt to at most.
 TEXTS_PER_BLOCK, CHARS_PER_BLOCK = 4_000, 1 << 25
 MOST_BLOCK_TASKS = 1_000
-MET_AT_ONCE = 1 << 20
+# Pairs of a block that are looked at together, and characters of those handed on together.
+MET_AT_ONCE, CHARS_AT_ONCE = 1 << 20, 1 << 23
 
 
 def _banded(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
@@ -571,7 +572,10 @@ def _met_in_blocks(banded: DataFrame, keys: int, min_score: float, metric: str)
                 kept &= x < y
             x, y = x[kept], y[kept]
             kept = (shared[0][x] & shared[1][y]).any(axis=1)
-            yield pa.RecordBatch.from_arrays([text[0].take(pa.array(x[kept])), text[1].take(pa.array(y[kept]))], names=["x", "y"])
+            x, y = x[kept], y[kept]
+            cuts = np.flatnonzero(np.diff(np.cumsum(chars[0][x] + chars[1][y]) // CHARS_AT_ONCE)) + 1
+            for i, j in zip(np.split(x, cuts), np.split(y, cuts)):
+                yield pa.RecordBatch.from_arrays([text[0].take(pa.array(i)), text[1].take(pa.array(j))], names=["x", "y"])
 
     own = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
     dealt = banded.select("text", "chars", "low_bits", "high_bits", "frequent", own.alias("own")).withColumn(

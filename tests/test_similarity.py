@@ -237,6 +237,7 @@ def test_blocks_find_what_keys_find(spark, metric, least, monkeypatch):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     stored = similarity._texts(df, "t")
     monkeypatch.setattr(similarity, "MET_AT_ONCE", 50)
+    monkeypatch.setattr(similarity, "CHARS_AT_ONCE", 200)
     monkeypatch.setattr(similarity, "TEXTS_PER_BLOCK", 30)
     found = []
     # No key is frequent, some are, all are.
