@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -436,6 +437,22 @@ def test_votes_count_all_neighbours_however_texts_are_split(spark, parts, most):
     assert len(found) == len(want) and {r["word"] % 2**64: (r["n"], r["kind"]) for r in found} == want
 
 
+def test_words_of_a_slice_are_hashed_once(monkeypatch):
+    hashed, plain = [], brown_lm.word_hashes
+    monkeypatch.setattr(brown_lm, "word_hashes", lambda data, starts, ends: hashed.extend(starts) or plain(data, starts, ends))
+    texts = [None, "", " ", "To be or not to be " * 300, "\tbe\x0b\x0cOR\x00\x85 \u00a0É\r\n", "İ or", " " * 9 + "be"]
+    for column in (brown_lm.pa.array(texts), brown_lm.pa.array(["x", *texts, "y"]).slice(1, len(texts))):
+        hashed.clear()
+        found, begin = brown_lm.tokens(column)
+        rows = [[w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)})) if w] for t in texts]
+        assert len(hashed) == len({w for row in rows for w in row})
+        assert np.diff(begin).tolist() == [len(row) + 1 for row in rows]
+        spelled = {}
+        for number, word in zip(found.tolist(), [w for row in rows for w in [*row, None]]):
+            assert spelled.setdefault(number, word) == word
+        assert len(spelled) == len(set(spelled.values()))
+
+
 def test_exchange_separates_alternating_words():
     rng = np.random.default_rng(1)
     pairs = np.zeros((13, 13), int)
