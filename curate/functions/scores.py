@@ -48,28 +48,47 @@ def _codes(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _common_lengths(a: list[str], b: list[str]) -> np.ndarray | None:
-    """``common_length`` of short texts, a step of all pairs at once; None with very many characters."""
-    (at_a, a), (at_b, b) = pd.factorize(np.array(a, object)), pd.factorize(np.array(b, object))
-    len_a, len_b = (np.fromiter(map(len, texts), np.int64, len(texts)) for texts in (a, b))
-    points = np.r_[_codes(a), _codes(b)]
-    present = np.zeros(int(points.max()) + 1, bool)
-    present[points] = True
-    code, letters = (np.cumsum(present) - 1)[points], int(present.sum())
-    if len(a) * (letters + 1) > _MOST_PLACES:
-        return None
-    row_a, row_b = np.repeat(np.arange(len(a)), len_a), np.repeat(np.arange(len(b)), len_b)
-    place_a, place_b = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in (len_a, len_b))
-    places = np.zeros((len(a), letters + 1), np.uint64)
-    np.bitwise_or.at(places, (row_a, code[: len(row_a)]), np.uint64(1) << place_a.astype(np.uint64))
-    # A text that has ended goes on with a character that stands nowhere.
-    steps = np.full((int(len_b.max(initial=0)), len(b)), letters)
-    steps[place_b, row_b] = code[len(row_a) :]
-    open_bits = np.full(len(at_a), ~np.uint64(0))
-    for step in steps:
-        matched = open_bits & places[at_a, step[at_b]]
-        open_bits = (open_bits + matched) | (open_bits - matched)
-    return SHORT - np.bitwise_count(open_bits).astype(np.int64)
+class Ratios:
+    """``ratio`` of pairs of two lists of texts, a step of all pairs at once.
+
+    ``fits_a`` and ``fits_b`` tell which texts are short enough; others take no part. With
+    very many characters none are.
+    """
+
+    def __init__(self, a: list[str], b: list[str]):
+        self.len_a, self.len_b = (np.fromiter(map(len, texts), np.int64, len(texts)) for texts in (a, b))
+        self.fits_a, self.fits_b = self.len_a <= SHORT, self.len_b <= _LONGEST
+        a, b = ([t if fits else "" for t, fits in zip(texts, side)] for texts, side in ((a, self.fits_a), (b, self.fits_b)))
+        len_a, len_b = np.where(self.fits_a, self.len_a, 0), np.where(self.fits_b, self.len_b, 0)
+        points = np.r_[_codes(a), _codes(b)]
+        present = np.zeros(int(points.max(initial=0)) + 1, bool)
+        present[points] = True
+        code, letters = (np.cumsum(present) - 1)[points], int(present.sum())
+        if len(a) * (letters + 1) > _MOST_PLACES:
+            self.fits_a, self.fits_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+            return
+        row_a, row_b = np.repeat(np.arange(len(a)), len_a), np.repeat(np.arange(len(b)), len_b)
+        place_a, place_b = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in (len_a, len_b))
+        self.letters = letters + 1
+        self.places = np.zeros(len(a) * self.letters, np.uint64)
+        np.bitwise_or.at(self.places, row_a * self.letters + code[: len(row_a)], np.uint64(1) << place_a.astype(np.uint64))
+        # A text that has ended goes on with a character that stands nowhere.
+        self.steps = np.full((int(len_b.max(initial=0)), len(b)), letters)
+        self.steps[place_b, row_b] = code[len(row_a) :]
+
+    def of(self, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+        """The ratios of the pairs at these places, of texts that fit and are not both empty."""
+        found = np.empty(len(at_a))
+        for begin in range(0, len(at_a), _PAIRS_AT_ONCE):
+            a, b = at_a[begin : begin + _PAIRS_AT_ONCE], at_b[begin : begin + _PAIRS_AT_ONCE]
+            first = a * self.letters
+            open_bits = np.full(len(a), ~np.uint64(0))
+            for step in self.steps[: self.len_b[b].max()]:
+                matched = open_bits & self.places.take(first + step.take(b))
+                open_bits = (open_bits + matched) | (open_bits - matched)
+            common = SHORT - np.bitwise_count(open_bits).astype(np.int64)
+            found[begin : begin + _PAIRS_AT_ONCE] = 200.0 * common / (self.len_a[a] + self.len_b[b])
+        return found
 
 
 def ratios(a: list[str], b: list[str]) -> np.ndarray:
@@ -79,9 +98,10 @@ def ratios(a: list[str], b: list[str]) -> np.ndarray:
     short = np.flatnonzero((len_a <= SHORT) & (len_b <= _LONGEST) & (len_a + len_b > 0))
     for begin in range(0, len(short), _PAIRS_AT_ONCE):
         at = short[begin : begin + _PAIRS_AT_ONCE]
-        common = _common_lengths([a[i] for i in at], [b[i] for i in at])
-        if common is not None:
-            found[at] = 200.0 * common / (len_a[at] + len_b[at])
+        (at_a, texts_a), (at_b, texts_b) = (pd.factorize(np.array([texts[i] for i in at], object)) for texts in (a, b))
+        many = Ratios(texts_a.tolist(), texts_b.tolist())
+        if many.fits_a.all() and many.fits_b.all():
+            found[at] = many.of(at_a, at_b)
     for i in np.flatnonzero(found < 0):
         found[i] = ratio(a[i], b[i])
     return found

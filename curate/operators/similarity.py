@@ -320,6 +320,11 @@ def _score(candidates: DataFrame, min_score: float, metric: str) -> DataFrame:
     return candidates.mapInPandas(scored, "a string, b string, score double")
 
 
+def _scored(candidates: DataFrame, min_score: float, metric: str) -> DataFrame:
+    """``(a, b, score)`` of the similar ones, stored, as sorting reads its input twice."""
+    return stored(_score(candidates, min_score, metric).where((F.col("score") >= min_score) & (F.col("score") < 100)), "scored")
+
+
 def similar_values(
     df: DataFrame,
     column: str,
@@ -341,12 +346,13 @@ def similar_values(
         raise ValueError(f"min_score must be at least {LEAST_SCORE[metric]:g} for {metric} and below 100")
     texts = _texts(df, column)
     if method == "exact":
-        candidates = _candidates(texts, min_score, metric)
-    elif method == "lsh":
-        candidates = _banded(texts, min_score, metric)
-    else:
+        kept = _scored(_candidates(texts, min_score, metric), min_score, metric)
+    elif method != "lsh":
         raise ValueError(f"unknown method {method!r}; use 'exact' or 'lsh'")
-    kept = _score(candidates, min_score, metric).where((F.col("score") >= min_score) & (F.col("score") < 100))
+    elif metric == "indel":
+        kept = _banded_ratios(texts, min_score)
+    else:
+        kept = _scored(_banded(texts, min_score, metric), min_score, metric)
     return kept.select(
         F.col("a").alias(column), F.col("b").alias(f"matched_{column}"), F.col("score").alias("similarity_score")
     ).orderBy(F.desc("similarity_score"), column, f"matched_{column}")
@@ -465,7 +471,31 @@ MET_AT_ONCE, CHARS_AT_ONCE = 1 << 20, 1 << 23
 
 
 def _banded(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
-    """Candidates that agree on all values of a band.
+    """Candidates ``(a, b)`` that agree on all values of a band."""
+    pairs, dense, keys = _banded_pairs(texts, min_score, metric)
+    if metric == "wratio":
+        return _sift_by_words(pairs, min_score)
+    if keys:
+        pairs = pairs.unionAll(_met_in_blocks(dense, keys, min_score, metric).select("a", "b"))
+    return _sift(pairs, min_score, metric)
+
+
+def _banded_ratios(texts: DataFrame, min_score: float) -> DataFrame:
+    """``(a, b, score)`` of the candidates that are similar by the plain ratio, stored.
+
+    Pairs that meet in blocks are scored there, if their texts are short enough.
+    """
+    pairs, dense, keys = _banded_pairs(texts, min_score, "indel")
+    if not keys:
+        return _scored(_sift(pairs, min_score, "indel"), min_score, "indel")
+    met = stored(_met_in_blocks(dense, keys, min_score, "indel", scored=True), "met")
+    pairs = pairs.unionAll(met.where("score IS NULL").select("a", "b"))
+    return met.where("score IS NOT NULL").unionAll(_scored(_sift(pairs, min_score, "indel"), min_score, "indel"))
+
+
+def _banded_pairs(texts: DataFrame, min_score: float, metric: str) -> tuple[DataFrame, DataFrame, int]:
+    """``(a, b)`` of pairs that share a rare band key only; the texts with frequent keys, which
+    are yet to meet, and how many frequent keys there are.
 
     Texts with a common frame have some keys that a great part of all texts have, and similar
     texts share several of them. Such keys would bring most pairs, each many times. So
@@ -473,6 +503,8 @@ def _banded(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
     that share a rare key but no frequent one meet by an equi-join.
     """
     size, bands, values = _bands(min_score)
+    # Hashing takes long for the size of the texts, by which Spark cuts files.
+    spread = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
         for batch in batches:
@@ -497,7 +529,7 @@ def _banded(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
     frequent_keys = np.array([], np.int64)
     if metric != "wratio":  # whose words may be reordered, which bits do not tell
         least = max(FREQUENT_FROM, texts.count() * FREQUENT_SHARE)
-        counts = texts.mapInArrow(keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
+        counts = spread.mapInArrow(keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
         frequent_keys = np.array(sorted(row.key for row in counts.where(F.col("texts") >= least).collect()), np.int64)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,22 +548,24 @@ def _banded(texts: DataFrame, min_score: float, metric: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "id long, text string, chars int, low_bits long, high_bits long, frequent array<smallint>, rare array<long>"
-    banded = stored(texts.mapInArrow(marked, schema), "bands")
+    banded = stored(spread.mapInArrow(marked, schema), "bands")
     keyed = banded.select("id", "chars", "low_bits", "high_bits", "frequent", F.explode("rare").alias("key"))
     met = _join_on_keys(keyed, keyed).where(
         (F.col("id") < F.col("other_id")) & _may_match(F.col("chars"), F.col("other_chars"), min_score, metric)
     )
     if metric == "wratio":
-        return _sift_by_words(_with_texts(met.select("id", "other_id").distinct(), texts), min_score)
+        return _with_texts(met.select("id", "other_id").distinct(), texts), banded, 0
     met = met.where(_bits_agree(min_score, metric)).where(~F.arrays_overlap("frequent", "other_frequent"))
     pairs = _with_texts(met.select("id", "other_id").distinct(), texts)
-    if len(frequent_keys):
-        pairs = pairs.unionAll(_met_in_blocks(banded.where(F.size("frequent") > 0), len(frequent_keys), min_score, metric))
-    return _sift(pairs, min_score, metric)
+    return pairs, banded.where(F.size("frequent") > 0), len(frequent_keys)
+
 
+def _met_in_blocks(banded: DataFrame, keys: int, min_score: float, metric: str, scored: bool = False) -> DataFrame:
+    """``(a, b, score)``: the pairs that share one of the numbered ``keys`` and whose bits agree.
 
-def _met_in_blocks(banded: DataFrame, keys: int, min_score: float, metric: str) -> DataFrame:
-    """``(a, b)``: the pairs that share one of the numbered ``keys`` and whose bits agree."""
+    ``scored``: short texts get their plain ratio here, from tables of the block's characters, and
+    of these pairs only the similar ones go on. The others have no score.
+    """
     held = banded.agg(F.count(F.lit(1)).alias("texts"), F.sum("chars").alias("chars")).first()
     groups = max(1, ceil(held.texts / TEXTS_PER_BLOCK), ceil((held.chars or 0) / CHARS_PER_BLOCK))
 
@@ -555,13 +589,15 @@ def _met_in_blocks(banded: DataFrame, keys: int, min_score: float, metric: str)
             return
         both = np.maximum.outer if metric == "levenshtein" else np.add.outer
         flips = 2 if metric == "levenshtein" else 1
-        whole = np.arange(chars[0].max() + chars[1].max() + 1)
-        most = np.minimum(np.floor(whole * ((100 - min_score) / 100) + 1e-6) * flips, 128).astype(np.uint8)
+        # For each length on the left, how many bits may differ from each text on the right.
+        lengths, of_length = np.unique(chars[0], return_inverse=True)
+        most = np.minimum(np.floor(both(lengths, chars[1]) * ((100 - min_score) / 100) + 1e-6) * flips, 128).astype(np.uint8)
+        ratios = scores.Ratios(*(side.to_pylist() for side in text)) if scored else None
         step = max(1, MET_AT_ONCE // len(text[1]))
         for begin in range(0, len(text[0]), step):
             some = slice(begin, begin + step)
             differ = sum(np.bitwise_count(x[some, None] ^ y[None, :]) for x, y in zip(*bits))
-            x, y = np.nonzero(differ <= most[both(chars[0][some], chars[1])])
+            x, y = np.nonzero(differ <= most[of_length[some]])
             x += begin
             short, long = np.minimum(chars[0][x], chars[1][y]), np.maximum(chars[0][x], chars[1][y])
             if metric == "levenshtein":
@@ -573,9 +609,16 @@ def _met_in_blocks(banded: DataFrame, keys: int, min_score: float, metric: str)
             x, y = x[kept], y[kept]
             kept = (shared[0][x] & shared[1][y]).any(axis=1)
             x, y = x[kept], y[kept]
+            score = np.full(len(x), np.nan)
+            if ratios is not None:
+                fits = ratios.fits_a[x] & ratios.fits_b[y]
+                score[fits] = ratios.of(x[fits], y[fits])
+                kept = ~fits | (score >= min_score) & (score < 100)
+                x, y, score = x[kept], y[kept], score[kept]
             cuts = np.flatnonzero(np.diff(np.cumsum(chars[0][x] + chars[1][y]) // CHARS_AT_ONCE)) + 1
-            for i, j in zip(np.split(x, cuts), np.split(y, cuts)):
-                yield pa.RecordBatch.from_arrays([text[0].take(pa.array(i)), text[1].take(pa.array(j))], names=["x", "y"])
+            for i, j, found in zip(np.split(x, cuts), np.split(y, cuts), np.split(score, cuts)):
+                columns = [text[0].take(pa.array(i)), text[1].take(pa.array(j)), pa.array(found, from_pandas=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "score"])
 
     own = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
     dealt = banded.select("text", "chars", "low_bits", "high_bits", "frequent", own.alias("own")).withColumn(
@@ -584,8 +627,8 @@ def _met_in_blocks(banded: DataFrame, keys: int, min_score: float, metric: str)
     dealt = dealt.withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other")).drop("other")
     # By number, so that small blocks, which bring many pairs, keep tasks of their own.
     dealt = dealt.repartition(min(groups * (groups + 1) // 2, MOST_BLOCK_TASKS), "left", "right")
-    pairs = dealt.groupBy("left", "right").applyInArrow(meet, "x string, y string")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = dealt.groupBy("left", "right").applyInArrow(meet, "x string, y string, score double")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
 
 
 def suggest_replacements(

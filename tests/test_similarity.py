@@ -249,6 +249,22 @@ def test_blocks_find_what_keys_find(spark, metric, least, monkeypatch):
     assert found[0] == found[1] == found[2]
 
 
+def test_pairs_of_blocks_are_scored_once_and_where_they_meet(spark, monkeypatch):
+    rng = random.Random(12)
+    urls = [f"https://www.alike.example.com/{'long/' * (i % 7 == 0) * 12}{rng.randrange(10**4):04}?é" for i in range(250)] + ["x", "é" * 300, "é" * 299]
+    df = spark.createDataFrame([(t,) for t in urls], "t string")
+    met, plain = [], similarity._score
+    monkeypatch.setattr(similarity, "_score", lambda pairs, *rest: met.append(pairs.count()) or plain(pairs, *rest))
+    exact = {tuple(r) for r in op.similar_values(df, "t", 90, "indel").collect()}
+    out = op.similar_values(df, "t", 90, "indel", method="lsh")
+    assert {tuple(r) for r in out.collect()} == exact and len(exact) > 10_000
+    # Only pairs of long texts are left to be scored one by one.
+    assert 0 < met[1] < 0.1 * met[0]
+    # Sorting reads its input twice, so nothing but reading stands below it.
+    plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "MapIn" not in plan and "FlatMapGroups" not in plan
+
+
 def test_pairs_that_share_frequent_keys_are_met_once(spark):
     rng = random.Random(8)
     urls = sorted({f"https://www.alike.example.com/en/{rng.randrange(10**6):06}?utm_source=feed" for _ in range(400)})
